@@ -13,20 +13,25 @@ from openstat.functions.pvalues import t_pvalue
 from openstat.functions.text import column_label
 from openstat.operators.ranks import average_ranks
 from openstat.operators.scoring import as_findings, empty_findings, evidence_score
+from openstat.session import cut_lineage
 
 
 def with_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """Adds r0, r1, ... the average rank of each (null-free) column.
 
-    Each rank table has one row per distinct value and is joined back on the
-    value: Spark broadcasts it when it is small, and splits a hot value's rows
-    across tasks (adaptive skew join) when it is not.
+    All columns are ranked together. The rank table has one row per distinct
+    value and is joined back on the value: Spark broadcasts a column's part when
+    it is small, and splits a hot value's rows across tasks (adaptive skew join)
+    when it is not.
     """
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("at"), F.col(f"`{c}`").alias("value")) for i, c in enumerate(columns)]
+    )
+    counts = df.select(F.inline(cells)).groupBy("at", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranks = cut_lineage(average_ranks(counts, ["at"]).select("at", "value", "rank"))
     out = df
     for i, c in enumerate(columns):
-        counts = df.groupBy(F.col(f"`{c}`").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        ranked = average_ranks(counts, [])
-        table = ranked.select(F.col("value").alias(f"__v{i}"), F.col("rank").alias(f"r{i}"))
+        table = ranks.where(F.col("at") == i).select(F.col("value").alias(f"__v{i}"), F.col("rank").alias(f"r{i}"))
         out = out.join(table, F.col(f"`{c}`") == F.col(f"__v{i}")).drop(f"__v{i}")
     return out
 
@@ -135,7 +140,7 @@ def panel_views(merged: DataFrame) -> DataFrame:
 
 def spearman_by_view(views: DataFrame, view: str = "view") -> DataFrame:
     """Spearman r, n and distinct values per view, all views in the same shuffles."""
-    cells = views.groupBy(view, "value_a", "value_b").agg(F.count(F.lit(1)).alias("n"))
+    cells = cut_lineage(views.groupBy(view, "value_a", "value_b").agg(F.count(F.lit(1)).alias("n")))
     sides = cells.select(
         view, F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"value_{s}").alias("value"), F.col("n").alias("n")) for s in "ab"]))
     )

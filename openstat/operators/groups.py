@@ -11,6 +11,7 @@ from openstat.functions.pvalues import chi2_pvalue, t_pvalue
 from openstat.functions.text import column_label
 from openstat.operators.ranks import average_ranks
 from openstat.operators.scoring import as_findings, empty_findings, evidence_score
+from openstat.session import cut_lineage
 
 PLAN = ["measure", "factor"]
 
@@ -100,7 +101,7 @@ def kruskal(rows: DataFrame, moments: DataFrame) -> DataFrame:
         moments.withColumn("groups", F.count_if(F.col("tested")).over(W.partitionBy(*PLAN)))
         .where("tested and groups >= 3").select(*PLAN, "level", "groups")
     )
-    cells = (
+    cells = cut_lineage(
         rows.join(F.broadcast(levels), [*PLAN, "level"])
         .groupBy(*PLAN, "level", "value", "groups").agg(F.count(F.lit(1)).alias("c"))
     )
@@ -128,8 +129,8 @@ def normalized_effect(effect: Column, std: Column) -> Column:
 def group_tests(df: DataFrame, plans: list[tuple[str, str]]) -> DataFrame:
     """One row per plan: method, statistic, df, p, effect, normalized effect, n, means."""
     rows = long_form(df, plans)
-    totals = rows.groupBy(*PLAN).agg(F.count(F.lit(1)).alias("n_all"))
-    moments = group_moments(rows)
+    moments = cut_lineage(group_moments(rows))  # one row per plan and level, read five times
+    totals = moments.groupBy(*PLAN).agg(F.sum("n").alias("n_all"))
     stats = welch(moments).unionByName(kruskal(rows, moments))
     p = F.when(F.col("method") == "welch_t", t_pvalue(F.col("statistic"), F.col("df"))).otherwise(
         chi2_pvalue(F.col("statistic"), F.col("df"))

@@ -12,19 +12,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from openstat.session import cut_lineage
+
 
 def _ranges(df: DataFrame) -> int:
     configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(4, min(configured, 1024))
 
 
-def rows_before(counts: DataFrame, domain: list[str], value: str = "value", n: str = "n") -> DataFrame:
+def rows_before(
+    counts: DataFrame, domain: list[str], value: str = "value", n: str = "n", settled: bool = False
+) -> DataFrame:
     """Adds `before`, the rows with a smaller value in the same domain.
 
     `counts` holds one row per (domain, value) with its number of rows; the number
     of domains must be small (one per test and side, or one per report group).
+    The counts are read three times and their values are joined on, so they are
+    written once first, unless they are `settled` already.
     """
     cuts = _ranges(counts)
+    if not settled:
+        counts = cut_lineage(counts)
     probabilities = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
     bounds = counts.groupBy(*domain).agg(
         F.percentile_approx(value, probabilities, F.lit(10_000)).alias("__bounds")
@@ -63,8 +71,8 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str]
     """
     by = by or []
     rows = df.select(*by, F.col(value).cast("double").alias("value")).where("value is not null")
-    counts = rows.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
-    placed = rows_before(counts, by)
+    counts = cut_lineage(rows.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n")))
+    placed = rows_before(counts, by, settled=True)
     totals = counts.groupBy(*by).agg(F.sum("n").alias("__total"))
     if by:
         placed = placed.join(F.broadcast(totals), by)  # one row per group
