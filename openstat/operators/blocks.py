@@ -29,8 +29,12 @@ def per_block_pair(left: DataFrame, right: DataFrame, n_rows: int, task, schema:
     blocks = max(1, -(-n_rows // BLOCK_ROWS))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     own = F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int")
-    a = left.withColumn("block_a", own).withColumn("block_b", every)
-    b = right.withColumn("block_b", own).withColumn("block_a", every)
+
+    def fresh(df: DataFrame) -> DataFrame:  # both sides often come from one table
+        return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+    a = fresh(left).withColumn("block_a", own).withColumn("block_b", every)
+    b = fresh(right).withColumn("block_b", own).withColumn("block_a", every)
 
     def run(pa: pd.DataFrame, pb: pd.DataFrame) -> pd.DataFrame:
         if len(pa) == 0 or len(pb) == 0:

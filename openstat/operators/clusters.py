@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from openstat import rules
 from openstat.operators.blocks import distances, per_block_pair
+from openstat.operators.sampling import sample_rows
 from openstat.session import cut_lineage
 
 
+#: squared movement of all centers of a model below which it has settled
+_TOLERANCE = 1e-4
+
+
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - mean) / population deviation; a constant column is only centered. One aggregate."""
     stats = df.agg(
@@ -67,8 +69,8 @@ def silhouettes(points: DataFrame, columns: list[str], label_columns: list[str],
     sums.empty = pd.DataFrame({"row_id": pd.Series(dtype="int64"), **{n: pd.Series(dtype="float64") for n in names}})
     packed = points.select("row_id", _array(columns).alias("x"), *label_columns)
     schema = "row_id long, " + ", ".join(f"{n} double" for n in names)
-    totals = per_block_pair(packed, packed, n_rows, sums, schema).groupBy("row_id").agg(
-        *[F.sum(n).alias(n) for n in names]
+    totals = cut_lineage(
+        per_block_pair(packed, packed, n_rows, sums, schema).groupBy("row_id").agg(*[F.sum(n).alias(n) for n in names])
     )
     joined = totals.join(points.select("row_id", *label_columns), "row_id")
     out = []
@@ -87,8 +89,10 @@ def silhouettes(points: DataFrame, columns: list[str], label_columns: list[str],
         value = F.when(own.isNull() | nearest.isNull(), 0.0).otherwise(
             F.coalesce(F.try_divide(nearest - own, F.greatest(own, nearest)), F.lit(0.0))
         )
-        out.append(joined.select("row_id", F.lit(c).alias("labeling"), F.col(c).alias("label"), value.alias("silhouette")))
-    return reduce(DataFrame.unionByName, out)
+        out.append(
+            F.struct(F.lit(c).alias("labeling"), F.col(c).cast("bigint").alias("label"), value.alias("silhouette"))
+        )
+    return joined.select("row_id", F.inline(F.array(*out)))
 
 
 def mean_silhouette(points: DataFrame, columns: list[str], label_columns: list[str], n_rows: int) -> DataFrame:
@@ -104,35 +108,139 @@ def squared_silhouette(labeled: DataFrame, features: str, label: str) -> float:
     return ClusteringEvaluator(featuresCol=features, predictionCol=label).evaluate(labeled)
 
 
-def kmeans_labels(points: DataFrame, columns: list[str], ks: range, restarts: int = 10, seed: int = 42) -> DataFrame:
-    """One label column k2, k3, ... per k: the restart with the least inertia.
+def _seed_centers(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ on a bounded sample: each next center is drawn by squared distance."""
+    centers = [sample[rng.integers(len(sample))]]
+    for _ in range(k - 1):
+        gap = np.min([((sample - c) ** 2).sum(axis=1) for c in centers], axis=0)
+        total = gap.sum()
+        pick = rng.choice(len(sample), p=gap / total) if total > 0 else rng.integers(len(sample))
+        centers.append(sample[pick])
+    return np.array(centers)
+
+
+def _assign(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    gap = ((x[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
+    label = gap.argmin(axis=1)
+    return label, gap[np.arange(len(x)), label]
+
+
+def _settle(x: np.ndarray, centers: np.ndarray, max_rounds: int) -> tuple[np.ndarray, float]:
+    """Centers and inertia once the centers stop moving."""
+    cost = float("inf")
+    for _ in range(max_rounds):
+        label, gap = _assign(x, centers)
+        cost = float(gap.sum())
+        fresh = np.array([x[label == c].mean(axis=0) if (label == c).any() else centers[c] for c in range(len(centers))])
+        moved = ((fresh - centers) ** 2).sum()
+        centers = fresh
+        if moved <= _TOLERANCE:
+            break
+    return centers, cost
+
+
+def fit_kmeans_sample(points: DataFrame, columns: list[str], ks: range, restarts: int, seed: int,
+                      max_rounds: int) -> dict[int, np.ndarray]:
+    """Every (k, restart) is one group over the same bounded sample, so all fits run side by side."""
+    tasks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("restart")) for k in ks for r in range(restarts)])
+    rows = points.select("row_id", *[F.col(f"`{c}`").cast("double").alias(c) for c in columns], F.explode(tasks).alias("m"))
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        k, r = int(group["k"].iloc[0]), int(group["restart"].iloc[0])
+        x = group.sort_values("row_id")[columns].to_numpy(dtype="float64")
+        centers, cost = _settle(x, _seed_centers(x, k, np.random.default_rng([seed, k, r])), max_rounds)
+        return pd.DataFrame({"k": [k], "restart": [r], "cost": [cost], "centers": [centers.ravel().tolist()]})
 
-    Fits run on the cluster; a few driver threads keep several fits in flight.
+    fits = rows.select("row_id", *columns, "m.k", "m.restart").groupBy("k", "restart").applyInPandas(
+        fit, "k int, restart int, cost double, centers array<double>"
+    )
+    best = fits.groupBy("k").agg(F.min_by("centers", F.struct("cost", "restart")).alias("centers")).collect()
+    return {r["k"]: np.array(r["centers"]).reshape(r["k"], len(columns)) for r in best}
+
+
+def fit_kmeans(points: DataFrame, columns: list[str], ks: range, restarts: int = 10, seed: int = 42,
+               max_rounds: int = 100, seed_rows: int = 2_000, n_rows: int | None = None) -> dict[int, np.ndarray]:
+    """Centers per k: the restart with the least inertia.
+
+    A table within the model sample size is fitted side by side. Beyond it all k
+    and all restarts move together: one pass over the data per round returns sums
+    per (model, cluster), a few hundred rows in all, instead of one pass per
+    round and model. Models that stopped moving are left out.
     """
-    assembled = VectorAssembler(inputCols=columns, outputCol="features").transform(points).cache()
-    assembled.count()
-
-    def fit(task: tuple[int, int]):
-        k, r = task
-        model = KMeans(k=k, seed=seed + r, maxIter=50, featuresCol="features", predictionCol=f"k{k}").fit(assembled)
-        return k, model.summary.trainingCost, r, model
-
-    tasks = [(k, r) for k in ks for r in range(restarts)]
-    with ThreadPoolExecutor(4) as pool:
-        fits = list(pool.map(inheritable_thread_target(fit), tasks))
-    out = assembled
-    for k in ks:
-        best = min((f for f in fits if f[0] == k), key=lambda f: (f[1], f[2]))
-        out = best[3].transform(out)
-    labeled = cut_lineage(out.drop("features"))
-    assembled.unpersist()
-    return labeled
+    if n_rows is not None and n_rows <= rules.ML_MAX_ROWS:
+        return fit_kmeans_sample(points, columns, ks, restarts, seed, max_rounds)
+    packed = points.select("row_id", *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).persist()
+    chosen = sample_rows(packed, seed_rows, seed, ["row_id"]).select(*[f"`{c}`" for c in columns])
+    sample = chosen.toPandas().to_numpy()  # at most seed_rows rows
+    models = {(k, r): _seed_centers(sample, k, np.random.default_rng([seed, k, r])) for k in ks for r in range(restarts)}
+    inertia = dict.fromkeys(models, float("inf"))
+    moving = sorted(models)
+    schema = "k int, restart int, cluster int, n long, cost double, total array<double>"
+    for _ in range(max_rounds):
+        current = {m: models[m] for m in moving}
+
+        def sums(batches, current=current):
+            out: dict[tuple, list] = {}
+            for batch in batches:
+                if not len(batch):
+                    continue
+                x = batch.to_numpy(dtype="float64")
+                for (k, r), centers in current.items():
+                    label, cost = _assign(x, centers)
+                    for c in range(k):
+                        mine = label == c
+                        part = out.setdefault((k, r, c), [0, 0.0, np.zeros(x.shape[1])])
+                        part[0] += int(mine.sum())
+                        part[1] += float(cost[mine].sum())
+                        part[2] += x[mine].sum(axis=0)
+            yield pd.DataFrame(
+                [(*key, n, cost, total.tolist()) for key, (n, cost, total) in out.items()],
+                columns=["k", "restart", "cluster", "n", "cost", "total"],
+            )
+
+        width = range(1, len(columns) + 1)
+        rows = packed.drop("row_id").mapInPandas(sums, schema).groupBy("k", "restart", "cluster").agg(
+            F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.array(*[F.sum(F.element_at("total", i)) for i in width]).alias("total")
+        ).collect()
+        fresh = {m: models[m].copy() for m in moving}
+        cost = dict.fromkeys(moving, 0.0)
+        for r in rows:
+            m = (r["k"], r["restart"])
+            cost[m] += r["cost"]
+            if r["n"]:
+                fresh[m][r["cluster"]] = np.array(r["total"]) / r["n"]
+        still = []
+        for m in moving:
+            inertia[m] = cost[m]
+            if ((fresh[m] - models[m]) ** 2).sum() > _TOLERANCE:
+                still.append(m)
+            models[m] = fresh[m]
+        moving = still
+        if not moving:
+            break
+    packed.unpersist()
+    return {k: models[min((m for m in models if m[0] == k), key=lambda m: (inertia[m], m))] for k in ks}
+
+
+def kmeans_labels(points: DataFrame, columns: list[str], ks: range, restarts: int = 10, seed: int = 42,
+                  n_rows: int | None = None) -> DataFrame:
+    """Adds one label column k2, k3, ... per k."""
+    best = fit_kmeans(points, columns, ks, restarts, seed, n_rows=n_rows)
+    schema = T.StructType([*points.schema.fields, *[T.StructField(f"k{k}", T.IntegerType()) for k in ks]])
+
+    def label(batches):
+        for batch in batches:
+            if len(batch):
+                x = batch[columns].to_numpy(dtype="float64")
+                yield batch.assign(**{f"k{k}": _assign(x, best[k])[0].astype("int32") for k in ks})
+
+    return cut_lineage(points.mapInPandas(label, schema))
 
 
 def choose_k(points: DataFrame, columns: list[str], n_rows: int, restarts: int = 10, seed: int = 42) -> DataFrame:
     """(k, clusters, n, silhouette) for k = 2..5, best silhouette first."""
     ks = range(2, min(6, n_rows))
-    labeled = kmeans_labels(points, columns, ks, restarts, seed)
+    labeled = kmeans_labels(points, columns, ks, restarts, seed, n_rows)
     scores = mean_silhouette(labeled, columns, [f"k{k}" for k in ks], n_rows)
     return scores.select(
         F.expr("cast(substring(labeling, 2) as int)").alias("k"), "clusters", "n", "silhouette"
@@ -174,7 +282,7 @@ def density_clusters(points: DataFrame, columns: list[str], n_rows: int, eps: fl
     edges = cut_lineage(per_block_pair(core, core, n_rows, touching, "a string, b string").distinct())
     start = core.groupBy(F.col("cell").alias("node")).agg(F.min("row_id").alias("label"))
     labels = connect(edges, start)
-    core_labels = core.join(labels, core["cell"] == labels["node"]).select("row_id", "x", "label")
+    core_labels = core.join(labels.withColumnRenamed("node", "cell"), "cell").select("row_id", "x", "label")
 
     def first_cluster(pa: pd.DataFrame, pb: pd.DataFrame) -> pd.DataFrame:
         close = distances(_matrix(pa), _matrix(pb)) <= eps
@@ -200,7 +308,7 @@ def connect(edges: DataFrame, start: DataFrame, max_rounds: int = 100) -> DataFr
     labels = cut_lineage(start)
     for _ in range(max_rounds):
         heard = (
-            edges.join(labels, edges["b"] == labels["node"]).groupBy(edges["a"].alias("node"))
+            edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
             .agg(F.min("label").alias("heard"))
         )
         better = labels.join(heard, "node").select(

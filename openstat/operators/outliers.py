@@ -14,6 +14,7 @@ from openstat.operators.blocks import distances, per_block_pair
 from openstat.operators.clusters import _array, _matrix
 from openstat.operators.ranks import quantiles
 from openstat.operators.sampling import sample_rows
+from openstat.session import cut_lineage
 
 NODE = "tree int, node int, feature int, threshold double, low int, high int, size int, depth int"
 
@@ -140,7 +141,7 @@ def nearest_neighbors(points: DataFrame, columns: list[str], n_rows: int, k: int
 def local_outlier_factor(points: DataFrame, columns: list[str], n_rows: int, k: int | None = None) -> DataFrame:
     """(row_id, score): negative local outlier factor, lower is more unusual."""
     k = k or neighbor_count(n_rows)
-    near = nearest_neighbors(points, columns, n_rows, k)
+    near = cut_lineage(nearest_neighbors(points, columns, n_rows, k))  # k rows per point, read three times
     reach = near.groupBy("row_id").agg(F.max("d").alias("k_distance"))
     density = (
         near.join(reach.withColumnRenamed("row_id", "other"), "other")

@@ -81,7 +81,7 @@ def rank_catalog(catalog: DataFrame, query: str, featured: Column | None = None,
 
 def search_page(
     catalog: DataFrame, query: str = "", portal: str | None = None, topic: str | None = None,
-    page: int = 1, limit: int = 20, featured: Column | None = None,
+    page: int = 1, limit: int = 20, featured: Column | None = None, curated: Column | None = None,
 ) -> DataFrame:
     """One page of ranked ingestible rows with the total over all matches.
 
@@ -99,7 +99,7 @@ def search_page(
         rows = rows.where(F.col("search_text").contains(text.lower()))
     if topic:
         rows = rows.where(theme_scores()[topic] >= 1.0)
-    ranked = rank_catalog(rows, text, featured)
+    ranked = rank_catalog(rows, text, featured, curated)
     order = [F.desc("combined"), F.desc("quality"), F.desc("title"), F.asc("id")]
     top = ranked.orderBy(*order).limit(page * limit)
     placed = top.withColumn("position", F.row_number().over(W.orderBy(*order)))  # page * limit rows
