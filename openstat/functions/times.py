@@ -5,19 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Text layouts tried in order after Spark's own ISO parsing.
-DATE_LAYOUTS = (
-    "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd",
-    "dd-MMM-yyyy", "dd MMM yyyy", "MMM dd, yyyy", "MMMM dd, yyyy",
-)
 LOCAL_ZONE = "America/New_York"
 
+#: fixed values: layouts besides ISO, as pattern and the ISO form it is rewritten to
+_NUMERIC_LAYOUTS = (
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})(.*)$", "$3-$1-$2$4"),
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})(.*)$", "$1-$2-$3$4"),
+)
+_DAY_MONTH = r"^(\d{1,2})[ -]([A-Za-z]{3})[a-z]*[ -](\d{4})$"
+_MONTH_DAY = r"^([A-Za-z]{3})[a-z]* (\d{1,2}), (\d{4})$"
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+
 
 def parse_time(text: Column) -> Column:
-    """Free-text time, first layout that fits; null otherwise. Session zone is UTC."""
-    tries = [F.try_to_timestamp(text)]
-    tries += [F.try_to_timestamp(text, F.lit(layout)) for layout in DATE_LAYOUTS]
-    return F.coalesce(*tries)
+    """ISO text, or a common layout rewritten to ISO first; null otherwise. Session zone is UTC."""
+    t = F.trim(text)
+    months = F.array(*[F.lit(m) for m in _MONTHS])
+
+    def month(pattern: str, group: int) -> Column:
+        return F.array_position(months, F.lower(F.regexp_extract(t, pattern, group))).cast("string")
+
+    iso = F.when(t.rlike(r"^\d{4}-"), t)
+    for pattern, rewritten in _NUMERIC_LAYOUTS:
+        iso = iso.when(t.rlike(pattern), F.regexp_replace(t, pattern, rewritten))
+    iso = iso.when(
+        t.rlike(_DAY_MONTH),
+        F.concat_ws("-", F.regexp_extract(t, _DAY_MONTH, 3), month(_DAY_MONTH, 2), F.regexp_extract(t, _DAY_MONTH, 1)),
+    ).when(
+        t.rlike(_MONTH_DAY),
+        F.concat_ws("-", F.regexp_extract(t, _MONTH_DAY, 3), month(_MONTH_DAY, 1), F.regexp_extract(t, _MONTH_DAY, 2)),
+    )
+    return iso.try_cast("timestamp")
 
 
 def epoch_time(number: Column) -> Column:
@@ -30,7 +48,7 @@ def epoch_time(number: Column) -> Column:
 def iso_time(text: Column) -> Column:
     """ISO text with Z, +0000 or an offset, read as UTC."""
     fixed = F.regexp_replace(text, r"\+0000$", "+00:00")
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(fixed))
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), fixed.try_cast("timestamp"))
 
 
 def first_time(*candidates: Column) -> Column:

@@ -1,8 +1,8 @@
 """Column profiles, facts, validation and measure labels.
 
-All per-column counts come from one aggregate; all distinct counts, value lists
-and top values come from one grouped (column, value) table, so neither the number
-of scans nor the number of shuffles grows with the number of columns.
+All per-column counts come from one aggregate, distinct counts from one job with a
+branch per column, value lists and top values from one grouped (column, value)
+table.
 """
 
 from __future__ import annotations
@@ -36,7 +36,11 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None, relative_sd: float | None = None) -> DataFrame:
-    """Exact distinct values per column; a sketch when a relative error is given."""
+    """Exact distinct values per column; a sketch when a relative error is given.
+
+    Each column is its own branch of one job: it reads that column alone from a
+    columnar source, keeps its type, and combines equal values before the shuffle.
+    """
     names = columns or df.columns
     if relative_sd is not None:
         one = df.agg(*[F.approx_count_distinct(_ref(c), relative_sd).alias(f"d{i}") for i, c in enumerate(names)])
@@ -44,7 +48,14 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, relative_sd
             *[F.struct(F.lit(c).alias("name"), F.col(f"d{i}").alias("nunique")) for i, c in enumerate(names)]
         )
         return one.select(F.inline(pairs))
-    return value_counts(df, names).groupBy("name").agg(F.count(F.lit(1)).alias("nunique"))
+    return reduce(
+        DataFrame.unionByName,
+        [
+            df.select(_ref(c).alias("value")).where("value is not null").distinct()
+            .agg(F.lit(c).alias("name"), F.count(F.lit(1)).alias("nunique"))
+            for c in names
+        ],
+    )
 
 
 def column_moments(df: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Ranks and exact quantiles without a single-task sort.
 
 Equal values are grouped first, so a value that holds a large share of the rows
-is one row. Values are then cut into ranges by approximate quantiles; a small
-table of range totals gives each range its offset, and the running count is a
-window inside a range. No range is one global window, nothing is collected.
+is one row. A short list of distinct values is ranked by one window per domain.
+A long one is cut into ranges by approximate quantiles; a small table of range
+totals gives each range its offset, and the running count is a window inside a
+range. No window then holds more than a range, and nothing is collected.
 """
 
 from __future__ import annotations
@@ -14,36 +15,50 @@ from pyspark.sql import functions as F
 
 from openstat.session import cut_lineage
 
-
-def _ranges(df: DataFrame) -> int:
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(4, min(configured, 1024))
+#: distinct values one window may hold
+RANGE_ROWS = 500_000
+_MAX_RANGES = 4096
+_STEP = 64
 
 
 def rows_before(
-    counts: DataFrame, domain: list[str], value: str = "value", n: str = "n", settled: bool = False
+    counts: DataFrame, domain: list[str], value: str = "value", n: str = "n", settled: bool = False,
+    range_rows: int | None = None,
 ) -> DataFrame:
     """Adds `before`, the rows with a smaller value in the same domain.
 
     `counts` holds one row per (domain, value) with its number of rows; the number
     of domains must be small (one per test and side, or one per report group).
-    The counts are read three times and their values are joined on, so they are
+    The counts are read several times and their values are joined on, so they are
     written once first, unless they are `settled` already.
     """
-    cuts = _ranges(counts)
     if not settled:
         counts = cut_lineage(counts)
+    cuts = min(_MAX_RANGES, -(-counts.count() // (range_rows or RANGE_ROWS)))
+    if cuts <= 1:
+        smaller = W.partitionBy(*domain).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+        return counts.withColumn("before", F.coalesce(F.sum(n).over(smaller), F.lit(0)))
     probabilities = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
     bounds = counts.groupBy(*domain).agg(
-        F.percentile_approx(value, probabilities, F.lit(10_000)).alias("__bounds")
-    )
+        F.percentile_approx(value, probabilities, F.lit(4 * max(cuts, 2_500))).alias("__bounds")
+    ).withColumn("__coarse", F.filter("__bounds", lambda b, i: i % _STEP == _STEP - 1))
     if domain:
         bounded = counts.join(F.broadcast(bounds), domain)  # one row per domain
     else:
-        bounded = counts.withColumn("__bounds", bounds.scalar())
-    placed = bounded.withColumn(
-        "__range", F.size(F.filter("__bounds", lambda b: b < F.col(value)))
-    ).drop("__bounds")
+        bounded = counts.withColumn("__bounds", bounds.select("__bounds").scalar()).withColumn(
+            "__coarse", bounds.select("__coarse").scalar()
+        )
+    # every 64th bound first, then the 64 bounds behind it
+    block = F.size(F.filter("__coarse", lambda b: b < F.col(value))) * _STEP
+    placed = (
+        bounded.withColumn("__block", block)
+        .withColumn(
+            "__range",
+            F.col("__block")
+            + F.size(F.filter(F.slice("__bounds", F.col("__block") + 1, F.lit(_STEP)), lambda b: b < F.col(value))),
+        )
+        .drop("__bounds", "__coarse", "__block")
+    )
     totals = placed.groupBy(*domain, "__range").agg(F.sum(n).alias("__rows"))
     earlier = W.partitionBy(*domain).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(

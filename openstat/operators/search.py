@@ -98,7 +98,7 @@ def search_page(
     elif text:
         rows = rows.where(F.col("search_text").contains(text.lower()))
     if topic:
-        rows = rows.where(theme_scores()[topic] >= 1.0)
+        rows = with_theme_scores(rows).where(F.col(f"theme_{topic}") >= 1.0)
     ranked = rank_catalog(rows, text, featured, curated)
     order = [F.desc("combined"), F.desc("quality"), F.desc("title"), F.asc("id")]
     top = ranked.orderBy(*order).limit(page * limit)
@@ -110,48 +110,43 @@ def search_page(
 # --- themes ---------------------------------------------------------------------------
 
 
-def theme_scores() -> dict[str, Column]:
-    """Score per theme: 3 per matching tag, 2 per keyword in the title, else 1 in the body."""
+def with_theme_scores(catalog: DataFrame) -> DataFrame:
+    """Adds one score column per theme: 3 per matching tag, 2 per keyword in the title, else 1 in the body."""
     tags = F.coalesce("tags", F.array().cast("array<string>"))
 
     def filled(c: Column) -> Column:
         return F.nullif(c, F.lit(""))
 
-    title = F.lower(F.coalesce("title", F.lit("")))
-    body = F.lower(F.concat_ws(" ", filled(F.col("description")), filled(F.col("search_text")), filled(F.array_join(tags, " "))))
-    # one-element array: title and body are prepared once per row, not once per keyword
-    texts = F.array(F.struct(title.alias("title"), body.alias("body")))
+    body = F.concat_ws(" ", filled(F.col("description")), filled(F.col("search_text")), filled(F.array_join(tags, " ")))
+    prepared = catalog.withColumns(
+        {
+            "__title": F.lower(F.coalesce("title", F.lit(""))), "__body": F.lower(body),
+            "__tags": F.transform(tags, lambda x: F.lower(F.trim(x))),
+        }
+    )
+    title, text = F.col("__title"), F.col("__body")
 
     def score(spec: dict) -> Column:
         own = [x.lower() for x in spec["tags"]]
-        tag_hits = F.size(F.filter(tags, lambda x: F.lower(F.trim(x)).isin(*own)))
-
-        def keyword_hits(s: Column) -> Column:
-            return _total(
-                [F.when(s["title"].contains(k), 2.0).when(s["body"].contains(k), 1.0).otherwise(0.0) for k in spec["keywords"]]
-            )
-
-        return tag_hits * 3.0 + F.element_at(F.transform(texts, keyword_hits), 1)
+        tag_hits = F.size(F.filter("__tags", lambda x: x.isin(*own)))
+        return tag_hits * 3.0 + _total(
+            [F.when(title.contains(k), 2.0).when(text.contains(k), 1.0).otherwise(0.0) for k in spec["keywords"]]
+        )
 
-    return {theme: score(spec) for theme, spec in rules.THEMES.items()}
+    return prepared.withColumns({f"theme_{t}": score(s) for t, s in rules.THEMES.items()}).drop("__title", "__body", "__tags")
 
 
 def classify_themes(catalog: DataFrame) -> DataFrame:
-    """(id, themes): matching theme ids, strongest first, then by id."""
-    return catalog.withColumn("themes", matched_themes())
-
-
-def matched_themes() -> Column:
-    scored = F.array(
-        *[F.struct((-s).alias("neg"), F.lit(t).alias("theme")) for t, s in theme_scores().items()]
-    )
+    """Adds `themes`: matching theme ids, strongest first, then by id."""
+    scored = F.array(*[F.struct((-F.col(f"theme_{t}")).alias("neg"), F.lit(t).alias("theme")) for t in rules.THEMES])
     kept = F.array_sort(F.filter(scored, lambda s: s["neg"] <= -1.0))
-    return F.transform(kept, lambda s: s["theme"])
+    names = [f"theme_{t}" for t in rules.THEMES]
+    return with_theme_scores(catalog).withColumn("themes", F.transform(kept, lambda s: s["theme"])).drop(*names)
 
 
 def theme_counts(catalog: DataFrame, paths: DataFrame) -> DataFrame:
     """Datasets per primary theme and curated paths per theme; themes without any stay, with zero."""
-    primary = catalog.where("ingestible").select(F.get(matched_themes(), F.lit(0)).alias("theme"))
+    primary = classify_themes(catalog.where("ingestible")).select(F.get("themes", F.lit(0)).alias("theme"))
     counted = primary.where("theme is not null").groupBy("theme").agg(F.count(F.lit(1)).alias("dataset_count"))
     by_path = paths.groupBy(F.col("topic").alias("theme")).agg(F.count(F.lit(1)).alias("path_count"))
     listed = catalog.sparkSession.createDataFrame(

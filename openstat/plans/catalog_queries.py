@@ -18,7 +18,7 @@ def catalog(spark, d):
         F.when(k == 0, "Unemployment and wage").when(k == 1, "Hospital mortality").when(k == 2, "Forest and water")
         .when(k == 3, "School enrollment").when(k == 4, "Poverty").otherwise("Notes")
     )
-    docs = t(spark, d, "documents")
+    docs = t(spark, d, "documents", heavy=True)
     title = F.concat_ws(" ", word, "source")
     rows = docs.select(
         F.col("doc_id").alias("id"),

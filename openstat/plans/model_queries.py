@@ -70,7 +70,7 @@ def kmeans_whole_table(spark, d):
     """Every line clustered into three groups, scored by the linear-cost silhouette."""
     from pyspark.ml.feature import VectorAssembler
 
-    points = clusters.with_row_id(clusters.standardize(t(spark, d, "lineitem").select(*_MEASURES), _MEASURES))
+    points = clusters.with_row_id(clusters.standardize(t(spark, d, "lineitem", heavy=True).select(*_MEASURES), _MEASURES))
     labeled = clusters.kmeans_labels(points, _MEASURES, range(3, 4))
     score = clusters.squared_silhouette(
         VectorAssembler(inputCols=_MEASURES, outputCol="features").transform(labeled), "features", "k3"
@@ -111,7 +111,7 @@ def pca_components(spark, d):
 @query("isolation_forest")
 def isolation_forest(spark, d):
     """Unusual lines of the whole table, by return flag."""
-    lines = t(spark, d, "lineitem").select("l_returnflag", *_MEASURES)
+    lines = t(spark, d, "lineitem", heavy=True).select("l_returnflag", *_MEASURES)
     points = clusters.with_row_id(clusters.standardize(lines, _MEASURES))
     forest = outliers.train_forest(points, _MEASURES)
     scored = cut_lineage(outliers.isolation_scores(points, _MEASURES, forest))

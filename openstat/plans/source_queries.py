@@ -155,9 +155,9 @@ def trim_to_bytes(spark, d):
 
 def _payloads(spark, d):
     """Web pages, event properties, document texts, and CSV and JSON tables built from orders."""
-    pages = t(spark, d, "pages").select(F.lit("page").alias("family"), F.col("page_id").cast("string").alias("id"), F.col("html").alias("payload"))
-    props = t(spark, d, "events").select(F.lit("props"), F.col("event_id").cast("string"), "props")
-    docs = t(spark, d, "documents").select(
+    pages = t(spark, d, "pages", heavy=True).select(F.lit("page").alias("family"), F.col("page_id").cast("string").alias("id"), F.col("html").alias("payload"))
+    props = t(spark, d, "events", heavy=True).select(F.lit("props"), F.col("event_id").cast("string"), "props")
+    docs = t(spark, d, "documents", heavy=True).select(
         F.lit("zip"), F.col("doc_id").cast("string"), F.concat(F.lit("PK"), "text")
     )
     o = t(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_totalprice"))).alias("rows"))

@@ -39,7 +39,7 @@ def guarded_filter(spark, d):
 
 def _text_orders(spark, d):
     """Orders as text, with gaps, a mixed column and a year column."""
-    o = t(spark, d, "orders")
+    o = t(spark, d, "orders", heavy=True)
     return o.select(
         F.col("o_orderkey").cast("string").alias("key_text"),
         F.when(F.col("o_orderkey") % 4 == 0, "n/a").otherwise(F.format_string("%.2f", "o_totalprice")).alias("price_text"),

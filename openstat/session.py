@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +24,25 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One fixture table. Analysis days and years are UTC, so the session is too."""
+def read_table(spark: SparkSession, folder: str, name: str, heavy: bool = False) -> DataFrame:
+    """One table of a folder. Analysis days and years are UTC, so the session is too.
+
+    `heavy` passes spread the rows: each of these tables is one file.
+    """
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    table = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spread(table, len(table.inputFiles())) if heavy else table
+
+
+def spread(df: DataFrame, files: int = 1) -> DataFrame:
+    """Deal rows to all cores when a source of few files would leave most of them idle.
+
+    For expression- or Python-heavy passes over a table whose number of files is
+    known; a source with at least as many files as cores is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if files < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +65,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write a wide table once to the shared folder and read it back as columns.
+
+    Later passes then read only the columns they use, and Spark knows its size.
+    """
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows once to the shared folder so later steps see fixed values."""
     spark = df.sparkSession
