@@ -794,10 +794,10 @@ _LINE_PANEL_SQL = f"""SELECT {_ENTITY_SQL} AS entity_id, year(l_shipdate) AS yea
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2 HAVING entity_id IS NOT NULL"""
 
 
-@query("panel_means", f"SELECT entity_id, year::BIGINT AS year, round(value, 4) AS value FROM ({_ORDER_PANEL_SQL})")
+@query("panel_means", f"SELECT entity_id, year::BIGINT AS year, round(value, 6) AS value FROM ({_ORDER_PANEL_SQL})")
 def panel_means(spark, d):
     rows = joins.panel_means(_order_panel(spark, d), "country", "date", "value")
-    return rows.select("entity_id", F.col("year").cast("bigint").alias("year"), F.round("value", 4).alias("value"))
+    return rows.select("entity_id", F.col("year").cast("bigint").alias("year"), F.round("value", 6).alias("value"))
 
 
 def merged_panel(spark, d):
@@ -811,10 +811,10 @@ MERGED_SQL = f"""SELECT a.entity_id, a.year, a.value AS value_a, b.value AS valu
   FROM ({_ORDER_PANEL_SQL}) a JOIN ({_LINE_PANEL_SQL}) b ON a.entity_id = b.entity_id AND a.year = b.year"""
 
 
-@query("merge_panels", f"SELECT entity_id, year::BIGINT AS year, round(value_a, 4) AS value_a, round(value_b, 4) AS value_b FROM ({MERGED_SQL})")
+@query("merge_panels", f"SELECT entity_id, year::BIGINT AS year, round(value_a, 6) AS value_a, round(value_b, 6) AS value_b FROM ({MERGED_SQL})")
 def merge_panels(spark, d):
     return merged_panel(spark, d).select(
-        "entity_id", F.col("year").cast("bigint").alias("year"), F.round("value_a", 4).alias("value_a"), F.round("value_b", 4).alias("value_b")
+        "entity_id", F.col("year").cast("bigint").alias("year"), F.round("value_a", 6).alias("value_a"), F.round("value_b", 6).alias("value_b")
     )
 
 
