@@ -52,21 +52,21 @@ def group_means(df: DataFrame, measure: str, factor: str) -> DataFrame:
 
 def _spread(moments: DataFrame) -> DataFrame:
     """Per plan: rows and sample deviation over the kept levels, means and their range over the tested."""
-    kept = moments.where("kept")
+    kept_n = F.when(F.col("kept"), F.col("n"))
     w = W.partitionBy(*PLAN)
-    centered = kept.withColumn(
-        "grand", F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w)
+    centered = moments.withColumn(
+        "grand", F.sum(kept_n * F.col("mean")).over(w) / F.sum(kept_n).over(w)
     )
-    within = F.col("n") * F.col("var_pop")
-    between = F.col("n") * (F.col("mean") - F.col("grand")) ** 2
+    within = kept_n * F.col("var_pop")
+    between = kept_n * (F.col("mean") - F.col("grand")) ** 2
     t = F.col("tested")
     sample_var = F.col("var_pop") * F.col("n") / (F.col("n") - 1)
     share = F.when(t, sample_var / F.col("n"))
     first = F.min_by("mean", F.when(t, F.col("level")))
     last = F.max_by("mean", F.when(t, F.col("level")))
     return centered.groupBy(*PLAN).agg(
-        F.sum("n").alias("n"),
-        F.sqrt(F.sum(within + between) / (F.sum("n") - 1)).alias("std"),
+        F.sum("n").alias("n_all"), F.sum(kept_n).alias("n"),
+        F.sqrt(F.sum(within + between) / (F.sum(kept_n) - 1)).alias("std"),
         F.count_if(t).alias("groups"),
         F.sum(F.when(t, F.col("n"))).alias("n_tested"),
         (F.max(F.when(t, F.col("mean"))) - F.min(F.when(t, F.col("mean")))).alias("effect"),
@@ -81,13 +81,16 @@ def _spread(moments: DataFrame) -> DataFrame:
     )
 
 
+def _welch_statistic() -> tuple[Column, Column]:
+    t = F.try_divide("difference", F.sqrt("error2"))
+    return t, F.try_divide(F.col("error2") * F.col("error2"), F.col("error4"))
+
+
 def welch(moments: DataFrame) -> DataFrame:
     """t and df for plans with exactly two tested levels, first level minus last in name order."""
-    s = _spread(moments).where("groups = 2")
-    return s.select(
-        *PLAN, F.lit("welch_t").alias("method"),
-        F.try_divide("difference", F.sqrt("error2")).alias("statistic"),
-        F.try_divide(F.col("error2") * F.col("error2"), F.col("error4")).alias("df"),
+    t, df = _welch_statistic()
+    return _spread(moments).where("groups = 2").select(
+        *PLAN, F.lit("welch_t").alias("method"), t.alias("statistic"), df.alias("df")
     )
 
 
@@ -129,17 +132,31 @@ def normalized_effect(effect: Column, std: Column) -> Column:
 def group_tests(df: DataFrame, plans: list[tuple[str, str]]) -> DataFrame:
     """One row per plan: method, statistic, df, p, effect, normalized effect, n, means."""
     rows = long_form(df, plans)
-    moments = cut_lineage(group_moments(rows))  # one row per plan and level, read five times
-    totals = moments.groupBy(*PLAN).agg(F.sum("n").alias("n_all"))
-    stats = welch(moments).unionByName(kruskal(rows, moments))
-    p = F.when(F.col("method") == "welch_t", t_pvalue(F.col("statistic"), F.col("df"))).otherwise(
-        chi2_pvalue(F.col("statistic"), F.col("df"))
+    moments = cut_lineage(group_moments(rows))  # one row per plan and level
+    t, welch_df = _welch_statistic()
+    two = F.col("groups") == 2
+    spread = _spread(moments).withColumns(
+        {"w_statistic": F.when(two, t), "w_df": F.when(two, welch_df)}
     )
+    many = moments.where("tested").groupBy(*PLAN).agg(F.count(F.lit(1)).alias("g")).where("g >= 3")
+    if many.limit(1).count():
+        ranked = kruskal(rows, moments).select(*PLAN, F.col("statistic").alias("h"), F.col("df").alias("h_df"))
+        spread = spread.join(F.broadcast(ranked), PLAN, "left")  # one row per plan
+    else:
+        spread = spread.withColumns({"h": F.lit(None).cast("double"), "h_df": F.lit(None).cast("double")})
+    p = F.when(two, t_pvalue(F.col("statistic"), F.col("df"))).otherwise(chi2_pvalue(F.col("statistic"), F.col("df")))
     return (
-        _spread(moments).join(stats, PLAN).join(totals, PLAN)
-        .where("n_all >= 12")
+        spread.where("n_all >= 12 and groups >= 2")
+        .withColumns(
+            {
+                "method": F.when(two, "welch_t").otherwise("kruskal"),
+                "statistic": F.coalesce("w_statistic", "h"), "df": F.coalesce("w_df", "h_df"),
+            }
+        )
+        .where("statistic is not null")
         .withColumn("p", p)
         .withColumn("normalized", normalized_effect(F.col("effect"), F.col("std")))
+        .drop("w_statistic", "w_df", "h", "h_df")
     )
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from openstat import rules
 from openstat.functions.text import literal_map, search_tokens, tokenize
 from openstat.operators.joins import complete_members
+from openstat.session import cut_lineage
 
 
 def _words(words) -> Column:
@@ -147,7 +148,8 @@ def classify_themes(catalog: DataFrame) -> DataFrame:
 def theme_counts(catalog: DataFrame, paths: DataFrame) -> DataFrame:
     """Datasets per primary theme and curated paths per theme; themes without any stay, with zero."""
     primary = classify_themes(catalog.where("ingestible")).select(F.get("themes", F.lit(0)).alias("theme"))
-    counted = primary.where("theme is not null").groupBy("theme").agg(F.count(F.lit(1)).alias("dataset_count"))
+    # one row per theme, written so that join filters are not pushed into the scoring
+    counted = cut_lineage(primary.groupBy("theme").agg(F.count(F.lit(1)).alias("dataset_count")))
     by_path = paths.groupBy(F.col("topic").alias("theme")).agg(F.count(F.lit(1)).alias("path_count"))
     listed = catalog.sparkSession.createDataFrame(
         [(k, v["title"]) for k, v in rules.THEMES.items()], "theme string, title string"

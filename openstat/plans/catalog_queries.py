@@ -118,9 +118,10 @@ def classify_themes(spark, d):
 
 
 def paths(spark, d):
-    """Curated paths from parts: one per brand, with its names as patterns and its parts as members."""
+    """Curated paths from parts: one per brand and key block, with its names as patterns and its parts as members."""
     topics = list(rules.THEMES)
-    p = t(spark, d, "part")
+    block = F.expr("p_partkey div 50000").cast("string")
+    p = t(spark, d, "part").withColumn("p_brand", F.concat("p_brand", F.lit("/"), block))
     brand_no = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
     topic = F.element_at(F.array(*[F.lit(x) for x in topics]), (brand_no % 5 + 1).cast("int"))
     return p.groupBy("p_brand").agg(
@@ -134,9 +135,10 @@ def paths(spark, d):
     )
 
 
+_BLOCKS = "(SELECT * REPLACE (p_brand || '/' || (p_partkey // 50000) AS p_brand) FROM part)"
 _PATHS = f"""SELECT p_brand AS path_id, 'Small ring of ' || p_brand AS title, 'Compare widget sizes from ' || min(p_size) AS description,
   [{", ".join(f"'{x}'" for x in rules.THEMES)}][regexp_extract(p_brand, '(\\d+)', 1)::INT % 5 + 1] AS topic,
-  CASE regexp_extract(p_brand, '(\\d+)', 1)::INT % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'good' ELSE 'draft' END AS quality FROM part GROUP BY p_brand"""
+  CASE regexp_extract(p_brand, '(\\d+)', 1)::INT % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'good' ELSE 'draft' END AS quality FROM {_BLOCKS} GROUP BY p_brand"""
 _WEIGHT = "CASE quality WHEN 'verified' THEN 0.5 WHEN 'good' THEN 0.25 ELSE 0.1 END"
 
 
@@ -156,7 +158,7 @@ _Q_TOKENS = text.tokenize(_QUESTION)
 
 @query(
     "match_paths",
-    f"""WITH p AS ({_PATHS}), n AS (SELECT DISTINCT p_brand, p_name FROM part),
+    f"""WITH p AS ({_PATHS}), n AS (SELECT DISTINCT p_brand, p_name FROM {_BLOCKS}),
          k AS (SELECT p_brand, sum(CASE WHEN contains('{_QUESTION}', lower(p_name)) THEN 1.5 ELSE 0 END
                + 0.35 * len(list_distinct(list_filter(string_split(lower(p_name), ' '), lambda w: w IN ({", ".join(f"'{w}'" for w in _Q_TOKENS)}))))) AS s FROM n GROUP BY 1),
          x AS (SELECT path_id, quality, {_WEIGHT} AS w, k.s + {" + ".join(f"(CASE WHEN contains(lower(title), '{w}') OR contains(lower(description), '{w}') THEN 0.2 ELSE 0 END)" for w in _Q_TOKENS)} AS s FROM p JOIN k ON k.p_brand = p.path_id)
@@ -168,7 +170,7 @@ def match_paths(spark, d):
 
 @query(
     "valid_curated_paths",
-    f"""SELECT path_id, title, quality FROM ({_PATHS}) WHERE topic = 'health' AND path_id IN (SELECT p_brand FROM part GROUP BY 1 HAVING count(*) = count(*) FILTER (p_retailprice < 1090 OR p_brand <> 'Brand#1'))""",
+    f"""SELECT path_id, title, quality FROM ({_PATHS}) WHERE topic = 'health' AND path_id IN (SELECT p_brand FROM {_BLOCKS} GROUP BY 1 HAVING count(*) = count(*) FILTER (p_retailprice < 1090 OR NOT starts_with(p_brand, 'Brand#1/')))""",
 )
 def valid_curated_paths(spark, d):
     available = t(spark, d, "part").select(
@@ -179,7 +181,7 @@ def valid_curated_paths(spark, d):
 
 @query(
     "complete_members",
-    """SELECT p_brand AS path_id FROM part GROUP BY 1 HAVING count(*) = count(*) FILTER (p_size > 1)""",
+    f"""SELECT p_brand AS path_id FROM {_BLOCKS} GROUP BY 1 HAVING count(*) = count(*) FILTER (p_size > 1)""",
 )
 def complete_members(spark, d):
     ids = t(spark, d, "part").where("p_size > 1").select(F.col("p_partkey").alias("id"))
@@ -209,12 +211,12 @@ def without_used_ids(spark, d):
     "batch_lookup",
     """SELECT l_orderkey AS request, l_partkey AS id, p_name, CASE WHEN p_size <= 10 THEN 'Dataset not available for analysis: ' || l_partkey END AS error, count(*) AS n
        FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL
-       UNION ALL SELECT l_orderkey, -1, NULL, 'Unknown resource: -1', 1 FROM lineitem GROUP BY 1""",
+       UNION ALL SELECT l_orderkey, -1, NULL, 'Unknown resource: -1', count(*) FROM lineitem GROUP BY 1""",
 )
 def batch_lookup(spark, d):
-    """Each order asks for its parts, plus one id that does not exist."""
-    asked = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("request")).agg(
-        F.concat(F.collect_list("l_partkey"), F.array(F.lit(-1).cast("bigint"))).alias("ids")
+    """Each line of an order asks for its part and for an id that does not exist."""
+    asked = t(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("request"), F.array(F.col("l_partkey"), F.lit(-1).cast("bigint")).alias("ids")
     )
     parts = t(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", (F.col("p_size") > 10).alias("ingestible"))
     rows = joins.batch_lookup(asked, parts)

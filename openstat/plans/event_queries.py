@@ -105,7 +105,7 @@ def duration_stats(spark, d):
 
 @query(
     "session_gap_stats",
-    """WITH g AS (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events),
+    """WITH g AS (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS gap FROM events),
        s AS (SELECT gap / 1e6 AS duration FROM g WHERE gap IS NOT NULL)
        SELECT count(*) AS count, round(avg(duration), 1) AS mean_sec, round(median(duration), 1) AS median_sec, round(quantile_cont(duration, 0.9), 1) AS p90_sec, round(max(duration), 1) AS max_sec, round(min(duration), 1) AS min_sec FROM s""",
 )
@@ -113,7 +113,7 @@ def session_gap_stats(spark, d):
     from pyspark.sql import Window as W
 
     e = t(spark, d, "events")
-    previous = F.lag("ts").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    previous = F.lag("ts").over(W.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id"))
     gaps = e.select(previous.alias("created_at"), F.col("ts").alias("updated_at")).where("created_at is not null")
     return metrics.duration_stats(metrics.with_duration(gaps))
 

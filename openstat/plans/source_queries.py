@@ -60,7 +60,7 @@ def parse_json_objects(spark, d):
 @query(
     "flatten_indicator",
     """SELECT CASE WHEN n_nationkey % 4 = 0 THEN printf('N%02d', n_nationkey) ELSE upper(left(n_name, 3)) END AS countryiso3code, n_name AS country, 'IND' AS indicator_id,
-              'Order value' AS indicator, year(o_orderdate)::VARCHAR AS date, round(avg(o_totalprice), 4) AS value
+              'Order value' AS indicator, year(o_orderdate)::VARCHAR AS date, round(avg(o_totalprice), 6) AS value
        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""",
 )
 def flatten_indicator(spark, d):
@@ -76,7 +76,7 @@ def flatten_indicator(spark, d):
         code.alias("countryiso3code"), F.col("date"), F.struct(F.col("v").alias("value")).alias("value"),
     ))
     rows = scan.flatten_indicator(per_year.select(record.alias("record")), "record")
-    return rows.withColumn("value", F.round("value", 4))
+    return rows.withColumn("value", F.round("value", 6))
 
 
 @query(
@@ -85,11 +85,12 @@ def flatten_indicator(spark, d):
        FROM events WHERE event_id % 7 NOT IN (0, 1, 2) GROUP BY ALL""",
 )
 def flatten_observations(spark, d):
-    """One payload per user and day; dots, blanks and words are dropped."""
+    """One payload per user, day and key block; dots, blanks and words are dropped."""
     k = F.col("event_id") % 7
     raw = F.when(k == 0, ".").when(k == 1, "").when(k == 2, "n/a").otherwise(F.col("value").cast("string"))
-    e = t(spark, d, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("date"), raw.alias("value"))
-    payloads = e.groupBy("user_id", "date").agg(
+    block = F.expr("event_id div 50000").alias("block")
+    e = t(spark, d, "events").select("user_id", block, F.date_format("ts", "yyyy-MM-dd").alias("date"), raw.alias("value"))
+    payloads = e.groupBy("user_id", "date", "block").agg(
         F.to_json(F.struct(F.collect_list(F.struct("date", "value")).alias("observations"))).alias("payload")
     )
     rows = scan.flatten_observations(
@@ -118,19 +119,20 @@ def assemble_chunks(spark, d):
 @query(
     "assemble_pages",
     """WITH r AS (SELECT o_orderstatus AS source, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) AS i, o_orderkey FROM orders),
-            p AS (SELECT source, i // 500 + 1 AS page, i % 500 AS pos, i, o_orderkey FROM r),
+            p AS (SELECT source, o_orderkey // 1500 + 1 AS page, i, o_orderkey FROM r),
             tot AS (SELECT source, count(*) AS total, max(page) AS pages FROM p GROUP BY 1),
             bad AS (SELECT source, min(page) AS b FROM (SELECT DISTINCT source, page FROM p) WHERE source = 'F' AND page = 5 GROUP BY 1)
        SELECT p.source, count(*) AS n, max(o_orderkey) AS last_key FROM p JOIN tot USING (source) LEFT JOIN bad USING (source)
        WHERE i < least(4000, total) AND (b IS NULL OR page < b) GROUP BY 1""",
 )
 def assemble_pages(spark, d):
-    """Orders of each status in pages of 500; page 5 of one source failed."""
+    """Orders of each status in pages of 1 500 keys; page 5 of one source failed."""
     from pyspark.sql import Window as W
 
-    i = F.row_number().over(W.partitionBy("o_orderstatus").orderBy("o_orderkey")) - 1
-    rows = t(spark, d, "orders").select(F.col("o_orderstatus").alias("source"), i.alias("i"), "o_orderkey")
-    rows = rows.select("source", (F.floor(F.col("i") / 500) + 1).alias("page"), (F.col("i") % 500).alias("pos"), "o_orderkey")
+    rows = t(spark, d, "orders").select(
+        F.col("o_orderstatus").alias("source"), (F.floor(F.col("o_orderkey") / 1500) + 1).alias("page"), "o_orderkey"
+    )
+    rows = rows.withColumn("pos", F.row_number().over(W.partitionBy("source", "page").orderBy("o_orderkey")) - 1)
     totals = rows.groupBy("source").agg(F.count(F.lit(1)).alias("total"), F.max("page").alias("pages"))
     pages = rows.select("source", "page").distinct().join(totals, "source").withColumn(
         "ok", ~((F.col("source") == "F") & (F.col("page") == 5))
@@ -153,6 +155,11 @@ def trim_to_bytes(spark, d):
 # --- probes -----------------------------------------------------------------------------
 
 
+def _block():
+    """Payloads hold one customer's orders of one key block, so none grows with the table."""
+    return F.expr("o_orderkey div 50000").alias("block")
+
+
 def _payloads(spark, d):
     """Web pages, event properties, document texts, and CSV and JSON tables built from orders."""
     pages = t(spark, d, "pages", heavy=True).select(F.lit("page").alias("family"), F.col("page_id").cast("string").alias("id"), F.col("html").alias("payload"))
@@ -160,7 +167,7 @@ def _payloads(spark, d):
     docs = t(spark, d, "documents", heavy=True).select(
         F.lit("zip"), F.col("doc_id").cast("string"), F.concat(F.lit("PK"), "text")
     )
-    o = t(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_totalprice"))).alias("rows"))
+    o = t(spark, d, "orders").groupBy("o_custkey", _block()).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_totalprice"))).alias("rows"))
     line = F.transform("rows", lambda r: F.concat_ws(",", r["o_orderkey"].cast("string"), r["o_orderstatus"]))
     csv = o.select(F.lit("csv"), F.col("o_custkey").cast("string"), F.concat(F.lit("order_key,status\n"), F.array_join(line, "\n")))
     records = o.select(F.lit("json"), F.col("o_custkey").cast("string"), F.to_json("rows"))
@@ -172,7 +179,7 @@ def _payloads(spark, d):
 
 @query(
     "probe_payloads",
-    """WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
+    """WITH c AS (SELECT o_custkey, o_orderkey // 50000 AS block, count(*) AS n FROM orders GROUP BY 1, 2)
        SELECT 'page' AS family, 'HTML' AS detected_format, FALSE AS ingestible, 'HTML page, not a data file' AS reason, count(*) AS n FROM pages
        UNION ALL SELECT 'props', 'JSON_NESTED', FALSE, 'need at least 2 columns for analysis', count(*) FROM events
        UNION ALL SELECT 'zip', 'ZIP', FALSE, 'ZIP archive — unpack not supported yet', count(*) FROM documents
@@ -187,10 +194,10 @@ def probe_payloads(spark, d):
 @query(
     "probe_indicator_envelope",
     """SELECT n >= 20 AS ingestible, CASE WHEN n >= 20 THEN 'World Bank API (' || n || ' observations)' ELSE 'World Bank indicator has ' || n || ' row(s) — need at least 20' END AS reason, count(*) AS n
-       FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) GROUP BY ALL""",
+       FROM (SELECT o_custkey, o_orderkey // 50000 AS block, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY ALL""",
 )
 def probe_indicator_envelope(spark, d):
-    o = t(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderkey").alias("value"))).alias("rows"))
+    o = t(spark, d, "orders").groupBy("o_custkey", _block()).agg(F.collect_list(F.struct(F.col("o_orderkey").alias("value"))).alias("rows"))
     payload = F.concat(F.lit('[{"total":'), F.size("rows").cast("string"), F.lit("},"), F.to_json("rows"), F.lit("]"))
     rows = probe.probe_indicator_envelope(o.select(payload.alias("payload")), "payload")
     return rows.groupBy("ingestible", "reason").agg(F.count(F.lit(1)).alias("n"))

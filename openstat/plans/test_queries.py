@@ -342,10 +342,10 @@ def rank_findings(spark, d):
 
 @query(
     "reweighted_scores",
-    f"""SELECT n, round(score * CASE type WHEN 'spearman_correlation' THEN 2.5 WHEN 'group_comparison' THEN CASE WHEN c2 = 'country' AND m_first THEN 0.05 ELSE 1.0 END ELSE 0.6 END, 4) AS score FROM ({_SCORED_SQL})""",
+    f"""SELECT n, round(score * CASE type WHEN 'spearman_correlation' THEN 2.5 WHEN 'group_comparison' THEN CASE WHEN c2 = 'country' AND m_first THEN 0.05 ELSE 1.0 END ELSE 0.6 END, 10) AS score FROM ({_SCORED_SQL})""",
 )
 def reweighted_scores(spark, d):
-    return ranking.reweight(_scored(spark, d), True).select("n", F.round("score", 4).alias("score"))
+    return ranking.reweight(_scored(spark, d), True).select("n", F.round("score", 10).alias("score"))
 
 
 _DISPLAY_SQL = f"""WITH k AS ({_RANKED_SQL}), a AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY rank) AS nth FROM k),
