@@ -3,14 +3,15 @@
 Every word falls into one of a fixed number of rows and has a sparse random index
 vector, both from its hash. One pass over all documents adds the index vectors of
 the two words on either side to a word's row; Spark sums the rows. A document is
-pooled into the mean of its words' (normalized) context vectors and the mean of
-their index vectors. A network of two layers, trained in NumPy, turns that into a
+pooled into the mean of its words' (normalized) context vectors, of their index
+vectors, and of the products of neighbours' index vectors, which repeated words raise. A network of two layers, trained in NumPy, turns that into a
 score, and a temperature fitted on rows kept apart makes the scores probabilities.
 
 The corpus statistics cover all documents; the table has a fixed size. Only the
 network is fitted on a bounded sample: at most `sample` labelled rows, those of the
 smallest hashed ids. Words keep their case; runs of other characters are words too.
-Null or empty text pools to zeros and is scored as that. Without labels of both
+Null or empty text pools to zeros and is
+scored as that. Without labels of both
 kinds the score is the share of label 1, or 0.5 without any label.
 """
 
@@ -49,7 +50,7 @@ def _places(hashes: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.n
 
 def _coded(batches: Iterator[pa.RecordBatch], name: str):
     hashes = WordHashes()
-    for batch in pieces(batches, name):
+    for batch in pieces(batches, name, 1 << 20):
         column = batch.column(batch.schema.get_field_index(name))
         found = [hashes.of(tokens(t)) for t in as_bytes(column)]
         sizes = np.array([len(f) for f in found], np.int64)
@@ -89,17 +90,24 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
 
 
 def pooled(sizes: np.ndarray, hashes: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean context vector and mean index vector of each document; zeros without words."""
+    """Mean context vector and mean index vector of each document, the mean product of the
+    index vectors of neighbours, and the logarithm of the length; zeros without words."""
     row, entries = _places(hashes)
-    out = np.zeros((len(sizes), 2 * DIM))
+    out = np.zeros((len(sizes), 3 * DIM + 1))
     has = np.flatnonzero(sizes)
     if len(has):
         starts = (np.cumsum(sizes) - sizes)[has]
         out[has, :DIM] = np.add.reduceat(vectors[row], starts, axis=0, dtype=np.float64)
-        doc = np.repeat(np.arange(len(sizes)), sizes)
+        own = np.zeros((len(row), DIM), np.float32)
         for place, sign in entries:
-            out[:, DIM:] += np.bincount(doc * DIM + place, sign, len(sizes) * DIM).reshape(-1, DIM)
-    return out / np.maximum(sizes, 1)[:, None]
+            own[np.arange(len(row)), place] += sign
+        out[has, DIM : 2 * DIM] = np.add.reduceat(own, starts, axis=0, dtype=np.float64)
+        own[:-1] *= own[1:]
+        own[(np.cumsum(sizes) - 1)[has]] = 0
+        out[has, 2 * DIM : -1] = np.add.reduceat(own, starts, axis=0, dtype=np.float64)
+    out /= np.maximum(sizes, 1)[:, None]
+    out[:, -1] = np.log1p(sizes)
+    return out
 
 
 @dataclass
@@ -152,8 +160,12 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, seed
 
 
 def calibrate(net: Network, x: np.ndarray, y: np.ndarray) -> Network:
-    """Temperature of least log loss, searched by golden section on its logarithm."""
+    """Temperature of least log loss, searched by golden section on its logarithm.
+
+    Targets keep the distance from 0 and 1 that so many rows can vouch for.
+    """
     z = net.logits(x)
+    y = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
 
     def loss(log_t: float) -> float:
         s = z / np.exp(log_t)

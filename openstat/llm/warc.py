@@ -43,6 +43,8 @@ READ = pa.schema(
 )
 #: Bytes between two records that are read along rather than skipped, and the most in one read.
 GAP, SPAN = 64 << 10, 8 << 20
+#: An archive is closed when it has reached so many bytes.
+ARCHIVE = 64 << 20
 CRLF = b"\r\n"
 
 
@@ -86,13 +88,12 @@ def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
 def _writer(folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store_, base = fs.FileSystem.from_uri(folder)
-        out, path, at = None, "", 0
+        out, path, at, index = None, "", 0, []
         for batch in batches:
-            index = []
             for row in batch.to_pylist():
                 if out is None:
-                    path = f"{base}/{uuid.uuid4().hex}.warc.gz"
-                    out, at = store_.open_output_stream(path), 0
+                    path, at, index = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, []
+                    out = store_.open_output_stream(path, compression=None)
                 made = record(row["record_type"], row)
                 out.write(made)
                 index.append(
@@ -100,13 +101,13 @@ def _writer(folder: str):
                     | {"file": path, "offset": at, "length": len(made)}
                 )
                 at += len(made)
-            if out is not None and at >= 256 << 20:
-                out.close()
-                out = None
-            if index:
-                yield pa.RecordBatch.from_pylist(index, WRITTEN)
+                if at >= ARCHIVE:  # rows of an archive are told when it is whole
+                    out.close()
+                    out = None
+                    yield pa.RecordBatch.from_pylist(index, WRITTEN)
         if out is not None:
             out.close()
+            yield pa.RecordBatch.from_pylist(index, WRITTEN)
 
     return write
 
@@ -186,12 +187,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_records(index: DataFrame, where: str = "true") -> DataFrame:
-    """The records of `index` that meet `where`, read back from the archives.
-
-    Records are dealt by archive and stretch of 64 MB, so large archives are shared out.
-    """
-    chosen = index.filter(where).withColumn("stretch", F.shiftright("offset", 26))
+    """The records of `index` that meet `where`, read back from the archives."""
     return (
-        chosen.repartition("file", "stretch").sortWithinPartitions("file", "offset")
+        index.filter(where).repartition("file").sortWithinPartitions("file", "offset")
         .mapInArrow(_read, READ_SCHEMA)
     )
