@@ -7,33 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose hashes a task remembers at a time.
-REMEMBERED = 400_000
-
-
-class WordHashes(dict):
-    """64-bit hash of a word (bytes), computed once while it is remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column."""
     return column.cast(pa.binary()).to_pylist()
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches to about `limit` bytes of text, so that memory does not follow row sizes."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
@@ -48,14 +30,15 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every bit of a 64-bit value."""
     x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 class Rolling:
-    """Hashes of all runs of k words, from one pass of prefix sums modulo 2**64."""
+    """Hashes of all runs of k values, from one pass of prefix sums modulo 2**64."""
 
     BASE = 0x9E3779B97F4A7C15
     INVERSE = pow(BASE, -1, 1 << 64)
@@ -68,18 +51,79 @@ class Rolling:
             self.up = np.cumprod(np.r_[np.uint64(1), np.full(n, self.BASE, np.uint64)])
             self.down = np.cumprod(np.r_[np.uint64(1), np.full(n, self.INVERSE, np.uint64)])
 
-    def sums(self, hashes: np.ndarray) -> np.ndarray:
-        self._powers(len(hashes) + 1)
-        return np.r_[np.uint64(0), np.cumsum(hashes * self.up[: len(hashes)])]
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        self._powers(len(values) + 1)
+        out = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.up[: len(values)], out=out[1:])
+        return out
+
+    def between(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        raw = (sums[ends] - sums[starts]) * self.down[starts]
+        return mix(raw + (ends - starts).astype(np.uint64))
 
     def grams(self, sums: np.ndarray, k: int) -> np.ndarray:
-        """Hash of the run that starts at each word; empty if fewer than k words."""
+        """Hash of the run that starts at each value; empty if there are fewer than k."""
         if len(sums) <= k:
             return np.empty(0, np.uint64)
         raw = (sums[k:] - sums[:-k]) * self.down[: len(sums) - k]
         return mix(raw + np.uint64(k))
 
 
+#: Classes of bytes: 0 separates words, and a word is a run of one other class.
+NOT_SPACE = np.array([0 if b == 0x20 or 0x09 <= b <= 0x0D else 1 for b in range(256)], np.uint8)
+#: Random numbers for the bytes, and the same with A-Z as a-z.
+BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+LOWER_BYTES = BYTES[[b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)]]
+
+
+class WordScan:
+    """64-bit hashes of the words of a text column, straight from its bytes.
+
+    A text longer than `most` bytes is scanned in parts that end between words.
+    """
+
+    def __init__(self, classes: np.ndarray = NOT_SPACE, values: np.ndarray = BYTES, most: int = 4 << 20) -> None:
+        self.classes, self.values, self.most, self.rolling = classes, values, most, Rolling()
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all rows in order, and how many each row has."""
+        column = (column.fill_null("") if column.null_count else column).cast(pa.binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        raw = column.buffers()[2]
+        data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.empty(0, np.uint8)
+        offsets = offsets - offsets[0]
+        if len(data) <= self.most:
+            return self._scan(data, offsets)
+        found, counts = [np.empty(0, np.uint64)], np.zeros(len(column), np.int64)
+        for row, (a, end) in enumerate(zip(offsets, offsets[1:])):
+            while a < end:
+                b = min(a + self.most, end)
+                while b < end and not (gaps := np.flatnonzero(self.classes[data[a:b]] == 0)).size:
+                    b = min(b + self.most, end)
+                if b < end:
+                    b = a + int(gaps[-1]) + 1
+                words, n = self._scan(data[a:b], np.array([0, b - a]))
+                found.append(words)
+                counts[row] += n[0]
+                a = b
+        return np.concatenate(found), counts
+
+    def _scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(data):
+            return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+        kind = self.classes[data]
+        before, after = np.zeros_like(kind), np.zeros_like(kind)
+        before[1:], after[:-1] = kind[:-1], kind[1:]
+        inner = offsets[(offsets > 0) & (offsets < len(data))]
+        before[inner] = 0
+        after[inner - 1] = 0
+        word = kind != 0
+        starts = np.flatnonzero(word & (kind != before))
+        ends = np.flatnonzero(word & (kind != after)) + 1
+        hashes = self.rolling.between(self.rolling.sums(self.values[data]), starts, ends)
+        return hashes, np.diff(np.searchsorted(starts, offsets))
+
+
 #: Keys share ranges of their upper bits; a range this many times the mean is frequent.
 RANGE_BITS, FREQUENT = 16, 8
 

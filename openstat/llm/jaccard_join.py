@@ -8,17 +8,19 @@ a set enters the index of both pairs that its band belongs to.
 
 Which segments are indexed, and how, goes by cost. An empty segment would match
 everything and is skipped; by the pigeonhole principle a skipped segment is made up
-for by one that also admits a difference of one, so such a set also indexes the
-one-deletion neighbourhood of its segments. Segments that turn out too costly (many
-sets that do not link share them) are skipped and made up for in the same way;
-where a set has too few other segments, its pairs are compared one by one.
-
-Equal sets are one node. In each index entry all nodes are compared with the first;
-pairs beyond that only count between different components, so a thousand near
-copies cost a thousand comparisons. Before texts are compared, pairs are dropped
-that cannot be similar by their sizes or by parity sketches (a shingle in one set
-only flips one bit, so more differing bits than H prove the sets unlike). The rest
-is verified on the texts.
+for by one that also admits a difference of one. So the first few segments, as many
+as are expected empty and some more, are indexed with their one-deletion
+neighbourhoods; a set with more empty ones indexes the neighbourhoods of all.
+Segments that turn out too costly (many sets that do not link share them) are
+skipped and made up for in the same way; where a set has too few other segments, its
+costly ones stay. A neighbourhood meets whole segments only, never another one.
+
+Equal sets are one node. In each index entry all nodes are first compared with one;
+beyond that only nodes of different components count, so a thousand near copies cost
+a few thousand comparisons. They meet in blocks of bounded size, by parity sketches
+first: a shingle in one of two sets flips one bit, so more differing bits than H
+prove the sets unlike. What the sketches leave is verified on the texts, the
+likeliest first, until no pair between two components is open.
 
 Words are runs without ASCII whitespace, A-Z lower-cased. Fewer words than a
 shingle make one shingle; a text without words (or null) has no shingle and no
@@ -29,6 +31,7 @@ share an id count as one document for components. Empty input gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from math import ceil, exp, sqrt
 
@@ -38,13 +41,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from openstat.llm.common import (
-    RangeCounts, WordHashes, as_bytes, frequent_ranges, mix, pieces, range_of,
+    LOWER_BYTES, NOT_SPACE, RangeCounts, WordScan, frequent_ranges, mix, pieces, range_of,
 )
 from openstat.llm.components import components
 from openstat.session import store
 
-#: Comparisons that an index entry may cost before its segments are allocated anew.
-ENTRY_COST = 1024
+#: Comparisons of sketches that an index entry may cost before its segments are allocated anew.
+ENTRY_COST = 1 << 20
+#: Nodes on either side of a block of comparisons.
+BLOCK = 2048
+#: Bits of a sketch for each shingle in which similar sets may differ.
+SKETCH_BITS = 16
+#: Likeliest partners of a node that are verified in each round; the last takes all.
+ROUNDS = (4, 32, None)
 
 
 class Threshold:
@@ -54,7 +63,7 @@ class Threshold:
         self.top, self.bottom = top, bottom
         self.starts = [1, 2]
 
-    def differ(self, total: int) -> int:
+    def differ(self, total):
         """Most shingles in which two similar sets of `total` shingles together differ."""
         return total - 2 * -(-self.top * total // (self.top + self.bottom))
 
@@ -68,6 +77,8 @@ class Threshold:
     def segments(self, scheme: int) -> tuple[int, int]:
         """Segments for the pair of bands scheme and scheme + 1, and how many of them have
         neighbourhoods; one segment if only equal sets are similar."""
+        if scheme < 0:
+            return 1, 0
         while len(self.starts) < scheme + 3:
             self.band(self.starts[-1])
         high = 2 * (self.starts[scheme + 2] - 1)
@@ -76,164 +87,211 @@ class Threshold:
         empty = m * exp(-least / m)
         return m, min(m, ceil(empty + 3 * sqrt(empty)) + 1)
 
+    @lru_cache(None)  # noqa: B019
+    def sketch_bytes(self, size: int) -> int:
+        n = 8
+        while 8 * n < SKETCH_BITS * self.differ(2 * size):
+            n *= 2
+        return n
+
     def __reduce__(self):
         return Threshold, (self.top, self.bottom)
 
 
-def shingle_hashes(words: list[bytes], k: int, hashes: WordHashes) -> np.ndarray:
-    """Distinct hashes of the shingles of a text, sorted."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = hashes.of(words)
-    n = max(1, len(h) - k + 1)
-    out = np.zeros(n, np.uint64)
-    for i in range(min(k, len(h))):
-        out = mix(out + h[i : i + n] + np.uint64(i + 1))
-    return np.unique(out)
+@dataclass
+class Sets:
+    """Distinct shingles of the non-empty sets of a batch, one set after the other."""
+
+    rows: np.ndarray
+    sizes: np.ndarray
+    shingles: np.ndarray
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
 
+    def sums(self, seed: int) -> np.ndarray:
+        parts = np.add.reduceat(mix(self.shingles + np.uint64(seed)), self.starts)
+        return mix(parts + self.sizes.astype(np.uint64)).view(np.int64)
 
-def sketch(shingles: np.ndarray, limit: Threshold) -> bytes:
-    """Parities of how many shingles fall on each of a power of two of bits."""
-    bits = 64
-    while bits < 4 * limit.differ(2 * len(shingles)):
-        bits *= 2
-    at = (mix(shingles + np.uint64(77)) & np.uint64(bits - 1)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=bits) % 2 == 1, bitorder="little").tobytes()
+    def sketches(self, limit: Threshold) -> list[bytes]:
+        """Parities of how many shingles fall on each of a power of two of bits."""
+        n = np.array([limit.sketch_bytes(int(s)) for s in self.sizes], np.int64)
+        first = np.cumsum(n) - n
+        at = (mix(self.shingles + np.uint64(77)) & np.repeat(8 * n - 1, self.sizes).astype(np.uint64)).astype(np.int64)
+        odd = np.bincount(at + np.repeat(8 * first, self.sizes), minlength=8 * n.sum()) % 2 == 1
+        raw = np.packbits(odd, bitorder="little").tobytes()
+        return [raw[a : a + b] for a, b in zip(first.tolist(), n.tolist())]
 
 
-def differing(a: bytes, b: bytes) -> int:
-    """A lower bound of the shingles in which two sets differ."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+class Shingles:
+    """Shingle sets of a text column."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.scan = k, WordScan(NOT_SPACE, LOWER_BYTES)
+
+    def __call__(self, column: pa.Array) -> Sets:
+        words, counts = self.scan(column)
+        padded = np.r_[words, np.zeros(self.k, np.uint64)]
+        left = np.repeat(np.cumsum(counts), counts) - np.arange(len(words))
+        out = np.zeros(len(words), np.uint64)
+        for i in range(self.k):
+            out = mix(out + np.where(left > i, padded[i : i + len(words)], np.uint64(0)) + np.uint64(i + 1))
+        rows, found = np.flatnonzero(counts), []
+        ends = np.cumsum(counts)
+        for row in rows:
+            a, b = ends[row] - counts[row], ends[row]
+            one = np.sort(out[a : max(a + 1, b - self.k + 1)])
+            found.append(one[np.r_[True, one[1:] != one[:-1]]])
+        return Sets(rows, np.array([len(f) for f in found], np.int64), np.concatenate([np.empty(0, np.uint64), *found]))
 
 
 class Index:
-    """Index keys of one set under one scheme."""
-
-    def __init__(self, shingles: np.ndarray, scheme: int, m: int) -> None:
-        salt = mix(np.array([scheme], np.uint64))[0]
-        value = mix(shingles ^ salt)
-        segment = ((value >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(segment, kind="stable")
-        self.segment, self.value = segment[order], mix(value[order])
-        self.first = np.flatnonzero(np.r_[True, self.segment[1:] != self.segment[:-1]])
-        self.total = np.add.reduceat(self.value, self.first)
-        self.sizes = np.diff(np.r_[self.first, len(order)])
-        self.name = mix(salt + self.segment[self.first].astype(np.uint64) + np.uint64(1))
-        self.exact = mix(self.total ^ self.name)
-        self.empty, self.m, self.salt = m - len(self.first), m, salt
-
-    def nothing(self) -> np.ndarray:
-        """Keys of the empty segments."""
-        free = np.setdiff1d(np.arange(self.m), self.segment[self.first]).astype(np.uint64)
-        return mix(mix(self.salt + free + np.uint64(1)))
-
-    def deletions(self, of: np.ndarray) -> np.ndarray:
-        """Keys of the chosen segments without one of their shingles."""
-        which = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        chosen = of[which] & (self.sizes[which] > 1)
-        which, value = which[chosen], self.value[chosen]
-        return mix((self.total[which] - value) ^ self.name[which])
-
-
-def schemes(size: int, limit: Threshold) -> list[tuple[int, int, int]]:
-    band = limit.band(size)
-    return [(s, *limit.segments(s)) for s in (band - 1, band) if s >= 0 and limit.segments(s)[0] > 1]
-
-
-def node_of(shingles: np.ndarray, seed: int) -> tuple[int, int]:
-    """Name of a set, and a second one against which the first is checked."""
-    x = mix(shingles + np.uint64(2 * seed + 1))
-    y = mix(shingles + np.uint64(2 * seed + 2))
-    parts = np.array([x.sum(), y.sum()]) + np.uint64(len(shingles))
-    return tuple(int(v) for v in mix(parts).view(np.int64))
+    """Index keys of all sets of a batch, under the lower or the upper of their two schemes.
+
+    Only segments that hold something have an entry here; `sets` says whose it is.
+    """
+
+    def __init__(self, data: Sets, limit: Threshold, upper: bool) -> None:
+        scheme = np.array([limit.band(int(s)) for s in data.sizes], np.int64) - (not upper)
+        m, near = np.array([limit.segments(int(s)) for s in scheme], np.int64).reshape(-1, 2).T
+        self.m = np.where(m > 1, m, 0)
+        first = np.cumsum(self.m) - self.m
+        salt = mix(scheme.astype(np.uint64))
+        owner = np.repeat(np.arange(len(m)), data.sizes)
+        used = self.m[owner] > 0
+        owner = owner[used]
+        value = mix(data.shingles[used] ^ salt[owner])
+        at = first[owner] + ((value >> np.uint64(32)) * self.m[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        total = int(self.m.sum())
+        value = mix(value)
+        low = np.bincount(at, (value & np.uint64(0xFFFFFFFF)).astype(float), total).astype(np.uint64)
+        high = np.bincount(at, (value >> np.uint64(32)).astype(float), total).astype(np.uint64)
+        self.value, self.at, self.sum = value, at, (high << np.uint64(32)) + low
+        self.sizes = np.bincount(at, minlength=total)
+        self.sets = np.repeat(np.arange(len(m)), self.m)
+        segment = np.arange(total) - first[self.sets]
+        self.name = mix(salt[self.sets] + segment.astype(np.uint64) + np.uint64(1))
+        self.exact = mix(self.sum ^ self.name)
+        self.near = segment < near[self.sets]
+        self.filled = self.sizes > 0
+
+    def held(self, chosen: np.ndarray) -> np.ndarray:
+        """How many of the chosen segments each set has."""
+        return np.bincount(self.sets[chosen], minlength=len(self.m))
+
+    def deletions(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sets and keys of the chosen segments without one of their shingles."""
+        take = (chosen & (self.sizes > 1))[self.at]
+        at = self.at[take]
+        return self.sets[at], mix((self.sum[at] - self.value[take]) ^ self.name[at])
 
 
 SETS = pa.schema([
     ("doc_id", pa.int64()), ("text_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()),
-    ("check", pa.int64()), ("sketch", pa.binary()),
+    ("check", pa.int64()), ("sketch", pa.binary()), ("range", pa.int64()), ("n", pa.int64()),
 ])
+SETS_SQL = "doc_id long, text_id long, n_shingles long, node long, check long, sketch binary, range long, n long"
 KEYS = pa.schema([("key", pa.int64()), ("kind", pa.int8()), ("node", pa.int64())])
 KEYS_SQL = "key long, kind byte, node long"
 #: Kinds of key: a whole segment, or one without one of its shingles.
 WHOLE, LESS = 0, 1
 
 
+def index_keys(data: Sets, limit: Threshold) -> list[tuple[np.ndarray, int, np.ndarray]]:
+    """Sets, kind and keys that a batch of sets enters into the index."""
+    out = []
+    for upper in (False, True):
+        index = Index(data, limit, upper)
+        out.append((index.sets[index.filled], WHOLE, index.exact[index.filled]))
+        empty = index.held(~index.filled)
+        more = empty > index.held(index.filled & index.near)
+        out.append((*(x := index.deletions(index.near | more[index.sets]))[:1], LESS, x[1]))
+        nothing = ~index.filled & (2 * empty > index.m)[index.sets]  # too few left to make up for the empty ones
+        out.append((index.sets[nothing], WHOLE, mix(index.exact[nothing])))
+    return out
+
+
 def _sets(k: int, limit: Threshold, seed: int):
+    """A row per document, and at the end the counts of index keys by range."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        shingles, counts = Shingles(k), RangeCounts()
         for batch in pieces(batches, "text"):
-            out = []
-            rows = zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist())
-            for doc, text, text_id in rows:
-                shingles = shingle_hashes((text or b"").lower().split(), k, hashes)
-                node = node_of(shingles, seed) if len(shingles) else (None, None)
-                out.append((doc, text_id, len(shingles), *node, sketch(shingles, limit) if len(shingles) else None))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t.type) for x, t in zip(zip(*out), SETS)], schema=SETS
-            )
+            data = shingles(batch.column(1))
+            n = batch.num_rows
+            sizes, node, check = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            sketches: list[bytes | None] = [None] * n
+            if len(data.rows):
+                sizes[data.rows] = data.sizes
+                node[data.rows], check[data.rows] = data.sums(2 * seed + 1), data.sums(2 * seed + 2)
+                for row, raw in zip(data.rows.tolist(), data.sketches(limit)):
+                    sketches[row] = raw
+                for _, _, keys in index_keys(data, limit):
+                    counts.add(keys)
+            none = pa.nulls(n, pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(2), pa.array(sizes), pa.array(node, mask=sizes == 0),
+                pa.array(check, mask=sizes == 0), pa.array(sketches, pa.binary()), none, none,
+            ], schema=SETS)
+        told = counts.batch()
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(told.num_rows, f.type) for f in list(SETS)[:6]] + told.columns, schema=SETS
+        )
 
     return run
 
 
-class Keys:
-    """Index rows gathered for one batch."""
-
-    def __init__(self) -> None:
-        self.keys, self.kinds, self.nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int8)], [np.empty(0, np.int64)]
+def _batch(parts: list[tuple[np.ndarray, int, np.ndarray]], node: np.ndarray, keep=None) -> pa.RecordBatch:
+    keys = np.concatenate([p[2] for p in parts])
+    kinds = np.repeat(np.array([p[1] for p in parts], np.int8), [len(p[2]) for p in parts])
+    nodes = node[np.concatenate([p[0] for p in parts])]
+    if keep is not None:
+        chosen = keep(keys)
+        keys, kinds, nodes = keys[chosen], kinds[chosen], nodes[chosen]
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(kinds), pa.array(nodes)], schema=KEYS)
 
-    def add(self, node: int, kind: int, keys: np.ndarray) -> None:
-        self.keys.append(keys)
-        self.kinds.append(np.full(len(keys), kind, np.int8))
-        self.nodes.append(np.full(len(keys), node))
 
-    def batch(self, frequent: np.ndarray | None = None, take: bool = False) -> pa.RecordBatch:
-        keys, kinds, nodes = map(np.concatenate, (self.keys, self.kinds, self.nodes))
-        if frequent is not None:
-            keep = frequent[range_of(keys)] == take
-            keys, kinds, nodes = keys[keep], kinds[keep], nodes[keep]
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(kinds), pa.array(nodes)], schema=KEYS)
-
-
-def _indexed(batches: Iterator[pa.RecordBatch], k: int, limit: Threshold, seed: int) -> Iterator[Keys]:
-    hashes = WordHashes()
-    for batch in pieces(batches, "text"):
-        rows = Keys()
-        for text in as_bytes(batch.column(1)):
-            shingles = shingle_hashes((text or b"").lower().split(), k, hashes)
-            if not len(shingles):
-                continue
-            node = node_of(shingles, seed)[0]
-            for scheme, m, near in schemes(len(shingles), limit):
-                index = Index(shingles, scheme, m)
-                rows.add(node, WHOLE, index.exact)
-                chosen = index.segment[index.first] < near
-                if index.empty > chosen.sum():
-                    chosen[:] = True
-                rows.add(node, LESS, index.deletions(chosen))
-                if 2 * index.empty > m:  # too few segments left to make up for the empty ones
-                    rows.add(node, WHOLE, index.nothing())
-        yield rows
-
-
-def _count_keys(k: int, limit: Threshold, seed: int):
+def _keys(k: int, limit: Threshold, seed: int, frequent: np.ndarray, take: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = RangeCounts()
-        for rows in _indexed(batches, k, limit, seed):
-            counts.add(np.concatenate(rows.keys))
-        yield counts.batch()
+        shingles = Shingles(k)
+        for batch in pieces(batches, "text"):
+            data = shingles(batch.column(1))
+            if len(data.rows):
+                yield _batch(index_keys(data, limit), data.sums(2 * seed + 1), lambda x: frequent[range_of(x)] == take)
 
     return run
 
 
-def _keys(k: int, limit: Threshold, seed: int, frequent: np.ndarray, take: bool):
+def _reallocated(k: int, limit: Threshold):
+    """For nodes with costly keys: their other segments and all neighbourhoods of these, or,
+    where they are too few, the costly ones as well."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _indexed(batches, k, limit, seed):
-            yield rows.batch(frequent, take)
+        shingles = Shingles(k)
+        for batch in pieces(batches, "text"):
+            node = batch.column(0).to_numpy()
+            data = shingles(batch.column(1))
+            costly = [np.array(c, np.int64).view(np.uint64) for c in batch.column(2).to_pylist()]
+            whole: list[list[np.ndarray]] = [[] for _ in costly]
+            parts = []
+            for upper in (False, True):
+                index = Index(data, limit, upper)
+                hot = np.zeros(len(index.exact), bool)
+                bounds = np.r_[0, np.cumsum(index.m)]
+                for i, c in enumerate(costly):
+                    own = index.exact[bounds[i] : bounds[i + 1]]
+                    hot[bounds[i] : bounds[i + 1]] = np.isin(own, c)
+                    whole[i].append(own)
+                cold = index.filled & ~hot
+                parts.append((index.sets[cold], WHOLE, index.exact[cold]))
+                parts.append((*(x := index.deletions(cold))[:1], LESS, x[1]))
+                few = hot & (2 * index.held(cold) < index.m)[index.sets]
+                parts.append((index.sets[few], WHOLE, mix(index.exact[few])))
+            for i, c in enumerate(costly):  # met in a neighbourhood
+                other = np.setdiff1d(c, np.concatenate(whole[i]))
+                parts.append((np.full(len(other), i), LESS, mix(other)))
+            yield _batch(parts, node)
 
     return run
 
@@ -251,19 +309,27 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row, first, written = (None, None, None), None, False
     for batch in batches:
         key, kind, node = (batch.column(i).to_numpy() for i in range(3))
-        new = np.r_[(key[0], kind[0], node[0]) != row, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]) | (node[1:] != node[:-1])] if len(key) else np.zeros(0, bool)
+        if not len(key):
+            continue
+        new = np.r_[
+            (key[0], kind[0], node[0]) != row,
+            (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]) | (node[1:] != node[:-1]),
+        ]
         key, kind, node = key[new], kind[new], node[new]
         if not len(key):
             continue
         starts = np.r_[key[0] != row[0], key[1:] != key[:-1]]
         group = np.cumsum(starts)  # 0 is the entry that goes on from the last batch
         at = np.flatnonzero(starts)
-        leader = np.r_[0 if first is None else first, node[at]]
+        leader = np.r_[np.int64(0 if first is None else first), node[at]]
         valid = np.r_[first is not None, kind[at] == WHOLE]
         sizes = np.bincount(group, minlength=len(at) + 1)
         rest = ~starts & valid[group]
-        led = np.flatnonzero(valid[1:] & (sizes[1:] > 1))
-        out = [np.r_[key[rest], key[at[led]]], np.r_[kind[rest], kind[at[led]]], np.r_[node[rest], node[at[led]]], np.r_[leader[group[rest]], node[at[led]]]]
+        led = at[valid[1:] & (sizes[1:] > 1)]
+        out = [
+            np.r_[key[rest], key[led]], np.r_[kind[rest], kind[led]], np.r_[node[rest], node[led]],
+            np.r_[leader[group[rest]], node[led]],
+        ]
         if not starts[0] and first is not None and not written:
             out = [np.r_[x, np.array([y], x.dtype)] for x, y in zip(out, (row[0], WHOLE, first, first))]
             written = True
@@ -273,43 +339,112 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], schema=MEMBERS)
 
 
-def _reallocated(k: int, limit: Threshold):
-    """For sets with costly keys: the other segments and all neighbourhoods, or, where
-    those are too few, the costly ones as they are."""
+def folded(sketch: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) with fewer bits."""
+    while sketch.shape[1] > width:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
+
+
+def _possible(limit: Threshold):
+    """Pairs that sizes and sketches allow, over (a, b, n_a, sketch_a, n_b, sketch_b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in pieces(batches, "text"):
-            out = Keys()
-            rows = zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist())
-            for node, text, costly in rows:
-                shingles = shingle_hashes(text.lower().split(), k, hashes)
-                skip = np.array(costly, np.int64).view(np.uint64)
-                own = [Index(shingles, scheme, m) for scheme, m, _ in schemes(len(shingles), limit)]
-                exact = np.concatenate([index.exact for index in own])
-                out.add(node, LESS, mix(np.setdiff1d(skip, exact)))
-                for index in own:
-                    cold = ~np.isin(index.exact, skip)
-                    out.add(node, WHOLE, index.exact[cold])
-                    out.add(node, LESS, index.deletions(cold))
-                    if 2 * cold.sum() < index.m:
-                        out.add(node, WHOLE, mix(index.exact[~cold]))
-            yield out.batch()
+        for batch in batches:
+            n_a, n_b = (batch.column(i).to_numpy() for i in (2, 4))
+            near = np.minimum(n_a, n_b) * limit.bottom >= np.maximum(n_a, n_b) * limit.top
+            most, keep = limit.differ(n_a + n_b), []
+            for i in np.flatnonzero(near).tolist():
+                a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64)[None] for c in (3, 5))
+                width = min(a.shape[1], b.shape[1])
+                if np.bitwise_count(folded(a, width) ^ folded(b, width)).sum() <= most[i]:
+                    keep.append(i)
+            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
     return run
 
 
-def _possible(limit: Threshold):
+@dataclass
+class Side:
+    """Nodes on one side of a block."""
+
+    node: np.ndarray
+    component: np.ndarray
+    kind: np.ndarray
+    n: np.ndarray
+    sketch: list[bytes]
+
+    def take(self, at: np.ndarray) -> Side:
+        return Side(self.node[at], self.component[at], self.kind[at], self.n[at], [self.sketch[i] for i in at])
+
+
+def compare(u: Side, v: Side, limit: Threshold, most: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Possible pairs between components of a block, for each u the `most` with the fewest
+    differing bits; and whether some u had more."""
+    widths = np.array([len(s) for s in v.sketch])
+    pairs, more = [], False
+    for i in range(len(u.node)):
+        fits = (
+            (u.component[i] != v.component) & (u.kind[i] + v.kind < 2 * LESS)
+            & (np.minimum(u.n[i], v.n) * limit.bottom >= np.maximum(u.n[i], v.n) * limit.top)
+        )
+        at = np.flatnonzero(fits)
+        if not len(at):
+            continue
+        bits = np.zeros(len(at), np.int64)
+        own = np.frombuffer(u.sketch[i], np.uint64)[None]
+        for width in np.unique(widths[at]):
+            same = np.flatnonzero(widths[at] == width)
+            other = np.frombuffer(b"".join(v.sketch[j] for j in at[same]), np.uint64).reshape(len(same), -1)
+            w = min(other.shape[1], own.shape[1])
+            bits[same] = np.bitwise_count(folded(other, w) ^ folded(own, w)).sum(1)
+        ok = np.flatnonzero(bits <= limit.differ(u.n[i] + v.n[at]))
+        if most is not None and len(ok) > most:
+            more = True
+            ok = ok[np.lexsort((v.node[at[ok]], bits[ok]))[:most]]
+        pairs += [(u.node[i], x) for x in v.node[at[ok]]]
+    a = np.array(pairs, np.int64).reshape(-1, 2)
+    return a.min(1) if len(a) else a[:, 0], a.max(1) if len(a) else a[:, 0], more
+
+
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("open", pa.int64())])
+
+
+def _blocks(limit: Threshold, most: int | None):
+    """Over rows sorted by key, block, side: possible pairs, and the keys that have more."""
+
+    def pairs(key: int, rows: pa.Table) -> pa.RecordBatch | None:
+        columns = [rows.column(c).to_numpy() for c in ("node", "component", "kind", "n_shingles", "side")]
+        sketch = rows.column("sketch").to_pylist()
+        both = Side(*columns[:4], sketch)
+        a, b, more = compare(both.take(np.flatnonzero(columns[4] == 0)), both.take(np.flatnonzero(columns[4] == 1)), limit, most)
+        if not len(a) and not more:
+            return None
+        last = np.array([key] if more else [], np.int64)
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.r_[a, last * 0], mask=np.r_[a < a, last == last]), pa.array(np.r_[b, last * 0], mask=np.r_[a < a, last == last]),
+            pa.array(np.r_[a * 0, last], mask=np.r_[a == a, last != last]),
+        ], schema=PAIRS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        unit = None
         for batch in batches:
-            n_a, n_b = (batch.column(i).to_numpy() for i in (2, 4))
-            near = np.minimum(n_a, n_b) * limit.bottom >= np.maximum(n_a, n_b) * limit.top
-            rows = [
-                i for i in np.flatnonzero(near).tolist()
-                if differing(batch.column(3)[i].as_py(), batch.column(5)[i].as_py())
-                <= limit.differ(int(n_a[i] + n_b[i]))
-            ]
-            yield batch.select([0, 1]).take(pa.array(rows, pa.int64()))
+            if not batch.num_rows:
+                continue
+            names = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            cuts = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for x, y in zip(cuts, cuts[1:]):
+                now = tuple(names[:, x].tolist())
+                if now != unit and held:
+                    if (out := pairs(unit[0], pa.Table.from_batches(held))) is not None:
+                        yield out
+                    held = []
+                unit = now
+                held.append(batch.slice(x, y - x))
+        if held and (out := pairs(unit[0], pa.Table.from_batches(held))) is not None:
+            yield out
 
     return run
 
@@ -337,24 +472,23 @@ def _similar(k: int, limit: Threshold):
 
 
 class Join:
-    """The steps over one table; `links` are verified pairs of nodes."""
+    """The steps over one table (doc_id, text, text_id)."""
 
     def __init__(self, docs: DataFrame, k: int, limit: Threshold) -> None:
-        self.docs, self.k, self.limit = docs, k, limit
+        self.k, self.limit = k, limit
         seed = 0
         while True:
-            self.sets = store(docs.mapInArrow(
-                _sets(k, limit, seed), "doc_id long, text_id long, n_shingles long, node long, check long, sketch binary"
-            ))
+            told = store(docs.mapInArrow(_sets(k, limit, seed), SETS_SQL))
+            self.sets = told.filter("range is null").drop("range", "n")
             clash = self.sets.filter("node is not null").groupBy("node").agg(
-                F.min("check").alias("low"), F.max("check").alias("high"), F.min("n_shingles").alias("n"),
-                F.max("n_shingles").alias("m"),
-            ).filter("low <> high or n <> m")
+                F.min("check").alias("low"), F.max("check").alias("high"),
+                F.min("n_shingles").alias("few"), F.max("n_shingles").alias("many"),
+            ).filter("low <> high or few <> many")
             if clash.isEmpty():
                 break
             seed += 1
-        named = docs.filter("doc_id is not null")
-        frequent = frequent_ranges(named.mapInArrow(_count_keys(k, limit, seed), "range long, n long"))
+        named = docs.filter("doc_id is not null and text is not null")
+        frequent = frequent_ranges(told.filter("range is not null").select("range", "n"))
         members = (
             named.mapInArrow(_keys(k, limit, seed, frequent, False), KEYS_SQL)
             .repartition("key").sortWithinPartitions("key", "kind", "node").mapInArrow(_entries, MEMBERS_SQL)
@@ -365,9 +499,9 @@ class Join:
             )
         self.members = store(members)
         nodes = self.sets.filter("doc_id is not null and node is not null").groupBy("node").agg(
-            F.min(F.struct("doc_id", "text_id")).alias("row"), F.max("n_shingles").alias("n"),
+            F.min(F.struct("doc_id", "text_id")).alias("row"), F.max("n_shingles").alias("n_shingles"),
             F.max("sketch").alias("sketch"),
-        ).select("node", "row.*", "n", "sketch")
+        ).select("node", "row.*", "n_shingles", "sketch")
         self.nodes = store(nodes.join(self.members.select("node").distinct(), "node", "left_semi"))
         self.texts = store(
             docs.join(self.nodes.select("doc_id", "text_id", "node"), ["doc_id", "text_id"]).select("node", "text")
@@ -384,72 +518,86 @@ class Join:
         ).filter("first is not null and low < high")
         return keys.join(several.select("key", "first"), "key").select("key", "kind", "node", "first").distinct()
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar."""
-        size = self.nodes.select("node", "n", "sketch")
-        a = size.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-        b = size.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-        possible = store(
+    def sized(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that sizes and sketches allow."""
+        size = self.nodes.select("node", "n_shingles", "sketch")
+        a, b = size.toDF("a", "n_a", "sketch_a"), size.toDF("b", "n_b", "sketch_b")
+        return (
             pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")
             .mapInArrow(_possible(self.limit), "a long, b long")
         )
-        text_a = self.texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        text_b = self.texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        both = possible.join(text_b, "b").join(text_a, "a").select("a", "b", "text_a", "text_b")
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar, by their texts."""
+        both = (
+            pairs.join(self.texts.toDF("b", "text_b"), "b").join(self.texts.toDF("a", "text_a"), "a")
+            .select("a", "b", "text_a", "text_b")
+        )
         return store(both.mapInArrow(_similar(self.k, self.limit), "a long, b long"))
 
-    def across(self, members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members of entries that hold several components, with the largest; costs by entry."""
-        placed = members.select("key", "kind", "node").join(labels, "node", "left").select(
+    @staticmethod
+    def placed(members: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members of entries with several components, with the size and cost of the entry."""
+        rows = members.select("key", "kind", "node").join(labels, "node", "left").select(
             "key", "kind", "node", F.coalesce("component", "node").alias("component")
         )
-        sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-        entries = sizes.groupBy("key").agg(
+        entries = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
             F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")
         ).filter("parts > 1").select(
-            "key", F.col("most.component").alias("main"),
+            "key", "all", F.col("most.component").alias("main"),
             (F.col("all") * (F.col("all") - F.col("most.n"))).alias("cost"),
         )
-        return placed, entries
-
-    @staticmethod
-    def cross_pairs(placed: DataFrame, entries: DataFrame) -> DataFrame:
-        """Pairs from different components of an entry, one of them outside its largest."""
-        rows = placed.join(entries.select("key", "main"), "key")
-        outside = rows.filter("component <> main").select(
-            "key", F.col("node").alias("u"), F.col("component").alias("cu"), F.col("kind").alias("ku")
+        return rows.join(entries, "key")
+
+    def across(self, placed: DataFrame, most: int | None) -> DataFrame:
+        """a, b: possible pairs between components of an entry; open: entries that have more.
+
+        Nodes outside an entry's largest component meet all of it, in blocks: each side is
+        dealt into blocks of about 2 048 nodes, and every two blocks are one unit.
+        """
+        blocks = F.ceil(F.col("all") / BLOCK)
+        dealt = (
+            placed.join(self.nodes.select("node", "n_shingles", "sketch"), "node")
+            .withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node"), blocks)})
         )
-        inside = rows.select(
-            "key", F.col("node").alias("v"), F.col("component").alias("cv"), "main", F.col("kind").alias("kv")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        sides = dealt.filter("component <> main").withColumns({"u": F.col("own"), "v": every, "side": F.lit(0)}).unionByName(
+            dealt.withColumns({"u": every, "v": F.col("own"), "side": F.lit(1)})
         )
-        return (
-            outside.join(inside, "key")
-            .filter("cu <> cv and (cv = main or u < v)").filter(F.col("ku") + F.col("kv") < 2 * LESS)
-            .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+        return store(
+            sides.select("key", "u", "v", "side", "node", "component", "kind", "n_shingles", "sketch")
+            .repartition("key", "u", "v").sortWithinPartitions("key", "u", "v")
+            .mapInArrow(_blocks(self.limit, most), "a long, b long, open long")
         )
 
     def components(self, cost: int) -> DataFrame:
         first = self.members.filter("node <> first").select(
             F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")
         ).distinct()
-        links = self.linked(first)
+        tried = store(self.sized(first))
+        links = self.linked(tried)
         labels = components(links)
-        placed, entries = self.across(self.members, labels)
-        placed, entries = store(placed), store(entries)
-        more = self.cross_pairs(placed, entries.filter(F.col("cost") <= cost))
-        links = links.unionByName(self.linked(more.join(first, ["a", "b"], "left_anti")))
-        costly = entries.filter(F.col("cost") > cost)
+        placed = store(self.placed(self.members, labels))
+        costly = placed.filter(F.col("cost") > cost).select("key", "node")
+        members = placed.filter(F.col("cost") <= cost).select("key", "kind", "node")
         if not costly.isEmpty():
-            skip = self.members.join(costly.select("key"), "key", "left_semi").groupBy("node").agg(
-                F.collect_set("key").alias("costly")
-            )
+            skip = costly.groupBy("node").agg(F.collect_set("key").alias("costly"))
             keys = self.texts.join(skip, "node").select("node", "text", "costly").mapInArrow(
                 _reallocated(self.k, self.limit), KEYS_SQL
             )
-            members = store(self.entries(keys))
-            again, entries = self.across(members, components(links))
-            links = links.unionByName(self.linked(self.cross_pairs(store(again), store(entries))))
-        return components(links)
+            members = store(members.unionByName(self.entries(keys).select("key", "kind", "node")))
+        for most in ROUNDS:
+            found = self.across(self.placed(members, labels), most)
+            pairs = store(
+                found.filter("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+            )
+            tried, links = tried.unionByName(pairs), links.unionByName(self.linked(pairs))
+            labels = components(links)
+            more = found.filter("open is not null").select(F.col("open").alias("key")).distinct()
+            if more.isEmpty():
+                break
+            members = store(members.join(more, "key", "left_semi"))
+        return labels
 
 
 def jaccard_join(
@@ -458,8 +606,7 @@ def jaccard_join(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id of every row (similarity >= top / bottom)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.withColumn("text_id", F.xxhash64("text"))
-    join = Join(texts, k, Threshold(top, bottom))
+    join = Join(texts.withColumn("text_id", F.xxhash64("text")), k, Threshold(top, bottom))
     labels = join.components(cost)
     rows = join.sets.select("doc_id", "n_shingles", "node").join(
         labels.withColumnRenamed("component", "label"), "node", "left"

@@ -17,7 +17,6 @@ kinds the score is the share of label 1, or 0.5 without any label.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,18 +25,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from openstat.llm.common import WordHashes, as_bytes, pieces
+from openstat.llm.common import NOT_SPACE, WordScan, pieces
 
-TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
+#: Words are runs of letters and digits, or of other characters; ASCII white space separates.
+TOKENS = np.where(
+    NOT_SPACE == 0, 0, [1 if b >= 0x80 or chr(b).isalnum() else 2 for b in range(256)]
+).astype(np.uint8)
 ROWS, DIM, SPARSE, NEAR = 1 << 14, 32, 4, 2
 #: Most labelled rows that the network is fitted on.
 SAMPLE = 20_000
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return TOKEN.findall(text or b"")
-
-
 def _places(hashes: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Row of each word, and place and sign of each entry of its index vector."""
     row = (hashes & np.uint64(ROWS - 1)).astype(np.int64)
@@ -49,12 +47,10 @@ def _places(hashes: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.n
 
 
 def _coded(batches: Iterator[pa.RecordBatch], name: str):
-    hashes = WordHashes()
-    for batch in pieces(batches, name, 1 << 20):
-        column = batch.column(batch.schema.get_field_index(name))
-        found = [hashes.of(tokens(t)) for t in as_bytes(column)]
-        sizes = np.array([len(f) for f in found], np.int64)
-        yield batch, sizes, np.concatenate(found)
+    scan = WordScan(TOKENS)
+    for batch in pieces(batches, name):
+        hashes, sizes = scan(batch.column(batch.schema.get_field_index(name)))
+        yield batch, sizes, hashes
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

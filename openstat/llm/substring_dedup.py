@@ -13,8 +13,8 @@ of the 6-word runs in the phrase; equal phrases have equal anchors, so a group o
 neighbouring phrases is one row: anchor, id, place and 4 bytes per phrase. Two
 phrases are equal if their 64-bit anchor and a separate 32-bit hash are; that is
 96 bits, compared only within an anchor. Frequent anchors, found by counts over
-65 536 ranges, take another way that sums up before it shuffles, so that a passage
-in a third of all documents is no task's burden.
+65 536 ranges, are first dealt out by document too and then met by phrase, so that a
+passage in a third of all documents is no task's burden.
 
 Null text has no words; null ids neither find nor mark anything; an id that repeats
 is one holder. Empty input gives no rows; other columns of `docs` are left out.
@@ -31,11 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from openstat.llm.common import (
-    RangeCounts, Rolling, WordHashes, as_bytes, frequent_ranges, pieces, range_of,
+    RangeCounts, Rolling, WordScan, as_bytes, frequent_ranges, mix, pieces, range_of,
 )
+from openstat.session import store
 
 #: Words of a run from which the anchor of a phrase is chosen.
 RUN = 6
+#: Shares of the documents among which the rows of a frequent anchor are dealt.
+SHARES = 64
 ROW_SCHEMA = "anchor long, doc_id long, text_id long, start int, phrases binary"
 ROWS = pa.schema([
     ("anchor", pa.int64()), ("doc_id", pa.int64()), ("text_id", pa.int64()),
@@ -58,18 +61,17 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def _anchored(batches: Iterator[pa.RecordBatch], least: int):
     """For each piece of input: ids, text ids, row of each group, start, anchor, ends, phrase hashes."""
-    hashes, rolling = WordHashes(), Rolling()
+    scan, rolling = WordScan(), Rolling()
     for batch in pieces(batches, "text"):
         ids, text_ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        words = [hashes.of(t.split()) for t in as_bytes(batch.column(2))]
-        sizes = np.array([len(w) for w in words], np.int64)
-        ends = np.cumsum(sizes)
-        if not len(ends) or ends[-1] < least:
+        words, sizes = scan(batch.column(2))
+        if len(words) < least:
             continue
-        sums = rolling.sums(np.concatenate(words))
+        ends = np.cumsum(sizes)
+        sums = rolling.sums(words)
         phrase = (rolling.grams(sums, least) >> np.uint64(32)).astype(np.uint32)
         anchor = sliding_min(rolling.grams(sums, RUN), least - RUN + 1)
-        row = np.repeat(np.arange(len(words)), sizes)[: len(phrase)]
+        row = np.repeat(np.arange(len(sizes)), sizes)[: len(phrase)]
         at = np.arange(len(phrase)) - (ends - sizes)[row]
         whole = at + least <= sizes[row]
         phrase, anchor, row, at = phrase[whole], anchor[whole], row[whole], at[whole]
@@ -108,24 +110,21 @@ def _emit(least: int, frequent: np.ndarray, take_frequent: bool):
     return run
 
 
-def _spans(doc, text_id, start, row, offset, hit, least) -> pa.RecordBatch:
-    """Runs of neighbouring hits within a row, as words from start to stop."""
-    at = np.flatnonzero(hit)
-    r, o = row[at], offset[at]
-    new = np.r_[True, (r[1:] != r[:-1]) | (o[1:] != o[:-1] + 1)] if len(at) else np.zeros(0, bool)
-    a = np.flatnonzero(new)
-    b = np.r_[a[1:], len(at)] - 1 if len(a) else a
-    r = r[a]
-    return pa.RecordBatch.from_arrays([
-        pa.array(doc[r]), pa.array(text_id[r]), pa.array((start[r] + o[a]).astype(np.int32)),
-        pa.array((start[r] + o[b] + least).astype(np.int32)),
-    ], schema=SPANS)
+def _runs(row: np.ndarray, offset: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-last position of each run of chosen neighbours within a row."""
+    at = np.flatnonzero(chosen)
+    if not len(at):
+        return at, at
+    new = np.r_[True, (np.diff(at) != 1) | (row[at][1:] != row[at][:-1])]
+    first = np.flatnonzero(new)
+    return at[first], at[np.r_[first[1:], len(at)] - 1] + 1
 
 
-def _factor(least: int):
+def _factor(least: int, open_too: bool = False):
     """Over rows sorted by anchor and id: spans whose phrases an earlier document holds.
 
     Of an anchor that goes on in the next batch only its distinct phrases are held.
+    With `open_too`, phrases without an earlier holder are given out as rows again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +142,7 @@ def _factor(least: int):
             several = doc[firsts] != doc[lasts]
             several[0] |= anchor[0] == held[0]
             several[-1] = True  # may go on
-            rows = np.flatnonzero(several[group])
+            rows = np.flatnonzero(several[group] | open_too)
             n = ends[rows + 1] - ends[rows]
             row = np.repeat(rows, n)
             offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -153,36 +152,53 @@ def _factor(least: int):
             docs = np.r_[held[2][:own], doc[row]]
             _, first, back = np.unique(code, return_index=True, return_inverse=True)
             hit = (docs > docs[first][back])[own:]
-            if hit.any():
-                yield _spans(doc, text_id, start, row, offset, hit, least)
+            a, b = _runs(row, offset, hit)
+            r = row[a]
+            columns = [doc[r], text_id[r], (start[r] + offset[a]).astype(np.int32), (start[r] + offset[a] + b - a - 1 + least).astype(np.int32)]
+            if open_too:
+                c, d = _runs(row, offset, ~hit)
+                o = row[c]
+                rest = [doc[o], text_id[o], (start[o] + offset[c]).astype(np.int32), np.zeros(len(o), np.int32)]
+                columns = [np.r_[x, y] for x, y in zip(columns, rest)]
+                columns += [np.r_[np.zeros(len(r), np.int64), anchor[o]]]
+                parts = [None] * len(r) + [phrase[x:y].tobytes() for x, y in zip(c, d)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts, pa.binary())], OPEN_NAMES)
+            elif len(r):
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], schema=SPANS)
             last = first[(code[first] >> np.uint64(32)) == group[-1]]
             held = (anchor[-1], code[last].astype(np.uint32), docs[last])
 
     return run
 
 
-def _opened(least: int):
-    """One row per phrase of each group, for anchors that are too frequent for one task."""
+OPEN_NAMES = ["doc_id", "text_id", "start", "stop", "anchor", "phrases"]
+OPEN_SCHEMA = f"{SPAN_SCHEMA}, anchor long, phrases binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            anchor, doc, text_id, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            for i, raw in enumerate(batch.column(4).to_pylist()):
-                phrase = np.frombuffer(raw, np.uint32)
-                n = len(phrase)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(n, anchor[i])), pa.array(phrase.astype(np.int64)),
-                    pa.array(np.full(n, doc[i])), pa.array(np.full(n, text_id[i])),
-                    pa.array((start[i] + np.arange(n)).astype(np.int32)),
-                ], ["anchor", "phrase", "doc_id", "text_id", "start"])
 
-    return run
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per phrase, named by anchor and phrase together."""
+    for batch in batches:
+        anchor, doc, text_id, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        packed = batch.column(4).to_pylist()
+        n = np.array([len(p) // 4 for p in packed], np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        phrase = np.frombuffer(b"".join(packed), np.uint32)
+        ends = np.arange(len(row) + 1, dtype=np.int32) * 4
+        name = mix(anchor[row].view(np.uint64)) ^ phrase
+        yield pa.RecordBatch.from_arrays([
+            pa.array(name.view(np.int64)), pa.array(doc[row]), pa.array(text_id[row]),
+            pa.array((start[row] + offset).astype(np.int32)),
+            pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(phrase))]),
+        ], schema=ROWS)
 
 
 def duplicate_spans(texts: DataFrame, least: int = 13) -> DataFrame:
     """doc_id, text_id, start, stop: word spans of phrases that an earlier id holds.
 
-    `texts` has doc_id, text_id and text. Spans may touch or overlap.
+    `texts` has doc_id, text_id and text. Spans may touch or overlap. Rows of frequent
+    anchors are first compared within shares of the documents; what finds no earlier
+    holder there, about one row per share and phrase, is compared by phrase.
     """
     usable = texts.filter("doc_id is not null and text is not null")
     frequent = frequent_ranges(usable.mapInArrow(_count_ranges(least), "range long, n long"))
@@ -193,17 +209,18 @@ def duplicate_spans(texts: DataFrame, least: int = 13) -> DataFrame:
     )
     if not frequent.any():
         return spans
-    phrases = usable.mapInArrow(_emit(least, frequent, True), ROW_SCHEMA).mapInArrow(
-        _opened(least), "anchor long, phrase long, doc_id long, text_id long, start int"
+    shared_out = store(
+        usable.mapInArrow(_emit(least, frequent, True), ROW_SCHEMA)
+        .repartition("anchor", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)))
+        .sortWithinPartitions("anchor", "doc_id").mapInArrow(_factor(least, open_too=True), OPEN_SCHEMA)
     )
-    first = phrases.groupBy("anchor", "phrase").agg(
-        F.min("doc_id").alias("first"), F.max("doc_id").alias("last")
-    ).filter("first < last").select("anchor", "phrase", "first")
-    more = (
-        phrases.join(first, ["anchor", "phrase"]).filter("doc_id > first")
-        .select("doc_id", "text_id", "start", (F.col("start") + least).alias("stop"))
+    found = ("doc_id", "text_id", "start", "stop")
+    left = (
+        shared_out.filter("phrases is not null").select("anchor", "doc_id", "text_id", "start", "phrases")
+        .mapInArrow(_single, ROW_SCHEMA).repartition("anchor").sortWithinPartitions("anchor", "doc_id")
+        .mapInArrow(_factor(least), SPAN_SCHEMA)
     )
-    return spans.unionByName(more)
+    return spans.unionByName(shared_out.filter("phrases is null").select(*found)).unionByName(left)
 
 
 def joined(spans: list) -> list[tuple[int, int]]:
