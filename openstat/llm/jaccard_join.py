@@ -556,16 +556,16 @@ class Join:
         dealt into blocks of about 2 048 nodes, and every two blocks are one unit.
         """
         blocks = F.ceil(F.col("all") / BLOCK)
-        dealt = (
-            placed.join(self.nodes.select("node", "n_shingles", "sketch"), "node")
-            .withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node"), blocks)})
-        )
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-        sides = dealt.filter("component <> main").withColumns({"u": F.col("own"), "v": every, "side": F.lit(0)}).unionByName(
-            dealt.withColumns({"u": every, "v": F.col("own"), "side": F.lit(1)})
-        )
+        every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+        own = F.col("own")
+        as_u = F.transform(every, lambda v: F.struct(own.alias("u"), v.alias("v"), F.lit(0).alias("side")))
+        as_v = F.transform(every, lambda u: F.struct(u.alias("u"), own.alias("v"), F.lit(1).alias("side")))
+        units = F.explode(F.when(F.col("component") == F.col("main"), as_v).otherwise(F.concat(as_u, as_v)))
         return store(
-            sides.select("key", "u", "v", "side", "node", "component", "kind", "n_shingles", "sketch")
+            placed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+            .withColumn("unit", units)
+            .join(self.nodes.select("node", "n_shingles", "sketch"), "node")
+            .select("key", "unit.u", "unit.v", "unit.side", "node", "component", "kind", "n_shingles", "sketch")
             .repartition("key", "u", "v").sortWithinPartitions("key", "u", "v")
             .mapInArrow(_blocks(self.limit, most), "a long, b long, open long")
         )
@@ -587,7 +587,7 @@ class Join:
             )
             members = store(members.unionByName(self.entries(keys).select("key", "kind", "node")))
         for most in ROUNDS:
-            found = self.across(self.placed(members, labels), most)
+            found = self.across(store(self.placed(members, labels)), most)
             pairs = store(
                 found.filter("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
             )
