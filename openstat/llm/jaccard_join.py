@@ -17,8 +17,9 @@ costly ones stay. A neighbourhood meets whole segments only, never another one.
 
 Equal sets are one node. In each index entry all nodes are first compared with one;
 beyond that only nodes of different components count, so a thousand near copies cost
-a few thousand comparisons. They meet in blocks of bounded size, by parity sketches
-first: a shingle in one of two sets flips one bit, so more differing bits than H
+a few thousand comparisons: those outside an entry's largest component meet single
+nodes inside it, and what remains meets in blocks of bounded size, by parity sketches
+first. A shingle in one of two sets flips one bit, so more differing bits than H
 prove the sets unlike. What the sketches leave is verified on the texts, the
 likeliest first, until no pair between two components is open.
 
@@ -46,14 +47,16 @@ from openstat.llm.common import (
 from openstat.llm.components import components
 from openstat.session import store
 
-#: Comparisons of sketches that an index entry may cost before its segments are allocated anew.
-ENTRY_COST = 1 << 20
 #: Nodes on either side of a block of comparisons.
 BLOCK = 2048
+#: Comparisons of sketches that an index entry may cost before its segments are allocated anew: a block.
+ENTRY_COST = BLOCK * BLOCK
 #: Bits of a sketch for each shingle in which similar sets may differ.
 SKETCH_BITS = 16
+#: Times that the nodes outside an entry's largest component meet one node inside it, another each time.
+STARS = 2
 #: Likeliest partners of a node that are verified in each round; the last takes all.
-ROUNDS = (4, 32, None)
+ROUNDS = (8, None)
 
 
 class Threshold:
@@ -549,6 +552,20 @@ class Join:
         )
         return rows.join(entries, "key")
 
+    @staticmethod
+    def star(placed: DataFrame, turn: int) -> DataFrame:
+        """Nodes outside an entry's largest component, each with one node inside it.
+
+        The order of the nodes is the same for all entries, so few nodes are chosen.
+        """
+        order = F.xxhash64(F.lit(turn), F.col("node"))
+        inside = placed.filter("component = main").filter(F.col("kind") == WHOLE).groupBy("key").agg(
+            F.min(F.struct(order.alias("order"), "node")).getField("node").alias("centre")
+        )
+        return placed.filter("component <> main").join(inside, "key").select(
+            F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")
+        ).distinct()
+
     def across(self, placed: DataFrame, most: int | None) -> DataFrame:
         """a, b: possible pairs between components of an entry; open: entries that have more.
 
@@ -577,6 +594,13 @@ class Join:
         tried = store(self.sized(first))
         links = self.linked(tried)
         labels = components(links)
+        for turn in range(STARS):
+            placed = store(self.placed(self.members, labels))
+            pairs = store(self.sized(self.star(placed, turn).join(tried, ["a", "b"], "left_anti")))
+            if pairs.isEmpty():
+                break
+            tried, links = tried.unionByName(pairs), links.unionByName(self.linked(pairs))
+            labels = components(links)
         placed = store(self.placed(self.members, labels))
         costly = placed.filter(F.col("cost") > cost).select("key", "node")
         members = placed.filter(F.col("cost") <= cost).select("key", "kind", "node")
