@@ -15,22 +15,21 @@ def scatter_rows(df: DataFrame, x: str, y: str, limit: int = 1500) -> DataFrame:
     return points.orderBy(F.xxhash64("x", "y"), "x", "y").limit(limit)
 
 
-def line_rows(df: DataFrame, time: str, measure: str, averaged: bool, limit: int = 2000) -> DataFrame:
-    """Mean per time, or the rows themselves, in time order."""
+def line_rows(df: DataFrame, time: str, measure: str, averaged: bool) -> DataFrame:
+    """Mean per time, or the rows themselves, in time order; all of them."""
     rows = df.select(F.col(f"`{time}`").alias("time"), F.col(f"`{measure}`").alias("value")).where("value is not null")
     if averaged:
         rows = rows.groupBy("time").agg(F.avg("value").alias("value"))
-    return rows.orderBy("time", "value").limit(limit)
+    return rows.orderBy("time", "value")
 
 
-def bar_rows(df: DataFrame, measure: str, factor: str, top: int = 10, limit: int = 500) -> DataFrame:
+def bar_rows(df: DataFrame, measure: str, factor: str, top: int = 10) -> DataFrame:
     """Highest group means, with how many groups there are and the title suffix."""
     means = df.groupBy(F.col(f"`{factor}`").alias("level")).agg(F.avg(f"`{measure}`").alias("mean_value"))
-    kept = means.orderBy(F.desc("mean_value"), "level").limit(limit)
-    order = W.orderBy(F.desc("mean_value"), "level")  # at most `limit` groups
-    placed = kept.withColumn("r", F.row_number().over(order)).withColumn("total", F.count(F.lit(1)).over(W.partitionBy()))
+    total = means.agg(F.count(F.lit(1))).scalar()
+    placed = means.orderBy(F.desc("mean_value"), "level").limit(top).withColumn("total", total)
     suffix = F.when(F.col("total") > top, F.format_string(f" (top {top} of %d)", "total")).otherwise("")
-    return placed.where(F.col("r") <= top).select("level", "mean_value", "total", suffix.alias("title_suffix"))
+    return placed.select("level", "mean_value", "total", suffix.alias("title_suffix"))
 
 
 def choose_charts(display: DataFrame, joined: bool = False, n: int = 6) -> DataFrame:

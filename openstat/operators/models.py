@@ -1,4 +1,4 @@
-"""Exploratory models as findings, in fixed order, on one shared sample."""
+"""Exploratory models as findings, in fixed order, on the same rows."""
 
 from __future__ import annotations
 
@@ -14,8 +14,8 @@ from openstat.operators.sampling import model_sample
 from openstat.schemas import FINDING
 
 
-def model_points(df: DataFrame, columns: list[str], cap: int | None = rules.ML_MAX_ROWS):
-    """Standardized sample with row ids, and its number of rows."""
+def model_points(df: DataFrame, columns: list[str], cap: int | None = None):
+    """Standardized rows (of a sample, if capped) with row ids, and their number."""
     rows = clusters.with_row_id(clusters.standardize(model_sample(df, columns, cap), columns[:8]))
     return rows, rows.count()
 
@@ -91,27 +91,25 @@ def local_outlier_finding(points: DataFrame, columns: list[str], n: int) -> dict
     )
 
 
-def model_findings(df: DataFrame, profile: TableProfile, cap: int | None = rules.ML_MAX_ROWS,
+def model_findings(df: DataFrame, profile: TableProfile, cap: int | None = None,
                    restarts: int = 10) -> DataFrame:
     """K-means, density clusters, components, isolation forest, local outliers.
 
-    The two quadratic models are skipped above 12 000 table rows.
+    All rows take part unless the caller sets a cap; density clusters and local
+    outliers take time with the square of the rows.
     """
     spark, columns = df.sparkSession, profile.of_kind("numeric")[:8]
     found: list[dict | None] = []
     if len(columns) >= 2 and profile.n_rows >= 100:
         points, n = model_points(df, columns, cap)
-        light = profile.n_rows <= rules.HEAVY_ML_ROW_CAP
         clustering = profile.n_rows >= rules.ML_ROW_GATE and n >= rules.ML_MIN_ROWS
         if clustering:
             found.append(kmeans_finding(points, columns, n, restarts))
-            if light:
-                found.append(density_finding(points, columns, n))
+            found.append(density_finding(points, columns, n))
             found.append(pca_finding(points, columns, n))
         if n >= 100:
             found.append(isolation_finding(points, columns, n))
-            if light:
-                found.append(local_outlier_finding(points, columns, n))
+            found.append(local_outlier_finding(points, columns, n))
     rows = [
         (
             f["type"], f["title"], columns, round(float(f["value"]), 4), None, int(f["n"]), f["method"],

@@ -15,13 +15,12 @@ def first_per(df: DataFrame, keys: list[Column], order: list) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def search_places(places: DataFrame, area: str = "", category: str = "", top: int = 8, window: int = 40) -> DataFrame:
+def search_places(places: DataFrame, area: str = "", category: str = "", top: int = 8) -> DataFrame:
     """Places by category and area, best grade first, one card per id, refined by area text.
 
     Columns: id, name, category, borough, street, grade, address. A known area
-    maps to its borough; any other is looked for in the street or name. The first
-    `window` rows are considered, as the source request is limited to that many.
-    When nothing matches at all, the first places are shown instead.
+    maps to its borough; any other is looked for in the street or name. Rows of
+    the same id are one card before the first `top` are taken. When nothing matches at all, the first places are shown instead.
     """
     rows = places.where("name is not null")
     if category:
@@ -33,8 +32,7 @@ def search_places(places: DataFrame, area: str = "", category: str = "", top: in
         else:
             rows = rows.where(F.upper("street").contains(area.upper()) | F.upper("name").contains(area.upper()))
     order = [F.asc_nulls_last("grade"), F.asc("name"), F.asc("id")]
-    page = rows.orderBy(*order).limit(window)
-    cards = first_per(page, [F.col("id")], order).orderBy(*order).limit(top)
+    cards = first_per(rows, [F.col("id")], order).orderBy(*order).limit(top)
     if area:
         inside = F.lower(F.coalesce("address", F.lit(""))).contains(area.lower()) | F.lower("name").contains(area.lower())
         refined = cards.where(inside)

@@ -61,15 +61,17 @@ def sample_rows(df: DataFrame, n: int, seed: int = rules.SEED, key: list[str] |
 def analysis_sample(
     df: DataFrame,
     predicate: str | None = None,
-    cap: int = rules.ROW_CAP,
+    cap: int | None = None,
     floor: int = rules.MIN_SAMPLE,
     pct: float = rules.SAMPLE_PCT,
     seed: int = rules.SEED,
 ) -> DataFrame:
-    """Guarded filter, then the sample-size rule, then the seeded sample."""
+    """Guarded filter; with a cap also the sample-size rule and the seeded sample."""
     from openstat.operators.filters import guarded_filter
 
     rows = guarded_filter(df, predicate)
+    if cap is None:
+        return rows
     total = rows.count()
     if total <= cap:
         return rows
@@ -77,9 +79,9 @@ def analysis_sample(
     return sample_rows(rows, target, seed)
 
 
-def model_sample(df: DataFrame, columns: list[str], n: int | None = rules.ML_MAX_ROWS,
+def model_sample(df: DataFrame, columns: list[str], n: int | None = None,
                  key: list[str] | None = None) -> DataFrame:
-    """Up to eight numeric columns of n sampled rows, rows with a null dropped after."""
+    """Up to eight numeric columns of all or n sampled rows, rows with a null dropped after."""
     used = columns[:8]
     keys = [k for k in (key or []) if k not in used]
     chosen = df if n is None else sample_rows(df, n, key=key)

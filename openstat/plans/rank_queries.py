@@ -121,7 +121,7 @@ _PLACES = """SELECT s_suppkey AS id, s_name AS name, p_name AS category, CASE s_
 
 @query(
     "search_places",
-    f"""WITH w AS (SELECT * FROM ({_PLACES}) WHERE contains(upper(category), 'WIDGET') AND borough = 'Brooklyn' ORDER BY grade, name, id LIMIT 40),
+    f"""WITH w AS (SELECT * FROM ({_PLACES}) WHERE contains(upper(category), 'WIDGET') AND borough = 'Brooklyn'),
             c AS (SELECT DISTINCT id, name, grade FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY grade, name) AS r FROM w) WHERE r = 1 ORDER BY grade, name, id LIMIT 8)
         SELECT id, name, grade FROM c""",
 )
@@ -131,7 +131,7 @@ def search_places(spark, d):
 
 @query(
     "search_places_by_text",
-    f"""WITH w AS (SELECT * FROM ({_PLACES}) WHERE contains(upper(street), 'STREET 7') ORDER BY grade, name, id LIMIT 40),
+    f"""WITH w AS (SELECT * FROM ({_PLACES}) WHERE contains(upper(street), 'STREET 7')),
             c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY grade, name) AS r FROM w) WHERE r = 1 ORDER BY grade, name, id LIMIT 8)
         SELECT id, name, grade FROM c""",
 )

@@ -39,7 +39,7 @@ def guarded_filter(spark, d):
 
 def _text_orders(spark, d):
     """Orders as text, with gaps, a mixed column and a year column."""
-    o = t(spark, d, "orders", heavy=True)
+    o = t(spark, d, "orders")
     return o.select(
         F.col("o_orderkey").cast("string").alias("key_text"),
         F.when(F.col("o_orderkey") % 4 == 0, "n/a").otherwise(F.format_string("%.2f", "o_totalprice")).alias("price_text"),
@@ -496,7 +496,7 @@ def seeded_sample(spark, d):
 @query("model_sample", "SELECT least(count(*), 5000) AS n, 4 AS n_columns FROM lineitem")
 def model_sample(spark, d):
     rows = sampling.model_sample(
-        t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+        t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], n=5000
     )
     return rows.agg(F.count(F.lit(1)).alias("n")).withColumn("n_columns", F.lit(len(rows.columns)))
 
@@ -695,7 +695,7 @@ _ASSESSED = [
 def assess_joins(spark, d):
     out = None
     for name, left, lk, right, rk in _ASSESSED:
-        rows = joins.assess_join(t(spark, d, left), t(spark, d, right), [(lk, rk)], row_cap=10**12).select(
+        rows = joins.assess_join(t(spark, d, left), t(spark, d, right), [(lk, rk)]).select(
             F.lit(name).alias("pair"),
             (F.col("warning").isNull() | ~F.col("warning").startswith("Join key repeats")).alias("keys_ok"),
             "matched_rows", F.round("overlap_left", 9).alias("overlap_left"), F.round("overlap_right", 9).alias("overlap_right"),
@@ -741,7 +741,7 @@ _SUGGEST_SQL = f"""
 @query("suggest_joins", _SUGGEST_SQL)
 def suggest_joins(spark, d):
     left, right = _keyed(spark, d)
-    return joins.suggest_joins(left, right, row_cap=10**12).select(
+    return joins.suggest_joins(left, right).select(
         "label", "ok", "matched_rows", "overlap_left_pct", "overlap_right_pct", "score",
         F.col("rank").cast("bigint").alias("rank"), "auto_recommended",
     )
@@ -750,7 +750,7 @@ def suggest_joins(spark, d):
 @query("select_join", f"SELECT label FROM ({_SUGGEST_SQL}) WHERE ok ORDER BY auto_recommended DESC, rank LIMIT 1")
 def select_join(spark, d):
     left, right = _keyed(spark, d)
-    return joins.select_join(joins.suggest_joins(left, right, row_cap=10**12)).select("label")
+    return joins.select_join(joins.suggest_joins(left, right)).select("label")
 
 
 @query(

@@ -429,11 +429,11 @@ def scatter_rows(spark, d):
 
 @query(
     "line_rows",
-    "SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, round(avg(o_totalprice), 6) AS value FROM orders GROUP BY o_orderdate ORDER BY o_orderdate LIMIT 2000",
+    "SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, round(avg(o_totalprice), 8) AS value FROM orders GROUP BY o_orderdate",
 )
 def line_rows(spark, d):
     rows = charts.line_rows(t(spark, d, "orders"), "o_orderdate", "o_totalprice", averaged=True)
-    return rows.select(F.date_format("time", "yyyy-MM-dd").alias("day"), F.round("value", 6).alias("value"))
+    return rows.select(F.date_format("time", "yyyy-MM-dd").alias("day"), F.round("value", 8).alias("value"))
 
 
 @query(
@@ -479,5 +479,5 @@ def analyze_two_tables(spark, d):
     orders = t(spark, d, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"), "o_orderpriority"
     )
-    result = analysis.analyze([lines, orders], ["Order lines", "Order value"], ["lines", "orders"], models=False, row_cap=10**9)
+    result = analysis.analyze([lines, orders], ["Order lines", "Order value"], ["lines", "orders"], models=False)
     return result.display.select("display_order", "id", "type", "title", "value", "p_value", "n", "score")

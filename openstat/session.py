@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,32 +23,17 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def read_table(spark: SparkSession, folder: str, name: str, heavy: bool = False) -> DataFrame:
-    """One table of a folder. Analysis days and years are UTC, so the session is too.
-
-    `heavy` passes spread the rows: each of these tables is one file.
-    """
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One table of a folder. Analysis days and years are UTC, so the session is too."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    table = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    return spread(table, len(table.inputFiles())) if heavy else table
-
-
-def spread(df: DataFrame, files: int = 1) -> DataFrame:
-    """Deal rows to all cores when a source of few files would leave most of them idle.
-
-    For expression- or Python-heavy passes over a table whose number of files is
-    known; a source with at least as many files as cores is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if files < cores else df
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by the cluster in spark.checkpoint.dir.
 
-    Local mode has one machine, so a temporary folder is shared there; on a
-    cluster a missing setting is an error rather than a machine-local fallback.
+    Where that is unset it is a folder in the warehouse, which all executors share too.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -58,9 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="openstat-")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
     context.setCheckpointDir(folder)
     return folder
 

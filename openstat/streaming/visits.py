@@ -16,11 +16,12 @@ from openstat.functions.times import LOCAL_ZONE
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1) -> DataFrame:
-    """One table of a folder as a stream; the schema is read from the files."""
-    schema = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").schema
+    """One table as a stream, a single file or a folder of part files; the schema is read from the files."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
     return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+        .parquet(f"{path}*")  # the glob meets the file as well as the folder
     )
 
 

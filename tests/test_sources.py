@@ -135,3 +135,29 @@ def test_visit_metrics(spark):
     assert (r.total_page_views, r.unique_visitors_all_time, r.page_views_in_window) == (3, 2, 3)
     days = {x.day: (x.visitors, x.page_views) for x in metrics.daily_visitors(v, cutoff).collect()}
     assert days == {"2026-05-31": (1, 1), "2026-06-01": (1, 1), "2026-06-02": (1, 1)}
+
+
+def test_streams_read_a_folder_of_parts_as_they_read_a_file(spark, data, tmp_path):
+    from openstat.streaming.visits import stream_table
+
+    whole = spark.read.parquet(f"{data}/events.parquet")
+    whole.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    for folder in (data, str(tmp_path)):
+        run = stream_table(spark, folder, "events").writeStream.format("memory").queryName("seen").trigger(availableNow=True)
+        run.option("checkpointLocation", f"{tmp_path}/{'a' if folder == data else 'b'}").start().awaitTermination()
+        assert spark.table("seen").count() == whole.count()
+
+
+def test_places_that_repeat_are_one_card(spark):
+    from openstat.operators.places import search_places
+
+    rows = [(1 if i < 50 else i, f"n{0 if i < 50 else i}", "cafe", "b", "s", "A", "x") for i in range(60)]
+    places = spark.createDataFrame(rows, "id int, name string, category string, borough string, street string, grade string, address string")
+    assert search_places(places, category="cafe").count() == 8
+
+
+def test_bar_chart_counts_all_groups(spark):
+    from openstat.operators.charts import bar_rows
+
+    rows = bar_rows(spark.range(1000).selectExpr("id AS g", "id * 1.0D AS v"), "v", "g").collect()
+    assert len(rows) == 10 and {r["total"] for r in rows} == {1000}
