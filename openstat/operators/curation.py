@@ -10,42 +10,66 @@ from openstat import rules
 from openstat.session import cut_lineage
 
 
+def _first(rows: DataFrame, key: str, used: DataFrame, cap: int) -> DataFrame:
+    """Rows among the first of their key that still fit under the cap after `used` (key, n).
+
+    The rank is cut at the plain cap, so Spark trims every key per task before the
+    shuffle; what is already used is taken off afterwards.
+    """
+    ranked = rows.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy("seq"))).where(F.col("__r") <= cap)
+    room = F.col("__r") + F.coalesce("__n", F.lit(0)) <= cap
+    taken = used.select(F.col(key).alias("__k"), F.col("n").alias("__n"))
+    return ranked.join(taken, F.col(key).eqNullSafe(F.col("__k")), "left").where(room).drop("__r", "__n", "__k")
+
+
+def _without_full(rows: DataFrame, key: str, used: DataFrame, cap: int) -> DataFrame:
+    full = used.where(F.col("n") >= cap).select(F.col(key).alias("__k"))
+    return rows.join(full, F.col(key).eqNullSafe(F.col("__k")), "left_anti")
+
+
+def _count(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
 def diversity_caps(candidates: DataFrame, per_family: int = 2, per_topic: int = 250) -> DataFrame:
     """Candidates kept in arrival order under a family cap and a topic cap.
 
     Columns: id, family, topic, seq, curated. Curated rows are always kept and
-    count toward both caps. When no family spans topics, the greedy walk equals
-    two ranked filters, and Spark trims both per task before the shuffle. When
-    one does, a refusal by topic frees a family slot, so the ranked result is
-    corrected round by round until a whole round changes nothing; that fixed
-    point is the greedy result, since a row's fate depends on earlier rows only.
+    count toward both caps; the others come after them. When no family spans
+    topics, the greedy walk equals two ranked filters. When one does, a refusal by
+    topic frees a family slot: a row that fits both caps even if every earlier row
+    still open is kept is certain, so each round takes the certain rows, closes the
+    full families and topics, and goes on with the rest until none is open. The
+    first open row is always certain, so the rounds end.
     """
+    # a null family or topic is one group, as in a window
+    curated, others = candidates.where("curated"), candidates.where("not coalesce(curated, false)")
     spans = (
         candidates.groupBy("family").agg((F.min("topic") < F.max("topic")).alias("s")).where("s").limit(1).count()
     )
     if not spans:
-        by_family = W.partitionBy("family").orderBy(F.desc("curated"), "seq")
-        first = candidates.withColumn("__f", F.row_number().over(by_family)).where(
-            F.col("curated") | (F.col("__f") <= per_family)
-        )
-        by_topic = W.partitionBy("topic").orderBy(F.desc("curated"), "seq")
-        return first.withColumn("__t", F.row_number().over(by_topic)).where(
-            F.col("curated") | (F.col("__t") <= per_topic)
-        ).drop("__f", "__t")
-    earlier_family = W.partitionBy("family").orderBy(F.desc("curated"), "seq").rowsBetween(W.unboundedPreceding, -1)
-    earlier_topic = W.partitionBy("topic").orderBy(F.desc("curated"), "seq").rowsBetween(W.unboundedPreceding, -1)
-    state = cut_lineage(candidates.withColumn("__kept", F.lit(True)))
+        of_family = _first(others, "family", _count(curated, "family"), per_family)
+        return curated.unionByName(_first(of_family, "topic", _count(curated, "topic"), per_topic).select(*candidates.columns))
+    # later rows of a (family, topic) pair never outlive its first ones
+    pair = W.partitionBy("family", "topic").orderBy("seq")
+    open_rows = cut_lineage(
+        others.withColumn("__r", F.row_number().over(pair)).where(F.col("__r") <= per_family).drop("__r")
+        .withColumn("__row", F.monotonically_increasing_id())
+    )
+    kept = cut_lineage(curated)
     while True:
-        taken = F.col("__kept").cast("int")
-        counted = state.withColumn("__f", F.coalesce(F.sum(taken).over(earlier_family), F.lit(0))).withColumn(
-            "__t", F.coalesce(F.sum(taken).over(earlier_topic), F.lit(0))
+        families, topics = _count(kept, "family"), _count(kept, "topic")
+        live = cut_lineage(
+            _without_full(_without_full(open_rows, "family", families, per_family), "topic", topics, per_topic)
         )
-        now = F.col("curated") | ((F.col("__f") < per_family) & (F.col("__t") < per_topic))
-        step = cut_lineage(counted.withColumn("__was", F.col("__kept")).withColumn("__kept", now).drop("__f", "__t"))
-        changed = step.where("__kept <> __was").limit(1).count()
-        state = step.drop("__was")
-        if not changed:
-            return state.where("__kept").drop("__kept")
+        certain = _first(live, "family", families, per_family).join(
+            _first(live, "topic", topics, per_topic).select("__row"), "__row", "left_semi"
+        )
+        taken = cut_lineage(certain)
+        if not taken.limit(1).count():
+            return kept
+        kept = cut_lineage(kept.unionByName(taken.select(*candidates.columns)))
+        open_rows = live.join(taken.select("__row"), "__row", "left_anti")
 
 
 def discovery_pool(limit: int, seeds: int) -> int:
@@ -99,7 +123,3 @@ def sync_budget(rows: DataFrame, ingestible_cap: int, index_cap: int, would_pass
         "ingest_block_reason",
         F.when(~F.col("probed"), "pending probe").when(~F.col("ingestible"), F.lit("not ingestible")),
     )
-
-
-def prune_allowed(enabled: bool, exhausted: bool, hit_cap: bool, partial: bool = False) -> bool:
-    return enabled and exhausted and not hit_cap and not partial

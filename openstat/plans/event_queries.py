@@ -110,11 +110,19 @@ def duration_stats(spark, d):
        SELECT count(*) AS count, round(avg(duration), 1) AS mean_sec, round(median(duration), 1) AS median_sec, round(quantile_cont(duration, 0.9), 1) AS p90_sec, round(max(duration), 1) AS max_sec, round(min(duration), 1) AS min_sec FROM s""",
 )
 def session_gap_stats(spark, d):
+    """Gaps inside ten-minute slots, and from a slot to the last event of the one before it."""
     from pyspark.sql import Window as W
 
-    e = t(spark, d, "events")
-    previous = F.lag("ts").over(W.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id"))
-    gaps = e.select(previous.alias("created_at"), F.col("ts").alias("updated_at")).where("created_at is not null")
+    day = ["user_id", "day"]
+    e = t(spark, d, "events").select(
+        "user_id", "event_id", "ts", F.to_date("ts").alias("day"),
+        F.floor((F.hour("ts") * 60 + F.minute("ts")) / 10).alias("slot"),
+    )
+    within = F.lag("ts").over(W.partitionBy(*day, "slot").orderBy("ts", "event_id"))
+    ends = e.groupBy(*day, "slot").agg(F.max("ts").alias("last"))  # at most 144 per user and day
+    before = ends.select(*day, "slot", F.lag("last").over(W.partitionBy(*day).orderBy("slot")).alias("before"))
+    rows = e.withColumn("within", within).join(before, [*day, "slot"])
+    gaps = rows.select(F.coalesce("within", "before").alias("created_at"), F.col("ts").alias("updated_at")).where("created_at is not null")
     return metrics.duration_stats(metrics.with_duration(gaps))
 
 
