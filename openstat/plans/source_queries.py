@@ -36,6 +36,30 @@ def scan_csv(spark, d):
     )
 
 
+@query(
+    "scan_json_shapes",
+    "SELECT c_nationkey, count(*) AS n, sum(c_custkey)::BIGINT AS keys, count(*) FILTER (c_custkey % 3 = 0) AS marked FROM customer GROUP BY 1",
+)
+def scan_json_shapes(spark, d):
+    """A folder whose files are lists, [meta, rows] envelopes, empty envelopes and single objects."""
+    path = _scratch(spark, "shapes")
+    c = t(spark, d, "customer").select(
+        F.floor(F.col("c_custkey") / 200).alias("file"),  # a document holds at most 200 rows
+        F.to_json(F.struct("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 3 == 0, 1).alias("mark"))).alias("r"),
+    )
+    rows = F.concat(F.lit("["), F.array_join(F.collect_list("r"), ","), F.lit("]"))
+    docs = c.groupBy("file").agg(rows.alias("rows"), F.count(F.lit(1)).alias("n")).select(
+        F.when(F.col("n") == 1, F.expr("substring(rows, 2, length(rows) - 2)"))
+        .when(F.col("file") % 2 == 0, F.concat(F.lit('[{"page": 1}, '), "rows", F.lit("]")))
+        .otherwise(F.col("rows")).alias("value"), "file",
+    )
+    docs.write.partitionBy("file").text(path)
+    spark.createDataFrame([('[{"page": 1}, []]', -1)], "value string, file int").write.partitionBy("file").mode("append").text(path)
+    return scan.read_records(spark, path).groupBy("c_nationkey").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"), F.count("mark").alias("marked")
+    )
+
+
 @query(
     "scan_json_union_of_keys",
     """SELECT event_type, count(*) AS n, sum((props->>'k')::BIGINT)::BIGINT AS k_sum, count(*) FILTER (event_id % 997 = 0) AS late_keys FROM events GROUP BY 1""",

@@ -22,8 +22,14 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str = "id") -> DataFram
     return latest.select(key, "r.*")
 
 
-def prune_stale(catalog: DataFrame, seen: DataFrame, portal: str, id_prefix: str | None = None) -> DataFrame:
-    """Drop a portal's rows that a completed pass did not see; nothing when it saw none."""
+def prune_stale(catalog: DataFrame, seen: DataFrame, portal: str, id_prefix: str | None = None, *,
+                exhausted: bool = True, hit_cap: bool = False, partial: bool = False) -> DataFrame:
+    """Drop a portal's rows that a completed pass did not see; nothing when it saw none.
+
+    A pass that stopped early, met its cap or covered only a part drops nothing.
+    """
+    if not exhausted or hit_cap or partial:
+        return catalog
     candidate = (F.col("portal") == portal) & (F.col("id").startswith(id_prefix) if id_prefix else F.lit(True))
     ids = seen.select("id").distinct().withColumn("__seen", F.lit(True))
     saw_any = seen.limit(1).agg(F.count(F.lit(1)) > 0).scalar()

@@ -23,28 +23,32 @@ def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     """Records of a JSON file. Keys are the union over all rows.
 
     A list of objects gives a row each, a single object gives one row, and a
-    `[meta, rows]` envelope gives the rows of its second element. An empty list
-    gives an empty table with one placeholder column. `lines` reads one object
-    per line, which splits across tasks; a single document cannot be split.
+    `[meta, rows]` envelope gives the rows of its second element; a folder may hold
+    files of all three shapes. Where no file has a row the table is empty with one
+    placeholder column. `lines` reads one object per line, which splits across
+    tasks; a single document cannot be split.
     """
     if lines:
         return spark.read.json(path)
-    text = spark.read.text(path, wholetext=True)
-    kind = text.select(
+    inner = F.get_json_object("value", "$[1]")
+    kind = (
         F.when(F.ltrim("value").startswith("{"), "object")
-        .when(F.get_json_object("value", "$[1][0]").isNotNull() & (F.json_array_length("value") >= 2)
-              & F.get_json_object("value", "$[1]").startswith("["), "envelope")
-        .when(F.json_array_length("value") == 0, "empty")
-        .when(F.json_array_length("value") > 0, "list")
-        .otherwise("other").alias("kind")
-    ).distinct().collect()
-    kinds = {r["kind"] for r in kind}
+        .when((F.json_array_length("value") >= 2) & inner.startswith("["), "envelope")
+        .when(F.json_array_length("value") >= 0, "list").otherwise("other")
+    )
+    rows = (
+        F.when(F.col("kind") == "object", F.concat(F.lit("["), "value", F.lit("]")))
+        .when(F.col("kind") == "envelope", inner).when(F.col("kind") == "list", F.col("value"))
+    )
+    text = spark.read.text(path, wholetext=True).withColumn("kind", kind).select("kind", rows.alias("rows"))
+    text = text.withColumn("filled", F.json_array_length("rows") > 0)
+    kinds = {r["kind"]: r["filled"] for r in text.groupBy("kind").agg(F.bool_or("filled").alias("filled")).collect()}
     if "other" in kinds:
         raise ValueError("Unsupported JSON shape")
-    if kinds == {"empty"}:
+    if not any(kinds.values()):
         return spark.createDataFrame([], T.StructType([T.StructField("placeholder", T.StringType())]))
-    if "envelope" in kinds:
-        return from_json_records(text.select(F.get_json_object("value", "$[1]").alias("rows")), "rows")
+    if "envelope" in kinds or len(kinds) > 1:
+        return from_json_records(text.where("filled").select("rows"), "rows")
     return spark.read.option("multiLine", True).json(path)
 
 

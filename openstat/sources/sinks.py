@@ -5,11 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def replace_view(df: DataFrame, name: str) -> DataFrame:
-    df.createOrReplaceTempView(name)
-    return df.sparkSession.table(name)
-
-
 def replace_table(df: DataFrame, path: str) -> DataFrame:
     """Create or replace a stored table and read it back."""
     df.write.mode("overwrite").parquet(path)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from openstat.functions import text
 from openstat.operators import curation, metrics
-from openstat.sources import paging, probe, scan
+from openstat.sources import catalog_sync, paging, probe, scan
 
 
 def _write(path, payload):
@@ -161,3 +161,37 @@ def test_bar_chart_counts_all_groups(spark):
 
     rows = bar_rows(spark.range(1000).selectExpr("id AS g", "id * 1.0D AS v"), "v", "g").collect()
     assert len(rows) == 10 and {r["total"] for r in rows} == {1000}
+
+
+def test_records_of_mixed_shapes(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    _write(folder / "a.json", [{"a": 1}, {"a": 2, "b": "x"}])
+    _write(folder / "b.json", [{"total": 1}, [{"a": 3, "c": True}]])
+    _write(folder / "c.json", {"a": 4})
+    _write(folder / "d.json", [{"total": 0}, []])
+    rows = scan.read_records(spark, str(folder)).collect()
+    assert sorted((r.a, r.b, r.c) for r in rows) == [(1, None, None), (2, "x", None), (3, None, True), (4, None, None)]
+    empty = scan.read_records(spark, _write(tmp_path / "m.json", [{"total": 0}, []]))
+    assert empty.columns == ["placeholder"] and empty.count() == 0
+
+
+def test_diversity_caps_with_one_hot_topic_and_null_keys(spark):
+    rows = [
+        (i, None if i % 11 == 0 else f"f{i % 37}", "hot" if i % 10 else (None if i % 20 else f"t{i % 7}"), i, i % 53 == 0)
+        for i in range(600)
+    ]
+    families, topics, kept = {}, {}, set()
+    for i, f, t, _, curated in sorted(rows, key=lambda r: (not r[4], r[3])):
+        if curated or (families.get(f, 0) < 2 and topics.get(t, 0) < 9):
+            kept.add(i)
+            families[f], topics[t] = families.get(f, 0) + 1, topics.get(t, 0) + 1
+    df = spark.createDataFrame(rows, "id int, family string, topic string, seq int, curated boolean")
+    assert {r.id for r in curation.diversity_caps(df, 2, 9).collect()} == kept
+
+
+def test_unfinished_pass_prunes_nothing(spark):
+    catalog = spark.createDataFrame([("a", "p"), ("b", "p")], "id string, portal string")
+    seen = spark.createDataFrame([("a",)], "id string")
+    assert catalog_sync.prune_stale(catalog, seen, "p").count() == 1
+    assert catalog_sync.prune_stale(catalog, seen, "p", hit_cap=True).count() == 2
