@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
 from openstat import rules
 from openstat.operators.profile import TableProfile, pick_by_name, preferred_geo
+from openstat.operators.relevance import redundant_geo
 
 
 @dataclass
@@ -21,62 +26,87 @@ class TestPlan:
 class TablePlans:
     plans: list[TestPlan] = field(default_factory=list)
 
-    def of(self, kind: str) -> list[list[str]]:
-        return [p.columns for p in self.plans if p.kind == kind]
-
 
 def analysis_mode(datasets: int) -> str:
     return "compare" if datasets == 2 else "explore"
 
 
-def tables_to_test(mode: str, names: list[str], joined: str | None) -> list[str]:
+def tables_to_test(mode: str, tables: list, joined=None) -> list:
     """Explore: the first table. Compare: the joined table, or both when the join failed."""
     if mode == "explore":
-        return names[:1]
-    return [joined] if joined else list(names)
-
-
-def drop_redundant_geo(names: list[str]) -> list[str]:
-    """Driver-side form of the geo preference rule, for the few categorical names of a plan."""
-    def squeeze(text: str) -> str:
-        return "".join(ch for ch in text.lower() if ch.isascii() and ch.isalnum())
-
-    def place(name: str, group: tuple[str, ...]) -> int | None:
-        norm = squeeze(name)
-        for i, member in enumerate(group):
-            m = squeeze(member)
-            if m in norm or norm in m:
-                return i
-        return None
-
-    dropped: set[str] = set()
-    for group in rules.GEO_PREFERENCE_GROUPS:
-        present = sorted(
-            ((place(n, group), i) for i, n in enumerate(names) if place(n, group) is not None)
+        return tables[:1]
+    return list(tables) if joined is None else [joined]
+
+
+@dataclass(frozen=True)
+class PlanLimits:
+    """How many columns of a kind enter the plans of a table, and how many plans it gets."""
+
+    correlated: int = 12
+    factors: int = 6
+    grouped: int = 8
+    times: int = 2
+    trended: int = 4
+    plans: int = rules.MAX_PLANS
+
+
+def plan_rows(spark: SparkSession, profile: TableProfile, joined: bool = False,
+              limits: PlanLimits = PlanLimits()) -> DataFrame:
+    """(position, kind, columns, tier, primary): the planned tests of one table, in run order.
+
+    Each kind of test is one rule over the column metadata; a joined table with two
+    measures leaves its own geography out, and a panel's own pair comes first.
+    """
+    measures = profile.of_kind("numeric")
+    cross = joined and len(measures) >= 2
+    fields = spark.createDataFrame(
+        [(kind, i, name) for kind in ("numeric", "datetime", "categorical") for i, name in enumerate(profile.of_kind(kind))],
+        "kind string, position int, name string",
+    ).coalesce(1)  # a few names
+
+    def each(measure_limit: int, others: DataFrame, stage: int, kind: str, tier: str) -> DataFrame:
+        """One plan per (measure, other column); the few measures are an array on each other column."""
+        return others.select("nth", F.posexplode(F.lit(measures[:measure_limit]).cast("array<string>")).alias("at", "measure"), "name").select(
+            F.array(F.lit(stage), F.col("nth"), F.col("at")).alias("order"), F.lit(kind).alias("kind"),
+            F.array("measure", "name").alias("columns"), F.lit(tier).alias("tier"), F.lit(False).alias("primary"),
+        )
+
+    def together(some: DataFrame, stage: int, kind: str, primary: bool) -> DataFrame:
+        """One plan over all given columns, if there are two."""
+        listed = F.array_sort(F.collect_list(F.struct("position", "name")))["name"]
+        return some.agg(listed.alias("columns")).where(F.size("columns") >= 2).select(
+            F.array(F.lit(stage), F.lit(0), F.lit(0)).alias("order"), F.lit(kind).alias("kind"),
+            "columns", F.lit("primary").alias("tier"), F.lit(primary).alias("primary"),
         )
-        dropped |= {names[i] for _, i in present[1:]}
-    return [n for n in names if n not in dropped]
-
-
-def plan_tests(profile: TableProfile, joined: bool = False) -> TablePlans:
-    """At most 24 plans: correlation, groups, chi-square, trends; a panel's own pair leads."""
-    numeric, times = profile.of_kind("numeric"), profile.of_kind("datetime")
-    categorical = drop_redundant_geo(profile.of_kind("categorical"))
-    cross = joined and len(numeric) >= 2
-    plans = []
-    if len(numeric) >= 2:
-        plans.append(TestPlan("correlation", numeric[:12], primary=cross))
-    factors = [c for c in categorical[:6] if not (cross and c.lower() in rules.GEO_COLUMNS)]
-    plans += [TestPlan("group_comparison", [n, c]) for c in factors for n in numeric[:8]]
-    if len(categorical) >= 2:
-        plans.append(TestPlan("chi_square", categorical[:2]))
-    tier = "derived" if profile.is_panel else "primary"
-    plans += [TestPlan("trend", [n, t], tier) for t in times[:2] for n in numeric[:4]]
-    if profile.is_panel and not cross:
-        pair = [pick_by_name(numeric, rules.PREFERRED_MEASURE), preferred_geo(profile.of_kind("categorical"))]
-        if all(pair) and not any(p.kind == "group_comparison" and p.columns == pair for p in plans):
-            plans.insert(0, TestPlan("group_comparison", pair))
-    return TablePlans(plans[: rules.MAX_PLANS])
+
+    nth = F.row_number().over(W.orderBy("position"))
+    factors = redundant_geo(fields.where("kind = 'categorical'")).where("keep").withColumn("nth", nth)
+    grouped = factors.where(F.col("nth") <= limits.factors)
+    if cross:
+        grouped = grouped.where(~F.lower("name").isin(*rules.GEO_COLUMNS))
+    times = fields.where("kind = 'datetime'").withColumn("nth", nth).where(F.col("nth") <= limits.times)
+    plans = (
+        together(fields.where((F.col("kind") == "numeric") & (F.col("position") < limits.correlated)), 1, "correlation", cross)
+        .unionByName(each(limits.grouped, grouped, 2, "group_comparison", "primary"))
+        .unionByName(together(factors.where("nth <= 2"), 3, "chi_square", False))
+        .unionByName(each(limits.trended, times, 4, "trend", "derived" if profile.is_panel else "primary"))
+    )
+    pair = [pick_by_name(measures, rules.PREFERRED_MEASURE), preferred_geo(profile.of_kind("categorical"))]
+    if profile.is_panel and not cross and all(pair):
+        lead = spark.createDataFrame(
+            [([0, 0, 0], "group_comparison", pair, "primary", False)],
+            "order array<int>, kind string, columns array<string>, tier string, primary boolean",
+        )
+        plans = plans.unionByName(lead)
+    once = plans.groupBy("kind", "columns", "tier", "primary").agg(F.max("order").alias("order"))
+    position = F.row_number().over(W.orderBy("order")) - 1
+    return once.select(position.alias("position"), "kind", "columns", "tier", "primary").where(F.col("position") < limits.plans)
+
+
+def plan_tests(profile: TableProfile, joined: bool = False, limits: PlanLimits = PlanLimits()) -> TablePlans:
+    """The planned tests as a list: metadata of at most `limits.plans` rows."""
+    rows = plan_rows(SparkSession.active(), profile, joined, limits).orderBy("position").collect()
+    return TablePlans([TestPlan(r["kind"], list(r["columns"]), r["tier"], r["primary"]) for r in rows])
 
 
 #: fixed values: method names in the order they are reported

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from openstat import rules
@@ -574,13 +577,19 @@ def descriptive_findings(spark, d):
     return descriptive.descriptive_findings(o, profile_table(o, "Orders", "orders"))
 
 
-@query("coverage_notes")
+@query(
+    "coverage_notes",
+    """WITH n AS (SELECT 0 AS pos, 'Planned 4 statistical test(s) on the loaded sample (0 significant at p < 0.05, 0 total ranked result(s)).' AS note
+                  UNION ALL SELECT 1, 'region — small sample (' || count(*) || ' rows); many tests need more data.' FROM region HAVING count(*) < 20
+                  UNION ALL SELECT 2, 'region — only 1 numeric field(s); correlation/regression tests were not applicable.' FROM region
+                  GROUP BY ALL HAVING count(*) > 0)
+       SELECT (row_number() OVER (ORDER BY pos) - 1)::INT AS position, note FROM n""",
+)
 def coverage_notes(spark, d):
     from openstat.plans.analysis import profile_table
 
     profiles = [profile_table(t(spark, d, n), n, n) for n in ("region", "orders")]
-    notes = descriptive.coverage_notes(profiles, 4, 0, 0)
-    return spark.createDataFrame(list(enumerate(notes)), "position int, note string")
+    return descriptive.coverage_notes(spark, profiles, 4, 0, 0)
 
 
 @query("context_bundle")
@@ -717,12 +726,24 @@ def _keyed(spark, d):
 
 @query(
     "join_candidates",
-    """SELECT unnest(['id', 'record_id ↔ id', 'year ↔ fiscal_year']) AS label, unnest([1, 1, 1]) AS n_keys FROM orders HAVING count(*) > 0""",
+    """WITH l AS (SELECT o_orderkey AS record_id, o_custkey AS id, year(o_orderdate) AS year FROM orders),
+            r AS (SELECT c_custkey AS id, 1990 + c_nationkey AS fiscal_year FROM customer)
+       SELECT 1 AS position, 'id' AS label, (SELECT count(*) FROM (SELECT DISTINCT id FROM l WHERE id IS NOT NULL) SEMI JOIN r USING (id)) AS shared_keys
+       UNION ALL SELECT 2, 'record_id ↔ id', (SELECT count(DISTINCT record_id) FROM l WHERE record_id IN (SELECT id FROM r))
+       UNION ALL SELECT 3, 'year ↔ fiscal_year', (SELECT count(DISTINCT year) FROM l WHERE year IN (SELECT fiscal_year FROM r))""",
 )
 def join_candidates(spark, d):
+    """Candidates from the column names, each with the key values that both tables hold."""
     left, right = _keyed(spark, d)
-    found = joins.candidate_pairs(left.columns, right.columns)
-    return spark.createDataFrame([(joins.pair_label(p), len(p)) for p in found], "label string, n_keys int")
+    found = []
+    for i, pairs in enumerate(joins.candidate_pairs(left, right), 1):
+        keys = [f"k{n}" for n in range(len(pairs))]
+        sides = [df.select(*[F.col(p[s]).alias(k) for k, p in zip(keys, pairs)]).dropna().distinct() for s, df in enumerate((left, right))]
+        found.append(
+            sides[0].join(sides[1], keys).agg(F.count(F.lit(1)).alias("shared_keys"))
+            .select(F.lit(i).alias("position"), F.lit(joins.pair_label(pairs)).alias("label"), "shared_keys")
+        )
+    return reduce(DataFrame.unionByName, found)
 
 
 _SUGGEST_SQL = f"""
