@@ -31,6 +31,7 @@ share an id count as one document for components. Empty input gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -45,12 +46,14 @@ from openstat.llm.common import (
     LOWER_BYTES, NOT_SPACE, RangeCounts, WordScan, frequent_ranges, mix, pieces, range_of,
 )
 from openstat.llm.components import components
-from openstat.session import store
+from openstat.session import shared_dir, store
 
 #: Nodes on either side of a block of comparisons.
 BLOCK = 2048
 #: Comparisons of sketches that an index entry may cost before its segments are allocated anew: a block.
 ENTRY_COST = BLOCK * BLOCK
+#: Spark's own limit of the buckets of a table.
+MOST_BUCKETS = 100_000
 #: Bits of a sketch for each shingle in which similar sets may differ.
 SKETCH_BITS = 16
 #: Times that the nodes outside an entry's largest component meet one node inside it, another each time.
@@ -474,6 +477,22 @@ def _similar(k: int, limit: Threshold):
     return run
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Write a table once in buckets of a key, so that joins on the key need not move it.
+
+    The files are in the shared folder and stay there; the name that Spark needs for
+    buckets leaves the catalog at once.
+    """
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
+    df.repartition(n, key).write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(
+        name, format="parquet"
+    )
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 class Join:
     """The steps over one table (doc_id, text, text_id)."""
 
@@ -506,11 +525,10 @@ class Join:
             F.max("sketch").alias("sketch"),
         ).select("node", "row.*", "n_shingles", "sketch")
         self.nodes = store(nodes.join(self.members.select("node").distinct(), "node", "left_semi"))
-        self.texts = store(
-            docs.join(self.nodes.select("doc_id", "text_id", "node"), ["doc_id", "text_id"]).select("node", "text")
-        )
+        texts = docs.join(self.nodes.select("doc_id", "text_id", "node"), ["doc_id", "text_id"]).select("node", "text")
+        self.texts = bucketed(texts, "node")
         if self.texts.count() > self.nodes.count():  # rows that repeat both id and text
-            self.texts = store(self.texts.groupBy("node").agg(F.min("text").alias("text")))
+            self.texts = bucketed(self.texts.groupBy("node").agg(F.min("text").alias("text")), "node")
 
     @staticmethod
     def entries(keys: DataFrame) -> DataFrame:
@@ -531,9 +549,15 @@ class Join:
         )
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar, by their texts."""
+        """The pairs that are similar, by their texts.
+
+        The texts stay in their buckets; those that the pairs name are written out, so only
+        these move, and Spark can split the rows of a node that many pairs name.
+        """
+        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = store(self.texts.join(named, "node", "left_semi"))
         both = (
-            pairs.join(self.texts.toDF("b", "text_b"), "b").join(self.texts.toDF("a", "text_a"), "a")
+            pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
             .select("a", "b", "text_a", "text_b")
         )
         return store(both.mapInArrow(_similar(self.k, self.limit), "a long, b long"))
@@ -593,15 +617,16 @@ class Join:
         ).distinct()
         tried = store(self.sized(first))
         links = self.linked(tried)
-        labels = components(links)
+        labels, members = components(links), self.members
         for turn in range(STARS):
-            placed = store(self.placed(self.members, labels))
+            placed = store(self.placed(members, labels))
+            members = placed.select("key", "kind", "node")
             pairs = store(self.sized(self.star(placed, turn).join(tried, ["a", "b"], "left_anti")))
             if pairs.isEmpty():
                 break
             tried, links = tried.unionByName(pairs), links.unionByName(self.linked(pairs))
             labels = components(links)
-        placed = store(self.placed(self.members, labels))
+        placed = store(self.placed(members, labels))
         costly = placed.filter(F.col("cost") > cost).select("key", "node")
         members = placed.filter(F.col("cost") <= cost).select("key", "kind", "node")
         if not costly.isEmpty():
