@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from openstat import rules
 from openstat.operators.blocks import distances, per_block_pair
 from openstat.operators.sampling import sample_rows
 from openstat.session import cut_lineage
@@ -125,52 +124,17 @@ def _assign(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return label, gap[np.arange(len(x)), label]
 
 
-def _settle(x: np.ndarray, centers: np.ndarray, max_rounds: int) -> tuple[np.ndarray, float]:
-    """Centers and inertia once the centers stop moving."""
-    cost = float("inf")
-    for _ in range(max_rounds):
-        label, gap = _assign(x, centers)
-        cost = float(gap.sum())
-        fresh = np.array([x[label == c].mean(axis=0) if (label == c).any() else centers[c] for c in range(len(centers))])
-        moved = ((fresh - centers) ** 2).sum()
-        centers = fresh
-        if moved <= _TOLERANCE:
-            break
-    return centers, cost
-
-
-def fit_kmeans_sample(points: DataFrame, columns: list[str], ks: range, restarts: int, seed: int,
-                      max_rounds: int) -> dict[int, np.ndarray]:
-    """Every (k, restart) is one group over the same bounded sample, so all fits run side by side."""
-    tasks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("restart")) for k in ks for r in range(restarts)])
-    rows = points.select("row_id", *[F.col(f"`{c}`").cast("double").alias(c) for c in columns], F.explode(tasks).alias("m"))
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        k, r = int(group["k"].iloc[0]), int(group["restart"].iloc[0])
-        x = group.sort_values("row_id")[columns].to_numpy(dtype="float64")
-        centers, cost = _settle(x, _seed_centers(x, k, np.random.default_rng([seed, k, r])), max_rounds)
-        return pd.DataFrame({"k": [k], "restart": [r], "cost": [cost], "centers": [centers.ravel().tolist()]})
-
-    fits = rows.select("row_id", *columns, "m.k", "m.restart").groupBy("k", "restart").applyInPandas(
-        fit, "k int, restart int, cost double, centers array<double>"
-    )
-    best = fits.groupBy("k").agg(F.min_by("centers", F.struct("cost", "restart")).alias("centers")).collect()
-    return {r["k"]: np.array(r["centers"]).reshape(r["k"], len(columns)) for r in best}
-
-
 def fit_kmeans(points: DataFrame, columns: list[str], ks: range, restarts: int = 10, seed: int = 42,
-               max_rounds: int = 100, seed_rows: int = 2_000, n_rows: int | None = None) -> dict[int, np.ndarray]:
+               max_rounds: int = 100, seed_rows: int = 2_000) -> dict[int, np.ndarray]:
     """Centers per k: the restart with the least inertia.
 
-    A table within the model sample size is fitted side by side. Beyond it all k
-    and all restarts move together: one pass over the data per round returns sums
-    per (model, cluster), a few hundred rows in all, instead of one pass per
-    round and model. Models that stopped moving are left out.
+    All k and all restarts move together: one pass over the data per round returns
+    sums per (model, cluster), a few hundred rows in all, instead of one pass per
+    round and model. Models that stopped moving are left out. First centers are
+    drawn from seed_rows hashed rows, every further step takes all rows.
     """
-    if n_rows is not None and n_rows <= rules.ML_MAX_ROWS:
-        return fit_kmeans_sample(points, columns, ks, restarts, seed, max_rounds)
     packed = points.select("row_id", *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).persist()
-    chosen = sample_rows(packed, seed_rows, seed, ["row_id"]).select(*[f"`{c}`" for c in columns])
+    chosen = sample_rows(packed, seed_rows, seed, ["row_id"]).orderBy("row_id").select(*[f"`{c}`" for c in columns])
     sample = chosen.toPandas().to_numpy()  # at most seed_rows rows
     models = {(k, r): _seed_centers(sample, k, np.random.default_rng([seed, k, r])) for k in ks for r in range(restarts)}
     inertia = dict.fromkeys(models, float("inf"))
@@ -222,10 +186,9 @@ def fit_kmeans(points: DataFrame, columns: list[str], ks: range, restarts: int =
     return {k: models[min((m for m in models if m[0] == k), key=lambda m: (inertia[m], m))] for k in ks}
 
 
-def kmeans_labels(points: DataFrame, columns: list[str], ks: range, restarts: int = 10, seed: int = 42,
-                  n_rows: int | None = None) -> DataFrame:
+def kmeans_labels(points: DataFrame, columns: list[str], ks: range, restarts: int = 10, seed: int = 42) -> DataFrame:
     """Adds one label column k2, k3, ... per k."""
-    best = fit_kmeans(points, columns, ks, restarts, seed, n_rows=n_rows)
+    best = fit_kmeans(points, columns, ks, restarts, seed)
     schema = T.StructType([*points.schema.fields, *[T.StructField(f"k{k}", T.IntegerType()) for k in ks]])
 
     def label(batches):
@@ -240,7 +203,7 @@ def kmeans_labels(points: DataFrame, columns: list[str], ks: range, restarts: in
 def choose_k(points: DataFrame, columns: list[str], n_rows: int, restarts: int = 10, seed: int = 42) -> DataFrame:
     """(k, clusters, n, silhouette) for k = 2..5, best silhouette first."""
     ks = range(2, min(6, n_rows))
-    labeled = kmeans_labels(points, columns, ks, restarts, seed, n_rows)
+    labeled = kmeans_labels(points, columns, ks, restarts, seed)
     scores = mean_silhouette(labeled, columns, [f"k{k}" for k in ks], n_rows)
     return scores.select(
         F.expr("cast(substring(labeling, 2) as int)").alias("k"), "clusters", "n", "silhouette"

@@ -25,15 +25,22 @@ def test_kmeans_finds_three_groups(blobs):
     assert best.k == 3 and best.silhouette > 0.7
 
 
-def test_both_kmeans_paths_agree_on_clear_groups(blobs):
-    side = clusters.fit_kmeans(blobs, COLUMNS, range(3, 4), n_rows=300)[3]
-    rounds = clusters.fit_kmeans(blobs, COLUMNS, range(3, 4))[3]
-    assert np.allclose(np.sort(side, axis=0), np.sort(rounds, axis=0), atol=1e-6)
+def test_kmeans_settles_on_the_means_of_its_clusters(blobs):
+    centers = clusters.fit_kmeans(blobs, COLUMNS, range(3, 4))[3]
+    x = _matrix(blobs)
+    label = ((x[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert np.allclose([x[label == c].mean(axis=0) for c in range(3)], centers, atol=1e-2)
+
+
+def test_kmeans_fits_alike_with_few_and_with_all_rows_as_seeds(blobs):
+    few = clusters.fit_kmeans(blobs, COLUMNS, range(3, 4), seed_rows=60)[3]
+    every = clusters.fit_kmeans(blobs, COLUMNS, range(3, 4))[3]
+    assert np.allclose(np.sort(few, axis=0), np.sort(every, axis=0), atol=1e-6)
 
 
 def test_silhouette_over_several_blocks(blobs, monkeypatch):
     monkeypatch.setattr("openstat.operators.blocks.BLOCK_ROWS", 70)
-    labeled = clusters.kmeans_labels(blobs, COLUMNS, range(2, 4), n_rows=300)
+    labeled = clusters.kmeans_labels(blobs, COLUMNS, range(2, 4))
     got = {r.labeling: r.silhouette for r in clusters.mean_silhouette(labeled, COLUMNS, ["k2", "k3"], 300).collect()}
     x = _matrix(blobs)
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
