@@ -32,17 +32,18 @@ def long_form(df: DataFrame, plans: list[tuple[str, str]]) -> DataFrame:
 
 
 def group_moments(rows: DataFrame) -> DataFrame:
-    """Count, mean and variance per level; `size_rank` orders levels by size, `kept` is the top 12."""
+    """Count, mean and variance of the twelve largest levels of a plan; `n_all` counts the rows of all.
+
+    Spark limits the rank within each task first, so a plan of many levels is not ordered in one.
+    """
     grouped = rows.groupBy(*PLAN, "level").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
         F.coalesce(F.var_pop("value"), F.lit(0.0)).alias("var_pop"),
     )
     by_size = W.partitionBy(*PLAN).orderBy(F.desc("n"), "level")
-    return (
-        grouped.withColumn("size_rank", F.row_number().over(by_size))
-        .withColumn("kept", F.col("size_rank") <= rules.MAX_GROUPS)
-        .withColumn("tested", F.col("kept") & (F.col("n") >= rules.MIN_GROUP_SIZE))
-    )
+    largest = grouped.withColumn("size_rank", F.row_number().over(by_size)).where(F.col("size_rank") <= rules.MAX_GROUPS)
+    totals = grouped.groupBy(*PLAN).agg(F.sum("n").alias("n_all"))
+    return largest.join(totals, PLAN).withColumn("tested", F.col("n") >= rules.MIN_GROUP_SIZE)
 
 
 def group_means(df: DataFrame, measure: str, factor: str) -> DataFrame:
@@ -51,22 +52,19 @@ def group_means(df: DataFrame, measure: str, factor: str) -> DataFrame:
 
 
 def _spread(moments: DataFrame) -> DataFrame:
-    """Per plan: rows and sample deviation over the kept levels, means and their range over the tested."""
-    kept_n = F.when(F.col("kept"), F.col("n"))
-    w = W.partitionBy(*PLAN)
-    centered = moments.withColumn(
-        "grand", F.sum(kept_n * F.col("mean")).over(w) / F.sum(kept_n).over(w)
-    )
-    within = kept_n * F.col("var_pop")
-    between = kept_n * (F.col("mean") - F.col("grand")) ** 2
+    """Per plan: rows and sample deviation over the largest levels, means and their range over the tested."""
+    n, w = F.col("n"), W.partitionBy(*PLAN)
+    centered = moments.withColumn("grand", F.sum(n * F.col("mean")).over(w) / F.sum(n).over(w))
+    within = n * F.col("var_pop")
+    between = n * (F.col("mean") - F.col("grand")) ** 2
     t = F.col("tested")
     sample_var = F.col("var_pop") * F.col("n") / (F.col("n") - 1)
     share = F.when(t, sample_var / F.col("n"))
     first = F.min_by("mean", F.when(t, F.col("level")))
     last = F.max_by("mean", F.when(t, F.col("level")))
     return centered.groupBy(*PLAN).agg(
-        F.sum("n").alias("n_all"), F.sum(kept_n).alias("n"),
-        F.sqrt(F.sum(within + between) / (F.sum(kept_n) - 1)).alias("std"),
+        F.max("n_all").alias("n_all"), F.sum("n").alias("n"),
+        F.sqrt(F.sum(within + between) / (F.sum("n") - 1)).alias("std"),
         F.count_if(t).alias("groups"),
         F.sum(F.when(t, F.col("n"))).alias("n_tested"),
         (F.max(F.when(t, F.col("mean"))) - F.min(F.when(t, F.col("mean")))).alias("effect"),
@@ -132,7 +130,7 @@ def normalized_effect(effect: Column, std: Column) -> Column:
 def group_tests(df: DataFrame, plans: list[tuple[str, str]]) -> DataFrame:
     """One row per plan: method, statistic, df, p, effect, normalized effect, n, means."""
     rows = long_form(df, plans)
-    moments = cut_lineage(group_moments(rows))  # one row per plan and level
+    moments = cut_lineage(group_moments(rows))  # at most twelve rows per plan
     t, welch_df = _welch_statistic()
     two = F.col("groups") == 2
     spread = _spread(moments).withColumns(

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from openstat.functions.pvalues import chi2_upper, t_two_sided
 from openstat.operators import association, correlation, groups, ranks, trend
@@ -101,3 +102,15 @@ def test_trend_averages_repeated_times(spark):
     df = spark.createDataFrame(rows, "t string, v double").selectExpr("cast(t as timestamp) as t", "v")
     r = trend.trend_findings(df, [("v", "t")], "d", "D").first()
     assert r.n == 12 and r.value > 0.99 and "upward" in r.title
+
+
+def test_group_moments_rank_only_the_largest_levels(spark):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") < 1000, "hot").otherwise(F.concat(F.lit("l"), F.pmod("id", F.lit(400)))).alias("g"),
+        F.col("id").alias("m"),
+    )
+    moments = groups.group_moments(groups.long_form(rows, [("m", "g")]))
+    assert moments._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 1
+    got = moments.orderBy("size_rank").collect()
+    assert len(got) == 12 and got[0].level == "hot" and {r.n_all for r in got} == {3000}
+    assert [r.level for r in got[1:]] == sorted(f"l{i}" for i in range(400))[:11]
