@@ -13,7 +13,8 @@ as are expected empty and some more, are indexed with their one-deletion
 neighbourhoods; a set with more empty ones indexes the neighbourhoods of all.
 Segments that turn out too costly (many sets that do not link share them) are
 skipped and made up for in the same way; where a set has too few other segments, its
-costly ones stay. A neighbourhood meets whole segments only, never another one.
+costly ones stay, and all other holders of these meet it there. A neighbourhood meets
+whole segments only, never another one.
 
 Equal sets are one node. In each index entry all nodes are first compared with one;
 beyond that only nodes of different components count, so a thousand near copies cost
@@ -270,8 +271,12 @@ def _keys(k: int, limit: Threshold, seed: int, frequent: np.ndarray, take: bool)
 
 
 def _reallocated(k: int, limit: Threshold):
-    """For nodes with costly keys: their other segments and all neighbourhoods of these, or,
-    where they are too few, the costly ones as well."""
+    """For nodes with costly keys: their other segments and all neighbourhoods of these.
+
+    Two nodes with costly segments that leave each at least half of its segments meet
+    in these. A node with fewer meets in its costly entries whatever is in them: there
+    it counts as whole, and the nodes that have enough as neighbourhoods.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(k)
@@ -280,6 +285,7 @@ def _reallocated(k: int, limit: Threshold):
             data = shingles(batch.column(1))
             costly = [np.array(c, np.int64).view(np.uint64) for c in batch.column(2).to_pylist()]
             whole: list[list[np.ndarray]] = [[] for _ in costly]
+            lacking = np.zeros(len(costly), bool)
             parts = []
             for upper in (False, True):
                 index = Index(data, limit, upper)
@@ -292,11 +298,13 @@ def _reallocated(k: int, limit: Threshold):
                 cold = index.filled & ~hot
                 parts.append((index.sets[cold], WHOLE, index.exact[cold]))
                 parts.append((*(x := index.deletions(cold))[:1], LESS, x[1]))
-                few = hot & (2 * index.held(cold) < index.m)[index.sets]
-                parts.append((index.sets[few], WHOLE, mix(index.exact[few])))
-            for i, c in enumerate(costly):  # met in a neighbourhood
+                few = 2 * index.held(cold) < index.m
+                lacking |= few
+                for kind, chosen in ((WHOLE, hot & few[index.sets]), (LESS, hot & ~few[index.sets])):
+                    parts.append((index.sets[chosen], kind, mix(index.exact[chosen])))
+            for i, c in enumerate(costly):  # met in a neighbourhood, or by what stands for empty segments
                 other = np.setdiff1d(c, np.concatenate(whole[i]))
-                parts.append((np.full(len(other), i), LESS, mix(other)))
+                parts.append((np.full(len(other), i), WHOLE if lacking[i] else LESS, mix(other)))
             yield _batch(parts, node)
 
     return run

@@ -151,6 +151,15 @@ def test_blocks_of_comparisons_lose_no_pair(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_components(rows, 1, 85, 100)
 
 
+@pytest.mark.parametrize("cost", [0, 50, 500])
+def test_bare_template_meets_templates_with_extras(spark, cost):
+    """The bare text has only costly segments, those with extras have enough others."""
+    base = " ".join(f"n{j}" for j in range(100))
+    rows = [(i, f"{base} " + " ".join(f"x{i}_{j}" for j in range(11))) for i in range(60)] + [(60, base)]
+    got = jaccard_join(table(spark, rows), k=1, top=90, cost=cost)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_components(rows, 1, 90, 100)
+
+
 @pytest.mark.parametrize("top", [60, 80, 90])
 def test_similar_sizes_share_a_scheme_with_enough_segments(top):
     limit = Threshold(top, 100)
