@@ -10,9 +10,9 @@ continue into another document's block, and joined.
 
 What moves is small. Phrases travel in groups under their anchor, the smallest hash
 of the 6-word runs in the phrase; equal phrases have equal anchors, so a group of
-neighbouring phrases is one row: anchor, id, place and 4 bytes per phrase. Two
-phrases are equal if their 64-bit anchor and a separate 32-bit hash are; that is
-96 bits, compared only within an anchor. Frequent anchors, found by counts over
+neighbouring phrases is one row: anchor, id, place and 8 bytes per phrase. Two
+phrases are equal if their 64-bit anchor and a separate 64-bit hash of all their words
+are; different phrases of one anchor are told apart by the 64 bits. Frequent anchors, found by counts over
 65 536 ranges, are first dealt out by document too and then met by phrase, so that a
 passage in a third of all documents is no task's burden.
 
@@ -69,7 +69,7 @@ def _anchored(batches: Iterator[pa.RecordBatch], least: int):
             continue
         ends = np.cumsum(sizes)
         sums = rolling.sums(words)
-        phrase = (rolling.grams(sums, least) >> np.uint64(32)).astype(np.uint32)
+        phrase = rolling.grams(sums, least)
         anchor = sliding_min(rolling.grams(sums, RUN), least - RUN + 1)
         row = np.repeat(np.arange(len(sizes)), sizes)[: len(phrase)]
         at = np.arange(len(phrase)) - (ends - sizes)[row]
@@ -99,7 +99,7 @@ def _emit(least: int, frequent: np.ndarray, take_frequent: bool):
                 continue
             packed = pa.BinaryArray.from_buffers(
                 pa.binary(), len(row),
-                [None, pa.py_buffer((cuts * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(phrase))],
+                [None, pa.py_buffer((cuts * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(phrase))],
             )
             made = pa.RecordBatch.from_arrays([
                 pa.array(anchor.view(np.int64)), pa.array(ids[row]), pa.array(text_ids[row]),
@@ -128,14 +128,14 @@ def _factor(least: int, open_too: bool = False):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (None, np.empty(0, np.uint32), np.empty(0, np.int64))
+        held = (None, np.empty(0, np.uint64), np.empty(0, np.int64))
         for batch in batches:
             if not batch.num_rows:
                 continue
             anchor, doc, text_id, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             packed = batch.column(4)
-            ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1] // 4
-            data = np.frombuffer(packed.buffers()[2], np.uint8)[: int(ends[-1]) * 4].view(np.uint32)
+            ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1] // 8
+            data = np.frombuffer(packed.buffers()[2], np.uint8)[: int(ends[-1]) * 8].view(np.uint64)
             group = np.cumsum(np.r_[0, anchor[1:] != anchor[:-1]])
             firsts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
             lasts = np.r_[firsts[1:], len(group)] - 1
@@ -148,9 +148,14 @@ def _factor(least: int, open_too: bool = False):
             offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             phrase = data[ends[row] + offset]
             own = len(held[1]) if anchor[0] == held[0] else 0
-            code = np.r_[held[1][:own].astype(np.uint64), group[row].astype(np.uint64) << np.uint64(32) | phrase]
+            code = np.r_[held[1][:own], phrase]
+            part = np.r_[np.zeros(own, np.int64), group[row]]
             docs = np.r_[held[2][:own], doc[row]]
-            _, first, back = np.unique(code, return_index=True, return_inverse=True)
+            order = np.lexsort((code, part))  # equal ones stay in the order of ids
+            change = np.r_[True, (code[order[1:]] != code[order[:-1]]) | (part[order[1:]] != part[order[:-1]])][: len(order)]
+            first = order[change]
+            back = np.empty(len(order), np.int64)
+            back[order] = np.cumsum(change) - 1
             hit = (docs > docs[first][back])[own:]
             a, b = _runs(row, offset, hit)
             r = row[a]
@@ -165,8 +170,8 @@ def _factor(least: int, open_too: bool = False):
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts, pa.binary())], OPEN_NAMES)
             elif len(r):
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], schema=SPANS)
-            last = first[(code[first] >> np.uint64(32)) == group[-1]]
-            held = (anchor[-1], code[last].astype(np.uint32), docs[last])
+            last = first[part[first] == group[-1]]
+            held = (anchor[-1], code[last], docs[last])
 
     return run
 
@@ -180,11 +185,11 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         anchor, doc, text_id, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         packed = batch.column(4).to_pylist()
-        n = np.array([len(p) // 4 for p in packed], np.int64)
+        n = np.array([len(p) // 8 for p in packed], np.int64)
         row = np.repeat(np.arange(len(n)), n)
         offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        phrase = np.frombuffer(b"".join(packed), np.uint32)
-        ends = np.arange(len(row) + 1, dtype=np.int32) * 4
+        phrase = np.frombuffer(b"".join(packed), np.uint64)
+        ends = np.arange(len(row) + 1, dtype=np.int32) * 8
         name = mix(anchor[row].view(np.uint64)) ^ phrase
         yield pa.RecordBatch.from_arrays([
             pa.array(name.view(np.int64)), pa.array(doc[row]), pa.array(text_id[row]),

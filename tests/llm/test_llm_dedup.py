@@ -95,6 +95,32 @@ def test_factor_goes_on_across_batches(spark):
     assert sorted(map(tuple, got)) == [(0, 1), (30, 2999)]
 
 
+@pytest.mark.parametrize("open_too", [False, True])
+def test_phrases_of_an_anchor_differ_in_all_64_bits(open_too):
+    """Hashes that agree in either half are still different phrases; also across batches."""
+    import pyarrow as pa
+
+    phrases = [1 << 40, 1 << 40 | 1, 1 << 41 | 1, 1 << 40]
+    rows = [(5, i, 0, 0, np.uint64(p).tobytes()) for i, p in enumerate(phrases)]
+    for cuts in ([0, 4], [0, 1, 2, 3, 4], [0, 2, 4]):
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[a:b]), sd.ROWS)], schema=sd.ROWS)
+            for a, b in zip(cuts, cuts[1:])
+        ]
+        out = [tuple(r.values())[:4] for b in sd._factor(13, open_too)(iter(batches)) for r in b.to_pylist()]
+        assert [r for r in out if r[3]] == [(3, 0, 0, 13)]
+
+
+def test_phrase_hashes_keep_all_their_bits():
+    import pyarrow as pa
+
+    text = " ".join(f"v{i}" for i in range(200))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text_id": [1], "text": [text]})
+    (*_, cuts, phrase), = sd._anchored(iter([batch]), 13)
+    assert phrase.dtype == np.uint64 and cuts[-1] == len(phrase) == 188
+    assert (phrase >> np.uint64(32)).all() and (phrase & np.uint64(0xFFFFFFFF)).all()
+
+
 def shingle_set(text, k):
     lower = text.translate({c: c + 32 for c in range(65, 91)}) if text else ""
     ws = words(lower)
