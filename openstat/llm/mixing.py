@@ -7,8 +7,11 @@ them, because a subtree never takes more than it holds, to other branches.
 
 A leaf with budget above its tokens repeats them in whole epochs, and takes from
 the last epoch the longest prefix, in that epoch's seeded order, that fits.
-Documents whose path has no positive weight are left out; null counts as its own
-path value "null"; documents without words cost nothing and go with the prefix.
+Null counts as the path value "null". A value that `weights` does not name under its
+node, null included, belongs to the node's child OTHER; all such values share that
+child's weight. Documents whose path has no positive weight, by a weight of 0 or
+because the node has no OTHER, are left out; documents without words cost nothing
+and go with the prefix.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from openstat.session import store
 
 Path = tuple[str, ...]
 RANGES = 4096
+#: Stands for all values of a level that are not named under their node.
+OTHER = "*"
 
 
 def shares(budget: int, weights: list[float], room: list[int]) -> list[int]:
@@ -53,7 +58,7 @@ def shares(budget: int, weights: list[float], room: list[int]) -> list[int]:
 def leaf_budgets(
     weights: Mapping[Path, float], tokens: Mapping[Path, int], budget: int, epochs: int
 ) -> dict[Path, int]:
-    """Budget of each leaf. `weights` names every node by its path; unnamed ones weigh 0."""
+    """Budget of each leaf. `weights` names every node by its path; paths without one weigh 0."""
     room: dict[Path, int] = {}
     for leaf, n in tokens.items():
         if all(weights.get(leaf[: d + 1], 0) > 0 for d in range(len(leaf))):
@@ -76,6 +81,21 @@ def leaf_budgets(
     return out
 
 
+def _named(rows: DataFrame, names: list[str], weights: Mapping[Path, float]) -> DataFrame:
+    """Path values that `weights` does not name under their node, as OTHER."""
+    if not any(OTHER in p for p in weights):
+        return rows
+    for d, name in enumerate(names):
+        keys = names[: d + 1]
+        known = rows.sparkSession.createDataFrame(
+            [(*p, True) for p in weights if len(p) == d + 1], ", ".join(f"{n} string" for n in keys) + ", _known boolean"
+        )
+        rows = rows.join(F.broadcast(known), keys, "left").withColumn(
+            name, F.when(F.col("_known"), F.col(name)).otherwise(F.lit(OTHER))
+        ).drop("_known")
+    return rows
+
+
 def mix_sources(
     docs: DataFrame, path: Mapping[str, Column], weights: Mapping[Path, float], tokens: Column,
     id_col: str = "doc_id", text_col: str = "text", budget: int | None = None,
@@ -95,6 +115,7 @@ def mix_sources(
         {n: F.coalesce(path[k].cast("string"), F.lit("null")) for n, k in zip(names, levels)}
         | {"n_tokens": F.coalesce(tokens, F.lit(0)).cast("long")}
     )
+    rows = _named(rows, names, weights)
     leaves = [(*p, float(w)) for p, w in weights.items() if len(p) == len(levels) and w > 0]
     named = spark.createDataFrame(
         [p[:-1] for p in leaves], ", ".join(f"{n} string" for n in names)

@@ -12,7 +12,7 @@ from openstat.llm.exact_dedup import exact_dedup
 from openstat.llm.html_text import extract_text
 from openstat.llm.jaccard_join import jaccard_join
 from openstat.llm.language_id import identify_language
-from openstat.llm.mixing import Path, mix_sources
+from openstat.llm.mixing import OTHER, Path, mix_sources
 from openstat.llm.quality import score_quality
 from openstat.llm.sharding import assign_shards, growth_map, map_version
 from openstat.llm.substring_dedup import substring_dedup
@@ -158,6 +158,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 #: Target shares: of a domain, of a language in it, of a source in that.
 DOMAINS = {"web": (0.5, range(0, 7)), "reference": (0.3, range(7, 14)), "books": (0.2, range(14, 20))}
 LANGUAGES = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}
+#: What values without a name (null included) have together: as a domain, as a language of a domain, as a source.
+OTHERS = (0.1, 0.1, 1.0)
 
 
 def source_path() -> dict[str, Column]:
@@ -170,11 +172,12 @@ def source_path() -> dict[str, Column]:
 
 def source_weights() -> dict[Path, float]:
     weights: dict[Path, float] = {}
-    for domain, (share, sources) in DOMAINS.items():
+    for domain, (share, sources) in (DOMAINS | {OTHER: (OTHERS[0], ())}).items():
         weights[(domain,)] = share
-        for lang, part in LANGUAGES.items():
+        for lang, part in (LANGUAGES | {OTHER: OTHERS[1]}).items():
             weights[(domain, lang)] = part
             weights |= {(domain, lang, f"src{i}"): 1.0 for i in sources}
+            weights[(domain, lang, OTHER)] = OTHERS[2]
     return weights
 
 

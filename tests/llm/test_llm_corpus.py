@@ -14,7 +14,7 @@ import corpus_pipeline
 from openstat.llm import queries
 from openstat.llm.html_text import extract_text, render
 from openstat.llm.language_id import Filters, identify_language
-from openstat.llm.mixing import leaf_budgets, mix_sources, shares
+from openstat.llm.mixing import OTHER, leaf_budgets, mix_sources, shares
 from openstat.llm.quality import calibrate, score_quality, train
 from openstat.llm.sharding import assign_shards, growth_map, map_version, rebalance, slot_bytes
 from openstat.llm.warc import parse_record, ranges, read_records, record, write_archives
@@ -186,6 +186,36 @@ def test_mixing(spark, budget, epochs):
     assert sorted((r["doc_id"], r["copies"]) for r in got.collect()) == brute_mix(plain, weights, budget, epochs, order)
 
 
+def test_documents_of_values_without_a_name_are_mixed(spark):
+    """Null and unnamed languages and sources have leaves with a weight, and count for the budget."""
+    kinds = [("src0", "en"), ("src0", None), ("src0", "it"), ("src99", "en"), (None, "fr"), ("web", "de"), (None, None), ("src007", "es")]
+    rows = [(i, *kinds[i % 8], "w " * (5 + i % 3)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").repartition(4)
+    mix = lambda **x: mix_sources(docs, queries.source_path(), queries.source_weights(), queries.n_words(F.col("text")), **x)
+    whole = mix(share=1.0, epochs=1)
+    assert sorted(r["doc_id"] for r in whole.collect()) == list(range(400)) and whole.columns == [*docs.columns, "n_tokens", "copies"]
+    leaves = [
+        ("web", "en", "src0"), ("web", "*", "src0"), ("web", "*", "src0"), ("*", "en", "*"), ("*", "fr", "*"),
+        ("*", "de", "*"), ("*", "*", "*"), ("reference", "es", "*"),
+    ]
+    held, size = {}, {}
+    for i, _, _, text in rows:
+        held[leaves[i % 8]] = held.get(leaves[i % 8], 0) + text.count("w")
+        size[i] = text.count("w")
+    got = {}
+    for r in mix(budget=1000, epochs=1).collect():
+        got[leaves[r["doc_id"] % 8]] = got.get(leaves[r["doc_id"] % 8], 0) + r["n_tokens"] * r["copies"]
+    for leaf, amount in leaf_budgets(queries.source_weights(), held, 1000, 1).items():
+        assert amount - max(size.values()) < got.get(leaf, 0) <= amount
+
+
+def test_values_without_a_name_are_left_out_only_if_their_node_has_no_other(spark):
+    docs = spark.createDataFrame([(1, "a", "w"), (2, "b", "w"), (3, None, "w")], "doc_id long, source string, text string")
+    mix = lambda w: {r["doc_id"] for r in mix_sources(docs, {"source": F.col("source")}, w, queries.n_words(F.col("text"))).collect()}
+    assert mix({("a",): 1.0}) == {1} and mix({("a",): 1.0, (OTHER,): 1.0}) == {1, 2, 3}
+    assert mix({("a",): 1.0, ("null",): 0.0, (OTHER,): 1.0}) == {1, 2}
+
+
 def test_mixing_odd_rows(spark):
     rows = [(None, "s0", None), (1, "s0", ""), (1, "s0", ""), (2, "s0", "a b")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
