@@ -5,10 +5,11 @@ block, a list item before the next one, a cell before the next cell). Elements t
 a browser does not show are left out. What is visible is written as text: blocks on
 lines of their own, blank lines around paragraphs and headings, list items with
 bullets or numbers and indents, table cells padded to common columns, preformatted
-text as it stands.
+text as it stands. Each text of a drawing is a line; formulas run on in the line, with
+the parts of fractions, roots and scripts apart.
 
 Null or empty html gives an empty text. Broken markup is read as far as it goes;
-elements nested deeper than 200 become siblings, with all their text.
+elements nested deeper than 200 become siblings, with all their visible text.
 """
 
 from __future__ import annotations
@@ -26,9 +27,22 @@ from openstat.llm.common import pieces
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset(
-    "head script style template noscript title meta link base datalist iframe object audio video canvas svg "
-    "math textarea select option optgroup".split()
+    "head script style template noscript title meta link base datalist iframe object audio video canvas "
+    "textarea select option optgroup".split()
 )
+FOREIGN = frozenset(["svg", "math"])
+#: Not shown inside drawings and formulas.
+UNDRAWN = frozenset(
+    "desc metadata defs symbol clippath mask marker pattern filter annotation annotation-xml mphantom".split()
+)
+#: HTML inside drawings and formulas, and the start tags that end these elsewhere.
+ISLANDS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta "
+    "nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+#: Formulas whose parts stand above, below or beside each other.
+APART = frozenset("mfrac mroot msub msup msubsup munder mover munderover mmultiscripts mtr mlabeledtr".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure fieldset hr".split())
 BLOCK = PARAGRAPH | frozenset(
     "address article aside body center dd details dialog div dt figcaption footer form header hgroup html "
@@ -52,14 +66,15 @@ WIDEST = 1000
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "foreign")
 
-    def __init__(self, tag: str, attrs: dict[str, str]) -> None:
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str], foreign: str = "") -> None:
+        self.tag, self.attrs, self.children, self.foreign = tag, attrs, [], foreign
 
     def visible(self) -> bool:
         return not (
             self.tag in HIDDEN
+            or (self.foreign and self.tag in UNDRAWN)
             or "hidden" in self.attrs
             or UNSEEN.search(self.attrs.get("style", ""))
             or (self.tag == "dialog" and "open" not in self.attrs)
@@ -73,27 +88,70 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("html", {})
         self.open = [self.root]
+        #: Open tags of a hidden element at the greatest depth, and inside it.
+        self.buried: dict[str, int] = {}
+        self.hider = ""
+
+    def _foreign(self) -> str:
+        """The drawing or formula in which the next element stands."""
+        last = self.open[-1]
+        return last.tag if last.tag in FOREIGN else "" if last.tag in ISLANDS else last.foreign
+
+    def _in_buried(self, tag: str) -> bool:
+        """Whether a start tag stands in the hidden element, which ends where HTML implies it."""
+        for starts, ends, walls in IMPLIED:
+            if tag in starts and self.hider in ends and not any(self.buried.get(w) for w in walls):
+                self.buried = {}
+        return bool(self.buried)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "html":
             return
+        if self.buried and self._in_buried(tag):
+            if tag not in VOID:
+                self.buried[tag] = self.buried.get(tag, 0) + 1
+            return
+        if self._foreign() and tag in BREAKOUT:
+            while self._foreign():
+                self.open.pop()
         for starts, ends, walls in IMPLIED:
             if tag in starts:
                 self._end(ends, walls)
         if tag not in HIDDEN and self.open[-1].tag == "head":
             self.open.pop()
-        made = Element(tag, {k: v or "" for k, v in attrs})
+        made = Element(tag, {k: v or "" for k, v in attrs}, self._foreign())
         self.open[-1].children.append(made)
-        if tag not in VOID and len(self.open) < DEEPEST:
+        if tag in VOID:
+            return
+        if len(self.open) < DEEPEST:
             self.open.append(made)
+        elif not made.visible():
+            self.buried, self.hider = {tag: 1}, tag
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        last = self.open[-1]
+        if self.buried:
+            if tag in FOREIGN or self._foreign():
+                self.handle_endtag(tag)
+        elif last.tag == tag and not last.children and (tag in FOREIGN or last.foreign):
+            self.open.pop()  # HTML elements stay open, as in a browser
 
     def handle_endtag(self, tag: str) -> None:
+        if self.buried.get(tag):
+            self.buried[tag] -= 1
+            if not self.buried[self.hider]:
+                self.buried = {}
+            return
+        if self.buried:
+            if not any(e.tag == tag for e in self.open):
+                return
+            self.buried = {}  # the end of an element around it
         self._end(frozenset([tag]), frozenset("td th table".split()) if tag not in ("td", "th", "tr", "thead", "tbody", "tfoot", "table", "body") else frozenset(["table"]) - {tag})
 
     def handle_data(self, data: str) -> None:
+        if self.buried:
+            return
         if self.open[-1].tag == "head" and data.strip():
             self.open.pop()
         self.open[-1].children.append(data)
@@ -163,6 +221,18 @@ def _flow(element: Element, out: Lines) -> None:
     for child in element.children:
         if isinstance(child, str):
             out.text(child)
+        elif child.visible() and child.tag == "svg":
+            _drawing(child, out)
+        elif child.visible() and child.foreign == "math" and child.tag in APART:
+            for part in child.children:
+                out.text(" ")
+                _flow(_wrapped(part), out)
+            out.text(" ")
+        elif child.visible() and child.foreign == "math" and child.tag == "mtable":
+            for row in child.children:
+                out.end(1)
+                _flow(_wrapped(row), out)
+            out.end(1)
         elif not child.visible():
             continue
         elif child.tag == "br":
@@ -192,12 +262,27 @@ def _flow(element: Element, out: Lines) -> None:
             _flow(child, out)
 
 
+def _drawing(element: Element, out: Lines) -> None:
+    """Texts and embedded HTML; other characters of a drawing are not shown."""
+    for child in element.children:
+        if isinstance(child, str) or not child.visible():
+            continue
+        if child.tag in ("text", "foreignobject"):
+            out.end(1)
+            _flow(child, out)
+            out.end(1)
+        else:
+            _drawing(child, out)
+
+
 def _raw(element: Element) -> Iterator[str]:
     for child in element.children:
         if isinstance(child, str):
             yield child.replace("\r\n", "\n")
         elif child.tag == "br":
             yield "\n"
+        elif child.visible() and child.tag in FOREIGN:
+            yield "\n".join(_inside(_wrapped(child)))
         elif child.visible():
             yield from _raw(child)
 
@@ -261,7 +346,7 @@ def _table(element: Element) -> list[str]:
     ]
 
 
-def _wrapped(element: Element) -> Element:
+def _wrapped(element: Element | str) -> Element:
     out = Element("div", {})
     out.children = [element]
     return out

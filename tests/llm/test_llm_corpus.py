@@ -105,6 +105,29 @@ def test_render(html, text):
     assert render(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<div>a <svg class='icon'/>b</div>c", "a b\nc"), ("<p>a <math/>b", "a b"),
+    ("<svg><path d='m0'/><g><text x=1>one <tspan>two</tspan></text></g>no<text>three</text><title>no</title></svg>d", "one two\nthree\nd"),
+    ("<svg><defs><text>no</text></defs><desc>no</desc><foreignObject><p>in<p>side</foreignObject></svg>", "in\n\nside"),
+    ("<svg><path d='m0'>no<p>out<svg><text/>", "out"),
+    ("so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>.", "so x=2."),
+    ("<math><mfrac><mn>1</mn><mn>2</mn></mfrac><mo>+</mo><mi>y</mi></math>", "1 2 +y"),
+    ("<math><mtable><mtr><mtd>a</mtd><mtd>b</mtd></mtr><mtr><mtd>c</mtd></mtr></mtable></math>", "a b\nc"),
+    ("<pre>a\n<svg><text>t</text></svg></pre>", "a\nt"),
+])
+def test_render_drawings_and_formulas(html, text):
+    assert render(html) == text
+
+
+@pytest.mark.parametrize("tail, text", [
+    ("<script>no</script>a<style>no</style>b", "ab"), ("a<div hidden>no<div>no</div>no</div>b", "ab"),
+    ("<p hidden>no<p>a", "a"), ("a<span style='display:none'>no</b></span>b", "ab"), ("a<template>no</div>b", "a\nb"),
+    ("<select><option>no<option>no</select>a<svg/>b", "ab"), ("a<svg hidden/>b", "ab"),
+])
+def test_hidden_elements_below_the_greatest_depth(tail, text):
+    assert [x for x in render("<div>" * 300 + tail).split("\n") if x] == text.split("\n")
+
+
 def test_deep_and_broken_pages_lose_no_text(spark):
     deep = "<div>" * 3000 + "core" + "</div>" * 3000 + "<b" + "<li>" * 2000 + "tail"
     assert "core" in render(deep)
