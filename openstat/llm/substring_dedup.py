@@ -1,12 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing against a distributed index.
+"""Substring dedup by a distributed hash index of phrases.
 
 The reference is the corpus itself: every phrase of `least` words is indexed under
-its first holder (smallest id), and the index lies in blocks dealt by phrase. A
-document is factored against all blocks at once: at every word the index says
-whether a phrase that starts there stands in an earlier document, and phrases that
-follow one another make a factor. A factor of at least `least` words is a duplicate
-span. Spans that meet or overlap are checked at their boundaries, where a phrase may
-continue into another document's block, and joined.
+its first holder (smallest id), and the index lies in blocks dealt by phrase. At
+every word the index says whether a phrase that starts there stands in an earlier
+document, and phrases that follow one another make a duplicate span; spans that meet
+or overlap are joined. This is no greedy Lempel-Ziv parse: a span may be made up of
+phrases of several earlier documents, and no source or longest match is kept.
 
 What moves is small. Phrases travel in groups under their anchor, the smallest hash
 of the 6-word runs in the phrase; equal phrases have equal anchors, so a group of
