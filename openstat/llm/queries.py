@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from openstat.llm.common import pieces
 from openstat.llm.decontaminate import contamination, digest
 from openstat.llm.exact_dedup import exact_dedup
+from openstat.llm.hard_negatives import hard_negatives
 from openstat.llm.html_text import extract_text
 from openstat.llm.jaccard_join import jaccard_join
 from openstat.llm.language_id import identify_language
 from openstat.llm.mixing import OTHER, Path, mix_sources
+from openstat.llm.onebit_search import nearest
+from openstat.llm.periodic_runs import periodic_runs
 from openstat.llm.quality import score_quality
 from openstat.llm.sharding import assign_shards, growth_map, map_version
 from openstat.llm.substring_dedup import substring_dedup
+from openstat.llm.vectors import finite
 from openstat.llm.warc import read_records, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,3 +242,90 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = identify_language(docs, learn=fold(F.col("doc_id"), 5) != 0)
     held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op11_nearest", """
+with r as (
+  select vec_id, list_transform(embedding, lambda x: x::double) v from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+s as (
+  select q.vec_id query_id, c.vec_id, list_inner_product(q.v, c.v) score
+  from r q join r c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
+)
+select query_id, (row_number() over g)::int rank, vec_id, score from s
+window g as (partition by query_id order by score desc, vec_id) qualify row_number() over g <= 20
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+@query("op12_hard_negatives", """
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l,
+    list_transform(embedding, lambda x: floor(256 * x::double)) v
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+s as (
+  select a.vec_id a, a.l al, b.vec_id b, b.l bl, list_inner_product(a.v, b.v)::bigint s
+  from r a join r b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0
+),
+p as (select a, al, b, s from s where al = bl qualify row_number() over (partition by a order by s desc, b) <= 5),
+n as (
+  select p.a anchor_id, p.b positive_id, s.b negative_id, p.s positive_score, s.s negative_score,
+    (row_number() over (partition by p.a, p.b order by s.s desc, s.b))::int rank
+  from p join s on s.a = p.a and s.bl <> p.al and 50 * p.s <= 100 * s.s and 100 * s.s <= 95 * p.s
+)
+select * from n where rank <= 3
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").filter(finite(F.col("embedding"))).select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("embedding"),
+    )
+    return hard_negatives(rows, rows.filter("vec_id % 50 = 0"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text of documents, a tenth of them with a period planted as op13 states it."""
+
+    def plant(doc_id: int | None, text: str | None) -> str | None:
+        h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+        if h % 10 or not text:
+            return text
+        words = text.encode().split()
+        if not words:
+            return text
+        g = h // 10
+        a = g % len(words)
+        p = 1 + (len(words) - a) // (3 + g % 8)
+        cycle = words[a : a + p]
+        times = -(-(len(words) - a) // p)
+        return b" ".join(words[:a] + (cycle * times)[: len(words) - a]).decode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for x in batches for piece in pieces(iter([x]), "text")):
+            made = [plant(i, t) for i, t in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["doc_id", "text"])
+
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(run, rows.schema)
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs(with_repeats(table(spark, folder, "documents")), least=6, times=4)
+    longest = F.sort_array(F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"], r["length"])))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(
+        r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")
+    )))
+    top = F.get(longest, F.lit(0))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), top["start"].alias("start"), top["length"].alias("length"),
+        top["period"].alias("period"), F.floor(1000 * top["length"] / top["period"]).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
