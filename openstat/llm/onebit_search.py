@@ -70,7 +70,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for dim, rows, x in by_length(batch.column(0), float):
-            sums[dim] = sums.get(dim, 0) + np.r_[len(rows), x.sum(0)]
+            sums[dim] = sums.get(dim, 0) + np.r_[np.count_nonzero(x.any(1)), x.sum(0)]
     yield pa.RecordBatch.from_arrays(
         [pa.array(list(sums), pa.int32()), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64()))], ["dim", "sums"]
     )
@@ -83,13 +83,16 @@ def centers(vectors: DataFrame) -> dict[int, np.ndarray]:
     out: dict[int, np.ndarray] = {}
     for r in sorted(total, key=lambda r: (r["dim"], r["pos"])):
         out[r["dim"]] = np.r_[out.get(r["dim"], np.empty(0)), r["s"]]
-    return {dim: s[1:] / s[0] for dim, s in out.items()}
+    return {dim: s[1:] / max(s[0], 1) for dim, s in out.items()}
 
 
 def _encode(middle: dict[int, np.ndarray], bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, rows, x in by_length(batch.column(1), float):
+                rows, x = rows[sound := x.any(1)], x[sound]
+                if not len(rows):
+                    continue
                 width = code_bits(dim, bits)
                 with np.errstate(all="ignore"):
                     rest = x - middle[dim]
@@ -173,7 +176,9 @@ def _search(middle: dict[int, np.ndarray], bits: int, confidence: float, k: int)
                 joined = pa.Table.from_batches(waiting).combine_chunks()
                 ids, keys = joined["vec_id"].to_numpy(), joined["query_key"].to_numpy()
                 for dim, rows, x in by_length(joined["vector"].combine_chunks(), float):
-                    block[dim] = Queries(ids[rows], keys[rows], x, middle[dim], bits, confidence, k)
+                    rows, x = rows[sound := x.any(1)], x[sound]
+                    if len(rows):
+                        block[dim] = Queries(ids[rows], keys[rows], x, middle[dim], bits, confidence, k)
                 waiting.clear()
 
         with np.errstate(all="ignore"):
@@ -205,8 +210,8 @@ def nearest(
     """query_id, rank (from 1), vec_id and score of the k rows nearest to each query."""
 
     def usable(df: DataFrame) -> DataFrame:
-        df = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-        return df.filter(F.col("vec_id").isNotNull() & finite(F.col("vector")) & F.exists("vector", lambda x: x != 0))
+        sound = df.filter(F.col(id_col).isNotNull() & finite(F.col(vector_col)))
+        return sound.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
 
     spark = rows.sparkSession
     taking_part = usable(rows)

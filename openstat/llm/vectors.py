@@ -15,9 +15,8 @@ BLOCK_BYTES, QUERY_ROWS, BLOCK_ROWS, LEAST_ROWS = 16 << 20, 4096, 1 << 20, 1024
 
 
 def finite(vector: Column) -> Column:
-    """True for a vector that is not null and holds no null or non-finite component."""
-    sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    return F.coalesce(vector.isNotNull() & sound, F.lit(False))
+    """True for a vector that is not null and holds no null or non-finite component (NaN counts as larger than all)."""
+    return F.coalesce(F.forall(vector, lambda x: F.abs(x) < float("inf")), F.lit(False))
 
 
 def matrix(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +61,7 @@ def dealt(queries: DataFrame, rows: DataFrame, q_blocks: int, r_blocks: int, ord
         "cell", F.col("_other") * r_blocks + F.pmod("block", F.lit(r_blocks))
     )
     both = q.withColumn("is_row", F.lit(False)).unionByName(r.withColumn("is_row", F.lit(True)), allowMissingColumns=True)
-    return both.drop("_other", "block").repartition(q_blocks * r_blocks, "cell").sortWithinPartitions("cell", "is_row", *order)
+    return both.drop("_other", "block").repartitionById(q_blocks * r_blocks, F.col("cell").cast("int")).sortWithinPartitions("cell", "is_row", *order)
 
 
 def cells(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
