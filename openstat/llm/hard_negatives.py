@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -237,14 +238,33 @@ def _search(k: int, same: bool):
     return run
 
 
+ROW_SCHEMA = "id long, label long, vector array<long>, spread long"
+
+
+def _sound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose vectors take part, each with a random number that is written with it."""
+    random = np.random.default_rng()
+    for batch in batches:
+        vector = batch.column(2)
+        sizes = np.asarray(pa.compute.list_value_length(vector).fill_null(0))
+        values = vector.flatten()
+        with np.errstate(divide="ignore"):
+            limit = np.floor(np.sqrt((1 << 53) / sizes))
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        wide = np.abs(values.fill_null(1 << 62).to_numpy(zero_copy_only=False).astype(float)) > limit[row]
+        good = np.flatnonzero((sizes > 0) & (np.bincount(row[wide], minlength=len(sizes)) == 0))
+        part = batch.take(pa.array(good))
+        yield pa.RecordBatch.from_arrays(
+            [*part.columns, pa.array(random.integers(0, 1 << 31, len(good)))], [*batch.schema.names, "spread"]
+        )
+
+
 def usable(df: DataFrame, id_col: str, label_col: str, vector_col: str) -> DataFrame:
-    vector = F.col("vector")
-    limit = F.floor(F.sqrt(F.lit(float(1 << 53)) / F.greatest(F.size(vector), F.lit(1))))
-    sound = F.forall(vector, lambda x: x.isNotNull() & x.between(-limit, limit))
-    return df.select(
+    named = df.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.col(vector_col).isNotNull())
+    return named.select(
         F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"),
         F.col(vector_col).cast("array<long>").alias("vector"),
-    ).filter(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size(vector) > 0) & sound)
+    ).mapInArrow(_sound, ROW_SCHEMA)
 
 
 def _place(cuts: dict[int, tuple[int, Cuts]]):
@@ -262,7 +282,7 @@ def _place(cuts: dict[int, tuple[int, Cuts]]):
 def packed(rows: DataFrame) -> tuple[DataFrame, int, int]:
     """The rows with their part of the upper level (at most about TILE_BYTES of vectors), their number and width."""
     spark = rows.sparkSession
-    spread = store(rows.withColumn("spread", F.floor(F.rand(11) * (1 << 31))))
+    spread = store(rows)
     n, width = spread.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
     limit = max(LEAF, min(TILE_BYTES // (8 * width), -(-n // (4 * spark.sparkContext.defaultParallelism))))
     n_tiles = min(-(-n // limit), SAMPLE_ROWS // PER_TILE)
@@ -312,7 +332,7 @@ def hard_negatives(
     names = (id_col, label_col, vector_col)
     index, *size = packed(usable(rows, *names))
     asked = store(
-        usable(anchors, *names).withColumn("key", F.xxhash64("label", "vector")).dropDuplicates(["id", "key"])
+        usable(anchors, *names).drop("spread").withColumn("key", F.xxhash64("label", "vector")).dropDuplicates(["id", "key"])
     )
     everything = [F.array(F.lit(x).cast("long")) for x in ANY]
     positives = store(_best(
