@@ -31,32 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from openstat.llm.common import NOT_SPACE, pieces
+from openstat.llm.common import join_words, pieces, split_words
 
 FOUND = "n_words long, runs array<struct<start:long,length:long,period:long>>, n_kept long, collapsed_text string"
 
 
-def split_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all words without gaps, the end of each word in them, words per row."""
-    column = (column.fill_null("") if column.null_count else column).cast(pa.binary())
-    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    raw = column.buffers()[2]
-    data = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]] if raw is not None else np.empty(0, np.uint8)
-    bounds = bounds - bounds[0]
-    inside = NOT_SPACE[data].view(bool)
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    inner = bounds[(bounds > 0) & (bounds < len(data))]
-    starts[inner] |= inside[inner]
-    at = np.flatnonzero(starts).astype(np.int32)
-    del starts
-    ends = np.empty(len(at), np.int32)
-    if len(at):
-        ends[:-1] = np.cumsum(inside, dtype=np.int32)[at[1:] - 1]
-        ends[-1] = np.count_nonzero(inside)
-    return data[inside], ends, np.diff(np.searchsorted(at, bounds))
-
-
 def codes_of(packed: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """One number for each distinct word."""
     offsets = np.r_[np.int32(0), ends]
@@ -112,26 +91,6 @@ def find_runs(codes: np.ndarray, sizes: np.ndarray, least: int, times: int) -> t
     return start[order], length[order], period[order]
 
 
-def _joined(packed: np.ndarray, ends: np.ndarray, kept: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
-    """Kept words of each row joined by one space."""
-    size = np.diff(ends, prepend=np.int32(0))
-    per_row = np.bincount(row[kept], minlength=n)
-    stretch = size[kept] + 1
-    after = np.cumsum(stretch)
-    out = np.full(int(after[-1]) if len(after) else 0, 0x20, np.uint8)
-    hole = np.ones(len(out), bool)
-    hole[after - 1] = False
-    out[hole] = packed[np.repeat(kept, size)]
-    # the space after the last word of a row goes
-    last = np.cumsum(per_row)[per_row > 0] - 1
-    drop = np.zeros(len(out), bool)
-    drop[after[last] - 1] = True
-    width = np.bincount(row[kept], weights=stretch, minlength=n).astype(np.int64) - (per_row > 0)
-    offsets = np.r_[0, np.cumsum(width)].astype(np.int32)
-    text = np.ascontiguousarray(out[~drop])
-    return pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(offsets), pa.py_buffer(text)])
-
-
 def _search(least: int, times: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -154,7 +113,7 @@ def _search(least: int, times: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(sizes.astype(np.int64)), runs,
-                    pa.array(np.bincount(row[kept], minlength=n).astype(np.int64)), _joined(packed, ends, kept, row, n),
+                    pa.array(np.bincount(row[kept], minlength=n).astype(np.int64)), join_words(packed, ends, kept, row, n),
                 ],
                 [batch.schema.names[0], "n_words", "runs", "n_kept", "collapsed_text"],
             )

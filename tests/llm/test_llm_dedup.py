@@ -111,6 +111,75 @@ def test_phrases_of_an_anchor_differ_in_all_64_bits(open_too):
         assert [r for r in out if r[3]] == [(3, 0, 0, 13)]
 
 
+@pytest.mark.parametrize("frequent", [False, True])
+def test_factors_name_their_source(spark, monkeypatch, frequent):
+    """Each factor stands word for word in the earlier document that it names; copies are one factor."""
+    if frequent:
+        monkeypatch.setattr(sd, "frequent_ranges", lambda counts: EVERYWHERE)
+    rows = [(i, t) for i, t in corpus() if i is not None and i != 7]
+    texts = {i: words(t) for i, t in rows}
+    got = substring_dedup(table(spark, rows)).collect()
+    most = 0
+    for r in got:
+        covered = set()
+        for start, stop, source, place in r["factors"]:
+            assert source < r["doc_id"] and stop - start >= 13
+            assert texts[r["doc_id"]][start:stop] == texts[source][place : place + stop - start]
+            covered |= set(range(start, stop))
+            most = max(most, stop - start)
+        assert len(covered) == r["n_removed"]
+    assert most > 60
+    whole = next(r for r in got if r["doc_id"] == 509)
+    if not frequent:
+        assert [tuple(f) for f in whole["factors"]] == [(0, whole["n_words"], 0, 0)]
+
+
+def test_longest_prefixes_equal_brute_force():
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 9, 200)
+    part = np.repeat(np.sort(rng.integers(0, 12, 200)), sizes)
+    docs = np.repeat(rng.integers(0, 1000, 200), sizes)
+    for p in np.unique(part):  # ids in order within a part
+        own = np.flatnonzero(part == p)
+        docs[own] = np.sort(docs[own])
+    left = np.concatenate([np.arange(n, 0, -1) for n in sizes])
+    code = rng.integers(0, 3, len(part)).astype(np.uint64)
+    length, source = sd.longest(part, code, left, docs)
+    for i in range(len(part)):
+        best, first = 0, -1
+        for j in range(i):
+            if part[j] == part[i] and docs[j] < docs[i]:
+                n = 0
+                while n < min(left[i], left[j]) and code[i + n] == code[j + n]:
+                    n += 1
+                if n > best:
+                    best, first = n, j
+        assert length[i] == best and (best == 0 or source[i] == first)
+
+
+def test_segments_of_a_long_text_do_not_depend_on_chunks_or_neighbours(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    long = " ".join(rng.choices([f"v{i}" for i in range(50)], k=5000))
+
+    def segments(texts):
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text_id": [1] * len(texts), "text": texts})
+        out = {}
+        for ids, _, row, at, anchor, cuts, phrase in sd._anchored(iter([batch]), 13):
+            for r, a, h, x, y in zip(row, at, anchor, cuts, cuts[1:]):
+                assert (ids[r], a) not in out
+                out[(texts[ids[r]], a)] = (h, phrase[x:y].tolist())
+        return out
+
+    short = " ".join(f"x{i}" for i in range(40))
+    whole = segments([short, long])
+    monkeypatch.setattr(sd, "CHUNK", 128)
+    chunks = segments([long, short])
+    assert sorted(p for _, ps in whole.values() for p in ps) == sorted(p for _, ps in chunks.values() for p in ps)
+    assert len(whole) > 700 and segments([short, long, None, ""]) == chunks
+
+
 def test_phrase_hashes_keep_all_their_bits():
     import pyarrow as pa
 
