@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import DataFrame
@@ -12,7 +16,8 @@ from pyspark.sql import types as T
 
 from openstat.operators.blocks import distances, per_block_pair
 from openstat.operators.sampling import sample_rows
-from openstat.session import cut_lineage
+from openstat.operators.space import distinct_points, in_cells, matrix, meet
+from openstat.session import cut_lineage, store
 
 
 #: squared movement of all centers of a model below which it has settled
@@ -210,66 +215,122 @@ def choose_k(points: DataFrame, columns: list[str], n_rows: int, restarts: int =
     ).orderBy(F.desc("silhouette"), "k")
 
 
+def _count_near(need: int):
+    """How many points lie within a visitor's radius, counted no further than `need`."""
+
+    def run(leaves, points, x, visitors, radius) -> Iterator[pa.RecordBatch]:
+        weight, near = points["n"].to_numpy(), np.zeros(len(x), np.int64)
+        for visitor, point, _ in leaves.pairs(x, radius):
+            near += np.bincount(visitor, weights=weight[point], minlength=len(x)).astype(np.int64)
+            radius[near >= need] = -1
+        row_id = visitors.column(visitors.schema.get_field_index("row_id"))
+        yield pa.RecordBatch.from_arrays([row_id, pa.array(near)], ["row_id", "near"])
+
+    return run
+
+
+class _Nodes:
+    """Points by the name of their small cell, with the box of each."""
+
+    def __init__(self, names: pa.Array, x: np.ndarray) -> None:
+        coded = names.dictionary_encode()
+        self.names, code = np.asarray(coded.dictionary.to_pylist(), object), coded.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        starts = np.searchsorted(code[order], np.arange(len(self.names)))
+        self.x = np.split(x[order], starts[1:])
+        self.low, self.high = np.minimum.reduceat(x[order], starts), np.maximum.reduceat(x[order], starts)
+
+
+def _touching(eps: float):
+    """Pairs of small cells, the smaller name first, that hold points within eps of each other.
+
+    Boxes decide most pairs; the points of a pair are compared only where they do not,
+    and only until one is near enough.
+    """
+
+    def near(a: np.ndarray, b: np.ndarray) -> bool:
+        step = max(1, (1 << 16) // len(b))
+        return any((distances(a[i : i + step], b) <= eps).any() for i in range(0, len(a), step))
+
+    def run(leaves, points, x, visitors, radius) -> Iterator[pa.RecordBatch]:
+        here = _Nodes(points["node"].combine_chunks(), matrix(points["x"].combine_chunks(), x.shape[1]))
+        there = _Nodes(visitors.column(visitors.schema.get_field_index("node")), x)
+        first, second = [], []
+        step = max(1, (1 << 20) // len(here.names))
+        for at in range(0, len(there.names), step):
+            gap, far = np.zeros((2, len(there.names[at : at + step]), len(here.names)))
+            for d in range(x.shape[1]):
+                low, high = there.low[at : at + step, d][:, None], there.high[at : at + step, d][:, None]
+                gap += np.square(np.maximum(np.maximum(here.low[:, d] - high, low - here.high[:, d]), 0))
+                far += np.square(np.maximum(here.high[:, d] - low, high - here.low[:, d]))
+            maybe = (gap * (1 - 1e-12) <= eps * eps) & (there.names[at : at + step][:, None] < here.names)
+            sure = far * (1 + 1e-12) <= eps * eps
+            for i, j in zip(*np.nonzero(maybe)):
+                if sure[i, j] or near(there.x[at + i], here.x[j]):
+                    first.append(there.names[at + i])
+                    second.append(here.names[j])
+        yield pa.RecordBatch.from_arrays([pa.array(first, pa.string()), pa.array(second, pa.string())], ["a", "b"])
+
+    return run
+
+
+def _first_label(leaves, points, x, visitors, radius) -> Iterator[pa.RecordBatch]:
+    """The smallest label among the points within a visitor's radius."""
+    own, label = points["label"].to_numpy(), np.full(len(x), np.iinfo(np.int64).max)
+    for visitor, point, _ in leaves.pairs(x, radius):
+        np.minimum.at(label, visitor, own[point])
+    hit = label < np.iinfo(np.int64).max
+    row_id = visitors.column(visitors.schema.get_field_index("row_id"))
+    yield pa.RecordBatch.from_arrays([row_id.filter(pa.array(hit)), pa.array(label[hit])], ["row_id", "label"])
+
+
 def density_clusters(points: DataFrame, columns: list[str], n_rows: int, eps: float = 1.2,
                      min_samples: int | None = None) -> DataFrame:
     """(row_id, core, label): label is the smallest core row_id of the cluster, null for noise.
 
-    Core points in one grid cell of diagonal eps are always connected, so the
-    graph to solve has one node per occupied cell and one edge per touching cell
-    pair, however many points a cell holds.
+    Points at one place count with their number. Core points in one small cell of diagonal
+    eps are always connected, and a small cell with enough points has core points only, so
+    crowded cells are decided without a distance; the graph to solve has one
+    node per occupied small cell and one edge per touching pair.
     """
     need = max(5, n_rows // 100) if min_samples is None else min_samples
-    side = eps / float(np.sqrt(len(columns)))
-    x = _array(columns)
-    cell = F.array_join(F.transform(x, lambda v: F.floor(v / side).cast("string")), ":")
-    packed = points.select("row_id", x.alias("x"), cell.alias("cell"))
-
-    def count_near(pa: pd.DataFrame, pb: pd.DataFrame) -> pd.DataFrame:
-        near = (distances(_matrix(pa), _matrix(pb)) <= eps).sum(axis=1)
-        return pd.DataFrame({"row_id": pa["row_id"].to_numpy(), "near": near.astype("int64")})
-
-    count_near.empty = pd.DataFrame({"row_id": pd.Series(dtype="int64"), "near": pd.Series(dtype="int64")})
-    near = per_block_pair(packed, packed, n_rows, count_near, "row_id long, near long")
-    counted = near.groupBy("row_id").agg(F.sum("near").alias("near"))
-    marked = cut_lineage(packed.join(counted, "row_id").withColumn("core", F.col("near") >= need))
-    core = marked.where("core")
-
-    def touching(pa: pd.DataFrame, pb: pd.DataFrame) -> pd.DataFrame:
-        i, j = np.nonzero(distances(_matrix(pa), _matrix(pb)) <= eps)
-        ca, na = pd.factorize(pa["cell"])
-        cb, nb = pd.factorize(pb["cell"])
-        pairs = np.unique(ca[i].astype("int64") * len(nb) + cb[j])
-        return pd.DataFrame({"a": np.asarray(na, dtype=object)[pairs // len(nb)], "b": np.asarray(nb, dtype=object)[pairs % len(nb)]})
-
-    touching.empty = pd.DataFrame({"a": pd.Series(dtype="object"), "b": pd.Series(dtype="object")})
-    edges = cut_lineage(per_block_pair(core, core, n_rows, touching, "a string, b string").distinct())
-    start = core.groupBy(F.col("cell").alias("node")).agg(F.min("row_id").alias("label"))
-    labels = connect(edges, start)
-    core_labels = core.join(labels.withColumnRenamed("node", "cell"), "cell").select("row_id", "x", "label")
-
-    def first_cluster(pa: pd.DataFrame, pb: pd.DataFrame) -> pd.DataFrame:
-        close = distances(_matrix(pa), _matrix(pb)) <= eps
-        label = np.where(close, pb["label"].to_numpy()[None, :], np.iinfo("int64").max).min(axis=1)
-        hit = close.any(axis=1)
-        return pd.DataFrame({"row_id": pa["row_id"].to_numpy()[hit], "label": label[hit]})
-
-    first_cluster.empty = pd.DataFrame({"row_id": pd.Series(dtype="int64"), "label": pd.Series(dtype="int64")})
-    border = (
-        per_block_pair(marked.where("not core").select("row_id", "x"), core_labels, n_rows, first_cluster, "row_id long, label long")
-        .groupBy("row_id").agg(F.min("label").alias("label"))
+    side = eps / float(np.sqrt(len(columns))) * (1 - 1e-9)
+    rows = points.select("row_id", _array(columns).alias("x"))
+    node = F.array_join(F.transform("x", lambda v: F.floor(v / side).cast("string")), ":")
+    space = in_cells(distinct_points(rows).select("row_id", "x", "n", node.alias("node")), len(columns))
+    radius = F.lit(float(eps)).alias("r")
+    full = space.points.groupBy("node").agg((F.sum("n") >= need).alias("full"))
+    judged = store(space.points.join(full, "node"))
+    open_ = judged.where("not full").select("row_id", "x", "cell", radius)
+    near = meet(open_, space, _count_near(need), "row_id long, near long").groupBy("row_id").agg(F.sum("near").alias("near"))
+    marked = store(
+        judged.join(near, "row_id", "left").withColumn("core", F.col("full") | (F.coalesce("near", F.lit(0)) >= need))
+        .select("row_id", "x", "node", "cell", "core")
     )
-    found = core_labels.select("row_id", "label").unionByName(border)
-    return marked.select("row_id", "core").join(found, "row_id", "left")
-
-
-def connect(edges: DataFrame, start: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Smallest start label reachable from each node: neighbor minimum, then a jump along labels.
+    core = marked.where("core").drop("core")
+    one_way = meet(core.select("row_id", "x", "cell", "node", radius), replace(space, points=core), _touching(eps), "a string, b string")
+    pairs = store(one_way.distinct())
+    start = core.groupBy("node").agg(F.min("row_id").alias("label"))
+    itself = start.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    labels = connect(pairs.union(pairs.select("b", "a")).union(itself), start)
+    labeled = store(core.join(labels, "node").select("row_id", "x", "cell", "label"))
+    border = meet(
+        marked.where("not core").select("row_id", "x", "cell", radius), replace(space, points=labeled), _first_label,
+        "row_id long, label long",
+    ).groupBy("row_id").agg(F.min("label").alias("label"))
+    found = labeled.select("row_id", "label").unionByName(border)
+    places = marked.select("row_id", "x", "core").join(found, "row_id", "left").select("x", "core", "label")
+    return rows.join(places, "x").select("row_id", "core", "label")
+
+
+def connect(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Smallest start label reachable from each node: neighbor minimum, then a jump along labels, to the fixed point.
 
     Edges run both ways and include self edges; each round is written to the
     shared folder, so a lost executor never replays earlier rounds.
     """
     labels = cut_lineage(start)
-    for _ in range(max_rounds):
+    while True:
         heard = (
             edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
             .agg(F.min("label").alias("heard"))
@@ -284,9 +345,8 @@ def connect(edges: DataFrame, start: DataFrame, max_rounds: int = 100) -> DataFr
             )
         )
         labels = moved.select("node", "label")
-        if moved.where("label < old").limit(1).count() == 0:
-            break
-    return labels
+        if moved.where("label < old").isEmpty():
+            return labels
 
 
 def explained_variance(df: DataFrame, columns: list[str]) -> list[float]:

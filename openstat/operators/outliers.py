@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from openstat.operators.blocks import distances, per_block_pair
 from openstat.operators.clusters import _array, _matrix
 from openstat.operators.ranks import quantiles
 from openstat.operators.sampling import sample_rows
-from openstat.session import cut_lineage
+from openstat.operators.space import distinct_points, in_cells, meet
+from openstat.session import store
 
 NODE = "tree int, node int, feature int, threshold double, low int, high int, size int, depth int"
 
@@ -116,39 +118,75 @@ def neighbor_count(n_rows: int) -> int:
     return min(35, max(5, n_rows // 20))
 
 
-def nearest_neighbors(points: DataFrame, columns: list[str], n_rows: int, k: int) -> DataFrame:
-    """(row_id, other, d): exactly k nearest others. Each block pair returns its own k best."""
-    packed = points.select("row_id", _array(columns).alias("x"))
-
-    def best(pa: pd.DataFrame, pb: pd.DataFrame) -> pd.DataFrame:
-        d = distances(_matrix(pa), _matrix(pb))
-        ia, ib = pa["row_id"].to_numpy(), pb["row_id"].to_numpy()
-        d[ia[:, None] == ib[None, :]] = np.inf
-        order = np.lexsort((np.broadcast_to(ib, d.shape), d))[:, :k]
-        rows = np.repeat(np.arange(len(ia)), order.shape[1])
-        flat = order.ravel()
-        out = pd.DataFrame({"row_id": ia[rows], "other": ib[flat], "d": d[rows, flat]})
-        return out[np.isfinite(out["d"])]
-
-    best.empty = pd.DataFrame(
-        {"row_id": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64")}
+def _nearest(k: int):
+    """The k nearest points of each visitor within its radius, equal distances by id."""
+
+    def run(leaves, points, x, visitors, radius) -> Iterator[pa.RecordBatch]:
+        ids, places = points["row_id"].to_numpy(), points["loc"].to_numpy()
+        who = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for visitor, point, d in leaves.pairs(x, radius):
+            touched = np.zeros(len(x), bool)
+            touched[visitor] = True
+            old = touched[who[0]]
+            i, j, e = (np.r_[a[old], b] for a, b in zip(who, (visitor, point, d)))
+            order = np.lexsort((ids[j], e, i))
+            i, j, e = i[order], j[order], e[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            last = rank == k - 1
+            radius[i[last]] = e[last]
+            best = rank < k
+            who = tuple(np.r_[a[~old], b[best]] for a, b in zip(who, (i, j, e)))
+        row_id = visitors.column(visitors.schema.get_field_index("row_id")).to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(row_id[who[0]]), pa.array(ids[who[1]]), pa.array(places[who[1]]), pa.array(who[2])],
+            ["row_id", "other", "place", "d"],
+        )
+
+    return run
+
+
+def nearest_places(points: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """(row_id, other, place, d): for each distinct place its k nearest points, itself included.
+
+    A place goes by the smallest id there. The k-th distance within a place's own cell
+    bounds its search elsewhere, so two rounds are exact however the points lie.
+    """
+    kept = distinct_points(points.select("row_id", _array(columns).alias("x")), k)
+    space = in_cells(kept.select("row_id", "x", "loc"), len(columns))
+    askers = space.points.where("row_id = loc")
+    schema = "row_id long, other long, place long, d double"
+    home = store(meet(askers.select("row_id", "x", "cell", F.lit(float("inf")).alias("r")), space, _nearest(k), schema, elsewhere=False))
+    reach = home.groupBy("row_id").agg(
+        F.when(F.count(F.lit(1)) == k, F.max("d")).otherwise(float("inf")).alias("r")
     )
-    partial = per_block_pair(packed, packed, n_rows, best, "row_id long, other long, d double")
+    travellers = askers.join(reach, "row_id").select("row_id", "x", "cell", "r", F.lit(True).alias("home"))
+    found = home.unionByName(meet(travellers, space, _nearest(k), schema))
     nearest = W.partitionBy("row_id").orderBy("d", "other")
-    return partial.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k).drop("r")
+    return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).drop("rank")
 
 
 def local_outlier_factor(points: DataFrame, columns: list[str], n_rows: int, k: int | None = None) -> DataFrame:
-    """(row_id, score): negative local outlier factor, lower is more unusual."""
+    """(row_id, score): negative local outlier factor over exactly k neighbours, lower is more unusual.
+
+    Points at one place have one score: each has the k + 1 nearest points of the place but for
+    itself, and what it leaves out is worth the same as any other point of the place.
+    """
     k = k or neighbor_count(n_rows)
-    near = cut_lineage(nearest_neighbors(points, columns, n_rows, k))  # k rows per point, read three times
-    reach = near.groupBy("row_id").agg(F.max("d").alias("k_distance"))
-    density = (
-        near.join(reach.withColumnRenamed("row_id", "other"), "other")
-        .groupBy("row_id").agg((1.0 / (F.avg(F.greatest("d", "k_distance")) + 1e-10)).alias("density"))
+    near = nearest_places(points, columns, k + 1)
+    own = W.partitionBy("row_id")
+    first = W.partitionBy("row_id").orderBy((F.col("place") != F.col("row_id")).cast("int"), "d", "other")
+    near = store(near.withColumn("reach", F.max("d").over(own)).withColumn("self", F.row_number().over(first) == 1))
+    reach = near.where("self").select(F.col("row_id").alias("place"), F.col("reach").alias("k_distance"))
+    others = near.where("not self")
+    density = store(
+        others.join(reach, "place").groupBy("row_id")
+        .agg((1.0 / (F.avg(F.greatest("d", "k_distance")) + 1e-10)).alias("density"))
     )
-    others = density.select(F.col("row_id").alias("other"), F.col("density").alias("other_density"))
-    return (
-        near.join(others, "other").groupBy("row_id").agg(F.avg("other_density").alias("m"))
-        .join(density, "row_id").select("row_id", (-F.col("m") / F.col("density")).alias("score"))
+    other_density = density.select(F.col("row_id").alias("place"), F.col("density").alias("other_density"))
+    scores = (
+        others.join(other_density, "place").groupBy("row_id").agg(F.avg("other_density").alias("m"))
+        .join(density, "row_id").select(F.col("row_id").alias("loc"), (-F.col("m") / F.col("density")).alias("score"))
     )
+    rows = points.select("row_id", _array(columns).alias("x"))
+    places = rows.join(scores, rows["row_id"] == scores["loc"]).select("x", "score")
+    return rows.join(places, "x").select("row_id", "score")
