@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,62 +20,103 @@ from openstat.operators.scoring import as_findings, empty_findings, evidence_sco
 from openstat.session import cut_lineage
 
 
-def with_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds r0, r1, ... the average rank of each (null-free) column.
+def _overlaps(numeric: DataFrame) -> np.ndarray:
+    """Rows in which both of two columns are filled, for all pairs, by one pass."""
+    k = len(numeric.columns)
 
-    All columns are ranked together. The rank table has one row per distinct
-    value and is joined back on the value: Spark broadcasts a column's part when
-    it is small, and splits a hot value's rows across tasks (adaptive skew join)
-    when it is not.
-    """
-    cells = F.array(
-        *[F.struct(F.lit(i).alias("at"), F.col(f"`{c}`").alias("value")) for i, c in enumerate(columns)]
-    )
-    counts = df.select(F.inline(cells)).groupBy("at", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranks = cut_lineage(average_ranks(counts, ["at"]).select("at", "value", "rank"))
-    out = df
-    for i, c in enumerate(columns):
-        table = ranks.where(F.col("at") == i).select(F.col("value").alias(f"__v{i}"), F.col("rank").alias(f"r{i}"))
-        out = out.join(table, F.col(f"`{c}`") == F.col(f"__v{i}")).drop(f"__v{i}")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for batch in batches:
+            filled = np.stack([np.asarray(c.is_valid()) for c in batch.columns], axis=1).astype(float)
+            total += filled.T @ filled
+        i, j = np.indices((k, k)).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel().astype(np.int64))], ["i", "j", "n"])
+
+    out = np.zeros((k, k), np.int64)
+    sums = numeric.mapInArrow(count, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    for r in sums.collect():  # a number per pair of columns
+        out[r["i"], r["j"]] = r["n"]
     return out
 
 
-def _pair_rows(ranked: DataFrame, columns: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
-    """One aggregate yields the correlation of every pair."""
-    at = {c: f"r{columns.index(c)}" for c in columns}
-    one = ranked.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.corr(at[a], at[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)],
-    )
-    rows = F.array(
-        *[
-            F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"c{i}").alias("r"))
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    return one.select(F.inline(rows), "n")
+def _domains(both: np.ndarray) -> dict[tuple[int, int], int]:
+    """For (column, other column) the number of the set of rows over which the column is ranked.
+
+    Columns with nulls in the same rows restrict a column alike, and a column without
+    nulls where the other is filled is not restricted at all.
+    """
+    own = np.diag(both)
+    alike = (both == own[:, None]) & (both == own[None, :])
+    first = alike.argmax(axis=1)
+    found: dict[tuple[int, int], int] = {}
+    numbers: dict[tuple[int, int], int] = {}
+    for a in range(len(own)):
+        for b in range(len(own)):
+            rows = (a, a) if both[a, b] == own[a] else (a, int(first[b]))
+            found[a, b] = numbers.setdefault(rows, len(numbers))
+    return found
+
+
+def _cross_products(width: int):
+    """Sums of products of the centered ranks of all pairs of domains, over rows sorted by row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        held = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0)]
+        for batch in batches:
+            row, domain, rank = (np.r_[h, c.to_numpy(zero_copy_only=False)] for h, c in zip(held, batch.columns))
+            if not len(row):
+                continue
+            cut = int(np.searchsorted(row, row[-1]))  # the last row may go on
+            held = [row[cut:], domain[cut:], rank[cut:]]
+            at = np.unique(row[:cut], return_inverse=True)[1]
+            z = np.zeros((int(at.max(initial=-1)) + 1, width))
+            z[at, domain[:cut]] = rank[:cut]
+            total += z.T @ z
+        z = np.zeros(width)
+        z[held[1]] = held[2]
+        total += np.outer(z, z)
+        i, j = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], ["i", "j", "s"])
+
+    return run
 
 
 def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """(col_a, col_b, r, n) for all pairs, each over the rows where both are non-null.
 
-    Columns without nulls share one set of ranks and one aggregate. A pair with a
-    nullable column is ranked over its own rows. One count decides which is which.
+    Whatever the number of columns, rows move twice: all values of all columns, in one long form
+    (row, domain, value), to the ranks of their domain, and the ranks back to their rows,
+    where one matrix product sums up every pair. A column has one domain for each
+    pattern of nulls that it meets in another column. Equal values are one row before they are ranked.
     """
-    numeric = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    filled = numeric.agg(
-        F.count(F.lit(1)).alias("__n"), *[F.count(F.col(f"`{c}`")).alias(c) for c in columns]
-    ).first()
-    whole = [c for c in columns if filled[c] == filled["__n"]]
-    parts = []
-    shared = list(combinations(whole, 2))
-    if shared:
-        parts.append(_pair_rows(with_ranks(numeric.select(*[f"`{c}`" for c in whole]), whole), whole, shared))
-    for a, b in combinations(columns, 2):
-        if (a, b) not in shared:
-            rows = numeric.select(f"`{a}`", f"`{b}`").dropna()
-            parts.append(_pair_rows(with_ranks(rows, [a, b]), [a, b], [(a, b)]))
-    return reduce(DataFrame.unionByName, parts)
+    numeric = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    both = _overlaps(numeric)
+    domains = _domains(both)
+    pairs = list(combinations(range(len(columns)), 2))
+    wanted = {domains[p]: p for a, b in pairs for p in ((a, b), (b, a))}
+    number = {d: i for i, d in enumerate(wanted)}
+    means = F.lit([(float(both[a, b]) + 1) / 2 for a, b in wanted.values()]).cast("array<double>")
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("domain"), F.when(F.col(f"x{b}").isNotNull(), F.col(f"x{a}")).alias("value"))
+        for i, (a, b) in enumerate(wanted.values())
+    ])
+    numbered = numeric.withColumn("row", F.monotonically_increasing_id())  # before the cells are spread out
+    listed = numbered.select("row", F.inline(cells)).where("value is not null")
+    counts = listed.groupBy("domain", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranks = average_ranks(counts, ["domain"]).select("domain", "value", "rank")
+    centered = F.col("rank") - F.element_at(means, F.col("domain") + 1)
+    ranked = listed.join(ranks, ["domain", "value"]).select("row", "domain", centered.alias("rank"))
+    products = ranked.repartition("row").sortWithinPartitions("row").mapInArrow(_cross_products(len(number)), "i long, j long, s double")
+    sums = products.groupBy("i", "j").agg(F.sum("s").alias("s")).collect()  # a number per pair of domains
+    of = {(r["i"], r["j"]): r["s"] for r in sums}
+    found = []
+    for a, b in pairs:
+        i, j = number[domains[a, b]], number[domains[b, a]]
+        spread = of.get((i, i), 0.0) * of.get((j, j), 0.0)
+        r = of.get((i, j), 0.0) / math.sqrt(spread) if spread > 0 else None
+        found.append((columns[a], columns[b], r, int(both[a, b])))
+    return df.sparkSession.createDataFrame(found, "col_a string, col_b string, r double, n long")
 
 
 def with_p(pairs: DataFrame) -> DataFrame:
@@ -85,8 +130,7 @@ def spearman_findings(
     df: DataFrame, columns: list[str], resource_id: str, title: str,
     labels: dict[str, str] | None = None, primary: bool = False,
 ) -> DataFrame:
-    """Pairs with n >= 8, |r| >= .3 and p < .05 as findings."""
-    columns = columns[:12]
+    """Pairs with n >= 8, |r| >= .3 and p < .05 as findings, of all given columns."""
     if len(columns) < 2:
         return empty_findings(df.sparkSession)
     tested = with_p(spearman_pairs(df, columns).where((F.col("n") >= 8) & ~F.isnan("r") & F.col("r").isNotNull()))

@@ -16,7 +16,7 @@ from openstat.schemas import FINDING
 
 def model_points(df: DataFrame, columns: list[str], cap: int | None = None):
     """Standardized rows (of a sample, if capped) with row ids, and their number."""
-    rows = clusters.with_row_id(clusters.standardize(model_sample(df, columns, cap), columns[:8]))
+    rows = clusters.with_row_id(clusters.standardize(model_sample(df, columns, cap), columns))
     return rows, rows.count()
 
 
@@ -92,13 +92,12 @@ def local_outlier_finding(points: DataFrame, columns: list[str], n: int) -> dict
 
 
 def model_findings(df: DataFrame, profile: TableProfile, cap: int | None = None,
-                   restarts: int = 10) -> DataFrame:
+                   restarts: int = 10, columns: int = 8) -> DataFrame:
     """K-means, density clusters, components, isolation forest, local outliers.
 
-    All rows take part unless the caller sets a cap; density clusters and local
-    outliers take time with the square of the rows.
+    All rows take part unless the caller sets a cap, and the first `columns` numeric columns.
     """
-    spark, columns = df.sparkSession, profile.of_kind("numeric")[:8]
+    spark, columns = df.sparkSession, profile.of_kind("numeric")[:columns]
     found: list[dict | None] = []
     if len(columns) >= 2 and profile.n_rows >= 100:
         points, n = model_points(df, columns, cap)

@@ -81,10 +81,9 @@ def analysis_sample(
 
 def model_sample(df: DataFrame, columns: list[str], n: int | None = None,
                  key: list[str] | None = None) -> DataFrame:
-    """Up to eight numeric columns of all or n sampled rows, rows with a null dropped after."""
-    used = columns[:8]
-    keys = [k for k in (key or []) if k not in used]
+    """Numeric columns of all or n sampled rows, rows with a null dropped after."""
+    keys = [k for k in (key or []) if k not in columns]
     chosen = df if n is None else sample_rows(df, n, key=key)
     return chosen.select(
-        *keys, *[F.col(c).try_cast("double").alias(c) for c in used]
-    ).dropna(subset=used)
+        *keys, *[F.col(c).try_cast("double").alias(c) for c in columns]
+    ).dropna(subset=columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -43,6 +43,7 @@ class PlanLimits:
     """How many columns of a kind enter the plans of a table, and how many plans it gets."""
 
     correlated: int = 12
+    modeled: int = 8
     factors: int = 6
     grouped: int = 8
     times: int = 2
@@ -50,6 +51,20 @@ class PlanLimits:
     plans: int = rules.MAX_PLANS
 
 
+def left_out(profile: TableProfile, limits: PlanLimits, joined: bool = False) -> list[str]:
+    """What the limits keep from a table's tests and models, in words."""
+    n = {kind: len(profile.of_kind(kind)) for kind in ("numeric", "categorical", "datetime")}
+    uses = [
+        ("numeric", limits.correlated, "correlated"), ("numeric", limits.modeled, "modeled"),
+        ("numeric", limits.grouped, "compared by group"), ("numeric", limits.trended, "tested for a trend"),
+        ("categorical", limits.factors, "used as groups"), ("datetime", limits.times, "used as times"),
+    ]
+    notes = [f"{profile.title}: {limit} of {n[kind]} {kind} columns are {use}" for kind, limit, use in uses if n[kind] > limit]
+    everything = replace(limits, plans=1 << 30)
+    planned = plan_rows(SparkSession.active(), profile, joined, everything).count()
+    return notes + ([f"{profile.title}: {limits.plans} of {planned} planned tests are run"] if planned > limits.plans else [])
+
+
 def plan_rows(spark: SparkSession, profile: TableProfile, joined: bool = False,
               limits: PlanLimits = PlanLimits()) -> DataFrame:
     """(position, kind, columns, tier, primary): the planned tests of one table, in run order.

@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from openstat import rules
 from openstat.operators.ranks import rows_before
 
 
-def assemble_chunks(rows: DataFrame, chunks: DataFrame, row_target: int = rules.ROW_CAP) -> DataFrame:
-    """Rows of the contiguous good prefix of chunks, trimmed to the target.
+def assemble_chunks(rows: DataFrame, chunks: DataFrame, row_target: int | None = None) -> DataFrame:
+    """Rows of the contiguous good prefix of chunks, trimmed to the target if one is given.
 
     `chunks` has chunk, ok (one row per requested chunk); `rows` has chunk, pos.
     A failed, missing or empty chunk ends the prefix; nothing remains when the
@@ -23,10 +22,10 @@ def assemble_chunks(rows: DataFrame, chunks: DataFrame, row_target: int = rules.
     first_bad = state.agg(F.min(F.when(bad, F.col("chunk")))).scalar()
     last = state.agg(F.max("chunk")).scalar()
     good = rows.where(F.col("chunk") < F.coalesce(first_bad, last + 1))
-    return good.orderBy("chunk", "pos").limit(row_target)
+    return good if row_target is None else good.orderBy("chunk", "pos").limit(row_target)
 
 
-def assemble_pages(rows: DataFrame, pages: DataFrame, cap: int = rules.ROW_CAP) -> DataFrame:
+def assemble_pages(rows: DataFrame, pages: DataFrame, cap: int | None = None) -> DataFrame:
     """Rows of each source's pages in order, until an empty or failed page, the page count or the total.
 
     `pages` has source, page, ok, pages, total (one row per page, page 1 first);
@@ -38,7 +37,8 @@ def assemble_pages(rows: DataFrame, pages: DataFrame, cap: int = rules.ROW_CAP)
     upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     earlier = order.rowsBetween(W.unboundedPreceding, -1)
     bad = ~F.coalesce(F.col("ok"), F.lit(False)) | (F.coalesce("n", F.lit(0)) == 0) | (F.col("page") != F.col("expected"))
-    limit = F.least(F.lit(cap), F.coalesce("total", F.lit(cap)))
+    most = F.lit((1 << 63) - 1 if cap is None else cap)
+    limit = F.least(most, F.coalesce("total", most))
     state = (
         pages.join(sizes, ["source", "page"], "left")
         .withColumn("expected", F.row_number().over(order))
@@ -57,7 +57,7 @@ def row_bytes(columns: list[str]) -> Column:
     return (F.octet_length(F.to_json(F.struct(*columns))) + 1).cast("bigint")
 
 
-def trim_to_bytes(df: DataFrame, order: str, byte_cap: int = rules.BYTE_CAP) -> DataFrame:
+def trim_to_bytes(df: DataFrame, order: str, byte_cap: int) -> DataFrame:
     """The longest prefix in `order` whose JSON list fits the cap.
 
     The running size is a distributed prefix sum over (order, bytes); `order` must

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from openstat.functions.pvalues import chi2_upper, t_two_sided
 from openstat.operators import association, correlation, groups, ranks, trend
+from openstat.operators.profile import TableProfile
+from openstat.plans.selection import PlanLimits, left_out, plan_tests
 
 
 @pytest.mark.parametrize(
@@ -64,6 +66,42 @@ def test_spearman_with_nulls_and_a_hot_value(spark):
     assert got["x", "z"][1] == int(keep.sum())
 
 
+def test_spearman_of_many_columns_with_nulls_everywhere(spark):
+    """Every pair over its own rows, in two moves of the rows whatever the number of columns."""
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(300, 14)) + rng.normal(size=(300, 1)), 1)
+    x[:, 13] = 4.0
+    empty = rng.random((300, 14)) < 0.15
+    empty[:, 3] = False
+    empty[:, 5] = empty[:, 6]
+    names = [f"c {i}" for i in range(14)]
+    data = [tuple(None if e else float(v) for v, e in zip(r, m)) for r, m in zip(x, empty)]
+    df = spark.createDataFrame(data, ", ".join(f"`{n}` double" for n in names)).repartition(3)
+    pairs = correlation.spearman_pairs(df, names)
+    got = {(r.col_a, r.col_b): (r.r, r.n) for r in pairs.collect()}
+
+    def mean_ranks(v):
+        order = np.sort(v)
+        return (np.searchsorted(order, v, "left") + np.searchsorted(order, v, "right") + 1) / 2
+
+    assert len(got) == 91
+    for i in range(14):
+        for j in range(i + 1, 14):
+            keep = ~empty[:, i] & ~empty[:, j]
+            r, n = got[names[i], names[j]]
+            assert n == keep.sum()
+            assert r is None if j == 13 else r == pytest.approx(np.corrcoef(mean_ranks(x[keep, i]), mean_ranks(x[keep, j]))[0, 1])
+
+
+def test_limits_are_told(spark):
+    profile = TableProfile("T", "t", 300, [{"name": f"m{i}", "kind": "numeric"} for i in range(14)] + [{"name": "g", "kind": "categorical"}])
+    assert [len(p.columns) for p in plan_tests(profile).plans if p.kind == "correlation"] == [12]
+    wide = PlanLimits(correlated=14, modeled=14, grouped=14, trended=14, plans=99)
+    assert [len(p.columns) for p in plan_tests(profile, limits=wide).plans if p.kind == "correlation"] == [14]
+    notes = left_out(profile, PlanLimits())
+    assert "T: 12 of 14 numeric columns are correlated" in notes and left_out(profile, wide) == []
+
+
 def test_two_groups_use_welch_and_small_groups_are_left_out(spark):
     a, b = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0], [11.0, 12.0, 14.0, 17.0, 18.0, 22.0]
     rows = [("a", v) for v in a] + [("b", v) for v in b] + [("tiny", 900.0), ("tiny", 901.0)]
