@@ -11,7 +11,8 @@ The corpus statistics cover all documents; the table has a fixed size. Only the
 network is fitted on a bounded sample: at most `sample` labelled rows, those of the
 smallest hashed ids. Words keep their case; runs of other characters are words too.
 Null or empty text pools to zeros and is
-scored as that. Without labels of both
+scored as that. An id with labels of both kinds teaches nothing; one that repeats with
+the same label is one label. Without labels of both
 kinds the score is the share of label 1, or 0.5 without any label.
 """
 
@@ -32,6 +33,8 @@ TOKENS = np.where(
     NOT_SPACE == 0, 0, [1 if b >= 0x80 or chr(b).isalnum() else 2 for b in range(256)]
 ).astype(np.uint8)
 ROWS, DIM, SPARSE, NEAR = 1 << 14, 32, 4, 2
+#: Words that are added up at a time, so that a very long text needs little more than its hashes.
+CHUNK = 1 << 17
 #: Most labelled rows that the network is fitted on.
 SAMPLE = 20_000
 
@@ -53,17 +56,25 @@ def _coded(batches: Iterator[pa.RecordBatch], name: str):
         yield batch, sizes, hashes
 
 
+def _chunks(sizes: np.ndarray, hashes: np.ndarray, beyond: int):
+    """Words in chunks, each with up to `beyond` of the words after it: number, documents and hashes."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    for a in range(0, len(hashes), CHUNK):
+        n = min(CHUNK, len(hashes) - a)
+        yield n, doc[a : a + n + beyond], hashes[a : a + n + beyond]
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = np.zeros(ROWS * DIM)
     for _, sizes, hashes in _coded(batches, "text"):
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        row, entries = _places(hashes)
-        for step in range(1, NEAR + 1):
-            same = doc[step:] == doc[:-step]
-            for a, b in ((slice(None, -step), slice(step, None)), (slice(step, None), slice(None, -step))):
-                base = row[a][same] * DIM
-                for place, sign in entries:
-                    table += np.bincount(base + place[b][same], sign[b][same], ROWS * DIM)
+        for n, doc, part in _chunks(sizes, hashes, NEAR):
+            row, entries = _places(part)
+            for step in range(1, NEAR + 1):
+                left = np.flatnonzero(doc[step:][:n] == doc[:-step][:n])
+                for to, of in ((left, left + step), (left + step, left)):
+                    base = row[to] * DIM
+                    for place, sign in entries:
+                        table += np.bincount(base + place[of], sign[of], ROWS * DIM)
     table = table.astype(np.int64).reshape(ROWS, DIM)
     used = np.flatnonzero(table.any(1))
     yield pa.RecordBatch.from_arrays(
@@ -88,19 +99,18 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
 def pooled(sizes: np.ndarray, hashes: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Mean context vector and mean index vector of each document, the mean product of the
     index vectors of neighbours, and the logarithm of the length; zeros without words."""
-    row, entries = _places(hashes)
     out = np.zeros((len(sizes), 3 * DIM + 1))
-    has = np.flatnonzero(sizes)
-    if len(has):
-        starts = (np.cumsum(sizes) - sizes)[has]
-        out[has, :DIM] = np.add.reduceat(vectors[row], starts, axis=0, dtype=np.float64)
+    for n, doc, part in _chunks(sizes, hashes, 1):
+        row, entries = _places(part)
+        starts = np.flatnonzero(np.r_[True, doc[1:n] != doc[: n - 1]])
         own = np.zeros((len(row), DIM), np.float32)
         for place, sign in entries:
             own[np.arange(len(row)), place] += sign
-        out[has, DIM : 2 * DIM] = np.add.reduceat(own, starts, axis=0, dtype=np.float64)
-        own[:-1] *= own[1:]
-        own[(np.cumsum(sizes) - 1)[has]] = 0
-        out[has, 2 * DIM : -1] = np.add.reduceat(own, starts, axis=0, dtype=np.float64)
+        both = np.zeros((n, DIM), np.float32)
+        pair = np.flatnonzero(doc[1:] == doc[:-1])
+        both[pair] = own[pair] * own[pair + 1]
+        for at, values in enumerate((vectors[row[:n]], own[:n], both)):
+            out[doc[starts], at * DIM : (at + 1) * DIM] += np.add.reduceat(values, starts, axis=0, dtype=np.float64)
     out /= np.maximum(sizes, 1)[:, None]
     out[:, -1] = np.log1p(sizes)
     return out
@@ -194,10 +204,11 @@ def fit(docs: DataFrame, labels: DataFrame, vectors, id_col: str, text_col: str,
     temperature.
     """
     order = F.xxhash64(F.col("doc_id").cast("string"))
+    quality = F.col("quality").cast("int")
     chosen = (
         labels.filter("doc_id is not null and quality is not null").filter(learn)
-        .select("doc_id", F.col("quality").cast("int").alias("quality"), order.alias("order"))
-        .dropDuplicates(["doc_id"]).orderBy("order", "doc_id").limit(sample)
+        .groupBy("doc_id").agg(F.min(quality).alias("quality"), F.max(quality).alias("most"))
+        .filter("quality = most").select("doc_id", "quality", order.alias("order")).orderBy("order", "doc_id").limit(sample)
     )
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = (

@@ -20,7 +20,7 @@ from openstat.llm.mixing import OTHER, Path, mix_sources
 from openstat.llm.onebit_search import nearest
 from openstat.llm.periodic_runs import periodic_runs
 from openstat.llm.quality import score_quality
-from openstat.llm.sharding import assign_shards, growth_map, map_version
+from openstat.llm.sharding import SlotMaps, assign_shards, growth_map
 from openstat.llm.substring_dedup import substring_dedup
 from openstat.llm.vectors import finite
 from openstat.llm.warc import read_records, write_archives
@@ -210,13 +210,8 @@ from pages window g as (partition by coalesce(html, ''))
 """)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     index = write_archives(table(spark, folder, "pages"), least=100)
-    read = read_records(index).select(
-        F.col("page_id").cast("long"), F.octet_length("payload").cast("long").alias("bytes"), "payload_digest",
-        "record_type", F.col("refers_to").cast("long"),
-    )
-    lengths = read.filter("record_type = 'response'").groupBy("payload_digest").agg(F.max("bytes").alias("payload_bytes"))
-    return read.join(lengths, "payload_digest", "left").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    return read_records(index).select(
+        F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long")
     )
 
 
@@ -225,12 +220,9 @@ SHARDS = 8
 
 @query("op9_sharding")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    grown = map_version(spark, growth_map(SHARDS + 1), 2).select(
-        F.col("slot").alias("vslot"), F.col("shard").alias("grown_shard")
-    )
-    placed = assign_shards(
-        table(spark, folder, "documents").select("doc_id", "text"), map_version(spark, growth_map(SHARDS), 1)
-    )
+    maps = SlotMaps.create(spark).publish(growth_map(SHARDS), 1).publish(growth_map(SHARDS + 1), 2)
+    grown = maps.read().select(F.col("slot").alias("vslot"), F.col("shard").alias("grown_shard"))
+    placed = assign_shards(table(spark, folder, "documents").select("doc_id", "text"), maps.read(1))
     return placed.join(F.broadcast(grown), "vslot").select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )

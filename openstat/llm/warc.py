@@ -6,7 +6,8 @@ table, so it names only the files of tasks that Spark committed; a file left by
 lost or repeated task is never read. Readers pick records from the index, sort them
 by place, join near neighbours into one byte range and read each range once.
 
-Null html is an empty payload, null URL an empty target. Of equal payloads of at
+Null html is an empty payload. URLs and ids, null ones too, are read back unchanged; a revisit
+names the length of the payload that it stands for. Of equal payloads of at
 least `least` bytes the smallest page id is the response and the others revisit it;
 null ids and repeated ids follow the order (id, URL), nulls last;
 rows that repeat id, URL and payload are all responses. Empty input gives no rows.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
@@ -23,7 +25,7 @@ from urllib.parse import quote, unquote
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from openstat.session import shared_dir, store
@@ -36,10 +38,13 @@ WRITTEN = pa.schema(
     [(n, pa.int64() if n in ("offset", "length") else pa.string())
      for n in ("page_id", "record_type", "url", "payload_digest", "file", "offset", "length")]
 )
-READ_SCHEMA = "page_id string, record_type string, url string, payload_digest string, refers_to string, payload binary"
+READ_SCHEMA = (
+    "page_id string, record_type string, url string, payload_digest string, refers_to string, "
+    "payload_bytes long, payload binary"
+)
 READ = pa.schema(
     [(n, pa.string()) for n in ("page_id", "record_type", "url", "payload_digest", "refers_to")]
-    + [("payload", pa.binary())]
+    + [("payload_bytes", pa.int64()), ("payload", pa.binary())]
 )
 #: Bytes between two records that are read along rather than skipped, and the most in one read.
 GAP, SPAN = 64 << 10, 8 << 20
@@ -58,18 +63,21 @@ def page_of(name: str | None) -> str | None:
 
 def record(kind: str, row: dict) -> bytes:
     """One WARC/1.1 record as a gzip member."""
+    url = row["url"] or ""
+    target = quote(url, safe="%!#$&'()*+,/:;=?@[]~<>{}|\\^`\"")
     head = [
         ("WARC-Type", kind), ("WARC-Record-ID", named(row["page_id"])),
-        ("WARC-Date", "1970-01-01T00:00:00Z"),
-        ("WARC-Target-URI", " ".join((row["url"] or "").split())),
+        ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", target),
         ("WARC-Payload-Digest", f"sha256:{row['payload_digest']}"),
         ("Content-Type", "text/html; charset=utf-8"),
     ]
+    if target != row["url"]:  # white space, other scripts or null: the URL itself goes along
+        head.append(("X-Target-URL", json.dumps(row["url"])))
     body = row["payload"]
     if kind == "revisit":
         head += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-            ("WARC-Refers-To", named(row["refers_to"])),
+            ("WARC-Refers-To", named(row["refers_to"])), ("X-Payload-Length", str(row["payload_bytes"])),
         ]
         body = b""
     head.append(("Content-Length", str(len(body))))
@@ -112,6 +120,13 @@ def _writer(folder: str):
     return write
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark itself gives it, so that all tasks and readers mean the same place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file://{full.removeprefix('file:')}" if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def write_archives(pages: DataFrame, least: int = 100, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write one record per row; returns the stored index (INDEX_SCHEMA)."""
     spark = pages.sparkSession
@@ -130,9 +145,9 @@ def write_archives(pages: DataFrame, least: int = 100, id_col: str = "page_id",
         F.col("first.page_id").cast("string").alias("refers_to"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(~revisit, F.col("payload")).otherwise(F.lit(b"")).alias("payload"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
     )
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+    folder = qualified(spark, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     where, base = fs.FileSystem.from_uri(folder)
     where.create_dir(base)
     return store(records.mapInArrow(_writer(folder), INDEX_SCHEMA).withColumn("store", F.lit(folder)))
@@ -176,9 +191,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     head, payload = parse_record(block[at : at + r["length"]])
                     found.append({
                         "page_id": page_of(head["WARC-Record-ID"]),
-                        "record_type": head["WARC-Type"], "url": head["WARC-Target-URI"],
+                        "record_type": head["WARC-Type"],
+                        "url": json.loads(head["X-Target-URL"]) if "X-Target-URL" in head else head["WARC-Target-URI"],
                         "payload_digest": hashlib.sha256(payload).hexdigest() if head["WARC-Type"] == "response" else head["WARC-Payload-Digest"].removeprefix("sha256:"),
-                        "refers_to": page_of(head.get("WARC-Refers-To")), "payload": payload,
+                        "refers_to": page_of(head.get("WARC-Refers-To")),
+                        "payload_bytes": int(head.get("X-Payload-Length", len(payload))), "payload": payload,
                     })
                 yield pa.RecordBatch.from_pylist(found, READ)
             a = b

@@ -7,6 +7,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from openstat.llm.html_text import extract_text, render
 from openstat.llm.language_id import Filters, identify_language
 from openstat.llm.mixing import OTHER, leaf_budgets, mix_sources, shares
 from openstat.llm.quality import calibrate, score_quality, train
-from openstat.llm.sharding import assign_shards, growth_map, map_version, rebalance, slot_bytes
+from openstat.llm.sharding import SlotMaps, assign_shards, growth_map, map_version, rebalance, slot_bytes, slot_weights
 from openstat.llm.warc import parse_record, ranges, read_records, record, write_archives
 from tests.llm.test_llm_dedup import brute_components, brute_contamination, corpus
 
@@ -318,3 +319,81 @@ def test_library_works_without_the_subpackage(tmp_path):
         "assert 'pipeline' not in e.queries() and len(e.queries()) > 150"
     )
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_conflicting_labels_teach_nothing(spark):
+    """The same scores however the rows of labels lie."""
+    docs = spark.createDataFrame([(i, ("good plain words here " if i % 2 else "## $$ !! xx ") * 5) for i in range(60)], "doc_id long, text string")
+    rows = [(i, i % 2) for i in range(40)]
+    conflicting = rows + [(i, 1 - i % 2) for i in range(0, 40, 4)] + rows[:9]
+    clean = [(i, q) for i, q in rows if i % 4]
+    want = None
+    for table, parts in ((clean, 2), (conflicting, 1), (conflicting[::-1], 3), (conflicting, 7)):
+        labels = spark.createDataFrame(table, "doc_id long, quality int").repartition(parts)
+        got = {r["doc_id"]: r["quality_score"] for r in score_quality(docs, labels).collect()}
+        want = want or got
+        assert got == pytest.approx(want, abs=1e-9)
+    assert want[1] > 0.5 > want[2]
+
+
+def test_pooling_does_not_depend_on_chunks(monkeypatch):
+    from openstat.llm import quality as q
+
+    rng = np.random.default_rng(2)
+    sizes = np.array([0, 5, 1, 400, 0, 33])
+    hashes = rng.integers(0, 1 << 63, sizes.sum()).astype(np.uint64)
+    hashes[50:90] = hashes[50]
+    vectors = rng.normal(size=(q.ROWS, q.DIM)).astype(np.float32)
+    whole = q.pooled(sizes, hashes, vectors)
+    text = pa.RecordBatch.from_pydict({"text": [" ".join(f"w{i % 7}" for i in range(300)), None, "a b"]})
+    counts = [b.to_pydict() for b in q._contexts(iter([text]))]
+    monkeypatch.setattr(q, "CHUNK", 7)
+    assert np.allclose(q.pooled(sizes, hashes, vectors), whole, atol=1e-9)
+    assert [b.to_pydict() for b in q._contexts(iter([text]))] == counts
+    assert (whole[[0, 4]] == 0).all()
+
+
+def test_urls_come_back_unchanged(spark):
+    urls = ["http://a/b  c\td", None, "", "http://ü/ß?q=%20+x", "a\r\nWARC-Type: x", "http://plain/x?a=b&c#d", " lead"]
+    pages = spark.createDataFrame([(i, u, "x" * 150 if i % 2 else f"p{i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    index = write_archives(pages)
+    assert index.select("store").first()[0].startswith("file:///")
+    got = {int(r["page_id"]): r for r in read_records(index).collect()}
+    assert {i: r["url"] for i, r in got.items()} == dict(enumerate(urls))
+    assert {i: r["payload_bytes"] for i, r in got.items()} == {i: 150 if i % 2 else 2 for i in range(len(urls))}
+    assert [r["record_type"] for _, r in sorted(got.items())] == ["response", "response", "response", "revisit", "response", "revisit", "response"]
+
+
+def test_slot_maps_are_stored_by_version(spark):
+    maps = SlotMaps.create(spark).publish(growth_map(2), 1)
+    docs = spark.createDataFrame([(i, "x" * (5000 if i == 3 else 10)) for i in range(200)], "doc_id long, text string")
+    weights = slot_weights(docs)
+    assert sum(weights.values()) == 199 * 11 + 5001
+    maps.publish(rebalance(maps.owner(), weights, 2), 2)
+    again = SlotMaps(spark, maps.path)
+    assert again.owner(1) == growth_map(2) and again.owner() == again.owner(2) != again.owner(1)
+    load = {r["shard"]: r["s"] for r in assign_shards(docs, again.read()).groupBy("shard").agg(F.sum("size").alias("s")).collect()}
+    assert abs(load[0] - load[1]) <= 5001
+    with pytest.raises(Exception, match="(?i)exist"):
+        maps.publish(growth_map(2), 2)
+
+
+def test_query_of_sharding_equals_plain_python(spark, tmp_path):
+    import xxhash
+
+    rows = [(i * 13, None if i % 11 == 0 else "é" * (i % 50), "first") for i in range(3000)] + [(26, "again", "x"), (None, "n", "x"), (None, None, "y")]
+    spark.createDataFrame(rows, "doc_id long, text string, _first string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op9_sharding"](spark, str(tmp_path)).collect()
+    eight, nine = growth_map(8), growth_map(9)
+    want = []
+    for i, t, _ in rows:
+        raw = (t or "").encode()
+        hashed = 42 if i is None else xxhash.xxh64_intdigest(str(i).encode(), seed=42)
+        slot = (hashed - (1 << 64) if hashed >> 63 else hashed) % 4096
+        want.append((i, len(raw) + 1, zlib.crc32(raw), "key", eight[slot], nine[slot]))
+    key = lambda r: tuple(repr(x) for x in r)
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"], r["law"], r["shard"], r["grown_shard"]) for r in got), key=key) == sorted(want, key=key)
+    assert all(w[5] in (w[4], 8) for w in want)
+    for shard in range(8):
+        own = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert own == list(range(len(own)))
