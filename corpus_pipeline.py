@@ -19,7 +19,7 @@ from openstat.llm.jaccard_join import jaccard_join
 from openstat.llm.mixing import mix_sources
 from openstat.llm.quality import score_quality
 from openstat.llm.queries import SHARDS, fold, n_words, source_path, source_weights, table
-from openstat.llm.sharding import assign_shards, growth_map, map_version
+from openstat.llm.sharding import SlotMaps, assign_shards, growth_map, rebalance, slot_weights
 from openstat.session import shared_dir
 
 #: Share of the tokens that the mix may hold, without repeating any document.
@@ -55,8 +55,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and their place in it."""
-    return assign_shards(docs, map_version(spark, growth_map(SHARDS), 1))
+    """Documents with their shard and their place in it.
+
+    The stored slot map gets a second version, rebalanced by the bytes measured per slot.
+    """
+    maps = SlotMaps.create(spark).publish(growth_map(SHARDS), 1)
+    maps.publish(rebalance(maps.owner(), slot_weights(docs), SHARDS), 2)
+    return assign_shards(docs, maps.read())
 
 
 STAGES = [
