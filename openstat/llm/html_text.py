@@ -2,7 +2,8 @@
 
 Tags become a tree with the end tags that HTML implies (a paragraph ends before a
 block, a list item before the next one, a cell before the next cell). Elements that
-a browser does not show are left out. What is visible is written as text: blocks on
+a browser does not show are left out; of form fields what they hold, of a closed list the chosen
+option, of closed details the summary is shown. What is visible is written as text: blocks on
 lines of their own, blank lines around paragraphs and headings, list items with
 bullets or numbers and indents, table cells padded to common columns, preformatted
 text as it stands. Each text of a drawing is a line; formulas run on in the line, with
@@ -27,9 +28,11 @@ from openstat.llm.common import pieces
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset(
-    "head script style template noscript title meta link base datalist iframe object audio video canvas "
-    "textarea select option optgroup".split()
+    "head script style template noscript title meta link base datalist iframe audio video canvas rp".split()
 )
+#: What a reader or page may have filled in; shown on request.
+FIELDS = frozenset("textarea select option optgroup".split())
+BUTTONS = frozenset("submit button reset".split())
 FOREIGN = frozenset(["svg", "math"])
 #: Not shown inside drawings and formulas.
 UNDRAWN = frozenset(
@@ -55,21 +58,27 @@ IMPLIED = (
     (frozenset("td th".split()), frozenset("td th".split()), frozenset("tr table".split())),
     (frozenset(["tr"]), frozenset("tr caption".split()), frozenset(["table"])),
     (frozenset("thead tbody tfoot".split()), frozenset("thead tbody tfoot caption".split()), frozenset(["table"])),
+    (frozenset(["option"]), frozenset(["option"]), frozenset(["select"])),
+    (frozenset(["optgroup"]), frozenset("option optgroup".split()), frozenset(["select"])),
     (frozenset(["body"]), frozenset(["head"]), frozenset()),
     (BLOCK, frozenset(["p"]), frozenset("td th li dd table button article section div".split())),
 )
-UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\b", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 DEEPEST = 200
-#: Columns that a cell spans at most, by the standard.
-WIDEST = 1000
+#: Columns and rows that a cell spans at most, by the standard.
+WIDEST, TALLEST = 1000, 65534
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "children", "foreign")
+    __slots__ = ("tag", "attrs", "children", "foreign", "inked")
 
-    def __init__(self, tag: str, attrs: dict[str, str], foreign: str = "") -> None:
+    def __init__(self, tag: str, attrs: dict[str, str], foreign: str = "", inked: bool = True) -> None:
         self.tag, self.attrs, self.children, self.foreign = tag, attrs, [], foreign
+        #: Whether its own text shows: `visibility` is inherited, and a part of a hidden element may show again.
+        said = VISIBILITY.findall(attrs.get("style", "")) if "style" in attrs else ()
+        self.inked = said[-1].lower() == "visible" if said else inked
 
     def visible(self) -> bool:
         return not (
@@ -84,8 +93,9 @@ class Element:
 class Tree(HTMLParser):
     """Builds the tree from the tags of the standard library's tokenizer."""
 
-    def __init__(self) -> None:
+    def __init__(self, fields: bool = False) -> None:
         super().__init__(convert_charrefs=True)
+        self.fields = fields
         self.root = Element("html", {})
         self.open = [self.root]
         #: Open tags of a hidden element at the greatest depth, and inside it.
@@ -119,13 +129,15 @@ class Tree(HTMLParser):
                 self._end(ends, walls)
         if tag not in HIDDEN and self.open[-1].tag == "head":
             self.open.pop()
-        made = Element(tag, {k: v or "" for k, v in attrs}, self._foreign())
+        made = Element(tag, {k: v or "" for k, v in attrs}, self._foreign(), self.open[-1].inked)
+        if not self.fields and (tag in FIELDS or tag == "input" and made.attrs.get("type", "").lower() not in BUTTONS):
+            made.attrs["hidden"] = ""
         self.open[-1].children.append(made)
         if tag in VOID:
             return
         if len(self.open) < DEEPEST:
             self.open.append(made)
-        elif not made.visible():
+        elif not made.visible() or not made.inked:
             self.buried, self.hider = {tag: 1}, tag
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -220,18 +232,19 @@ def _inside(element: Element) -> list[str]:
 def _flow(element: Element, out: Lines) -> None:
     for child in element.children:
         if isinstance(child, str):
-            out.text(child)
+            if element.inked:
+                out.text(child)
         elif child.visible() and child.tag == "svg":
             _drawing(child, out)
         elif child.visible() and child.foreign == "math" and child.tag in APART:
             for part in child.children:
                 out.text(" ")
-                _flow(_wrapped(part), out)
+                _flow(_wrapped(part, child.inked), out)
             out.text(" ")
         elif child.visible() and child.foreign == "math" and child.tag == "mtable":
             for row in child.children:
                 out.end(1)
-                _flow(_wrapped(row), out)
+                _flow(_wrapped(row, child.inked), out)
             out.end(1)
         elif not child.visible():
             continue
@@ -240,10 +253,26 @@ def _flow(element: Element, out: Lines) -> None:
         elif child.tag == "hr":
             out.end(2)
         elif child.tag == "img":
-            out.text(child.attrs.get("alt", ""))
+            if child.inked:
+                out.text(child.attrs.get("alt", ""))
         elif child.tag == "input":
-            if child.attrs.get("type", "text").lower() in ("submit", "button", "reset"):
+            kind = child.attrs.get("type", "text").lower()
+            if child.inked and kind not in ("hidden", "password", "checkbox", "radio", "file", "image", "color", "range"):
                 out.text(child.attrs.get("value", ""))
+        elif child.tag == "select":
+            for chosen in _chosen(child):
+                out.text(" ")
+                _flow(chosen, out)
+                out.text(" ")
+        elif child.tag == "details" and "open" not in child.attrs:
+            summary = [c for c in child.children if not isinstance(c, str) and c.tag == "summary"][:1]
+            out.end(1)
+            for head in summary:
+                _flow(_wrapped(head), out)
+            out.end(1)
+        elif child.tag == "textarea":
+            text = "".join(_raw(child)).removeprefix("\n").rstrip("\n")
+            out.block(text.split("\n") if text.strip() else [], 1)
         elif child.tag == "pre":
             text = "".join(_raw(child)).removeprefix("\n").rstrip("\n")
             out.block(text.split("\n") if text.strip() else [], 2)
@@ -275,10 +304,28 @@ def _drawing(element: Element, out: Lines) -> None:
             _drawing(child, out)
 
 
+def _chosen(element: Element) -> list[Element]:
+    """What a closed list of options shows: those marked as selected, else the first; an open list shows all."""
+    options, todo = [], [*reversed(element.children)]
+    while todo:
+        child = todo.pop()
+        if isinstance(child, str) or not child.visible():
+            continue
+        if child.tag == "option":
+            options.append(child)
+        elif child.tag == "optgroup":
+            todo += reversed(child.children)
+    if "multiple" in element.attrs or element.attrs.get("size", "1") not in ("", "0", "1"):
+        return options
+    marked = [o for o in options if "selected" in o.attrs]
+    return marked[-1:] or options[:1]
+
+
 def _raw(element: Element) -> Iterator[str]:
     for child in element.children:
         if isinstance(child, str):
-            yield child.replace("\r\n", "\n")
+            if element.inked:
+                yield child.replace("\r\n", "\n")
         elif child.tag == "br":
             yield "\n"
         elif child.visible() and child.tag in FOREIGN:
@@ -291,10 +338,12 @@ def _list(element: Element) -> list[str]:
     lines: list[str] = []
     start = element.attrs.get("start", "1")
     number = int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
-    rest = Element("div", {})
+    rest = Element("div", {}, inked=element.inked)
     for child in element.children:
         if not isinstance(child, str) and child.tag == "li":
             if child.visible():
+                value = child.attrs.get("value", "")
+                number = int(value) if re.fullmatch(r"-?[0-9]{1,9}", value) else number
                 mark = f"{number}. " if element.tag == "ol" else "- "
                 inside = _inside(child)
                 lines += [((mark if not i else " " * len(mark)) + x).rstrip() for i, x in enumerate(inside)]
@@ -310,7 +359,7 @@ def _rows(element: Element) -> Iterator[Element]:
     for child in element.children:
         if isinstance(child, str):
             if child.strip():
-                loose = Element("caption", {})
+                loose = Element("caption", {}, inked=element.inked)
                 loose.children = [child]
                 yield loose
         elif child.visible():
@@ -320,18 +369,30 @@ def _rows(element: Element) -> Iterator[Element]:
                 yield child
 
 
+def _span(cell: Element, name: str, most: int) -> int:
+    said = cell.attrs.get(name, "1")
+    return max(1, min(int(said) or (most if name == "rowspan" else 1), most)) if re.fullmatch(r"[0-9]{1,9}", said) else 1
+
+
 def _table(element: Element) -> list[str]:
     lines: list[str] = []
     grid: list[list[str]] = []
+    #: The last row, counted from 1, that a cell above takes up in a column.
+    below: dict[int, int] = {}
     for row in _rows(element):
         if row.tag == "tr":
             cells = [c for c in row.children if not isinstance(c, str) and c.visible()]
             grid.append([])
             for c in cells:
-                span = c.attrs.get("colspan", "1")
+                while below.get(len(grid[-1]), 0) >= len(grid):
+                    grid[-1].append("")
+                at, wide = len(grid[-1]), _span(c, "colspan", WIDEST)
                 grid[-1].append(" ".join(x.strip() for x in _inside(_wrapped(c)) if x.strip()))
-                grid[-1] += [""] * (min(int(span), WIDEST) - 1 if re.fullmatch(r"[0-9]{1,9}", span) else 0)
-            loose = Element("div", {})
+                grid[-1] += [""] * (wide - 1)
+                if "rowspan" in c.attrs:
+                    last = len(grid) - 1 + _span(c, "rowspan", TALLEST)  # grid holds this row already
+                    below.update((i, last) for i in range(at, at + wide))
+            loose = Element("div", {}, inked=row.inked)
             loose.children = [c for c in row.children if isinstance(c, str)]
             lines += _inside(loose)
         else:
@@ -346,15 +407,15 @@ def _table(element: Element) -> list[str]:
     ]
 
 
-def _wrapped(element: Element | str) -> Element:
-    out = Element("div", {})
+def _wrapped(element: Element | str, inked: bool = True) -> Element:
+    out = Element("div", {}, inked=inked)
     out.children = [element]
     return out
 
 
-def render(html: str | None) -> str:
-    """All visible text of a page, laid out in lines."""
-    tree = Tree()
+def render(html: str | None, fields: bool = False) -> str:
+    """All visible text of a page, laid out in lines; with `fields`, what form fields hold too."""
+    tree = Tree(fields)
     tree.feed(html or "")
     tree.close()
     lines = _inside(tree.root)
@@ -363,15 +424,18 @@ def render(html: str | None) -> str:
     return "\n".join(lines)
 
 
-def extract_text(pages: DataFrame, html_col: str = "html", name: str = "visible_text") -> DataFrame:
-    """`pages` without the html and with the text, row by row; a column of that name is replaced."""
+def extract_text(pages: DataFrame, html_col: str = "html", name: str = "visible_text", fields: bool = True) -> DataFrame:
+    """`pages` without the html and with the text, row by row; a column of that name is replaced.
+
+    Form fields show what they hold unless `fields` is false.
+    """
     rest = [c for c in pages.columns if c not in (html_col, name)]
     rows = pages.select(*rest, F.col(html_col).alias("_html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_html"):
-            texts = [render(h) for h in batch.column(len(rest)).to_pylist()]
+            texts = [render(h, fields) for h in batch.column(len(rest)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*rest, name])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "_html")
-    return rows.mapInArrow(run, f"{fields}`{name}` string")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "_html")
+    return rows.mapInArrow(run, f"{kept}`{name}` string")

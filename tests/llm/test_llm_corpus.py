@@ -397,3 +397,25 @@ def test_query_of_sharding_equals_plain_python(spark, tmp_path):
     for shard in range(8):
         own = sorted(r["slot"] for r in got if r["shard"] == shard)
         assert own == list(range(len(own)))
+
+
+@pytest.mark.parametrize("html, text", [
+    ("a<textarea>\n x  y\nz</textarea>b", "a\n x  y\nz\nb"),
+    ("<select><option>one<option selected>two<option>three</select> end", "two end"),
+    ("<select><optgroup label=g><option>one</optgroup><option>two</select>", "one"),
+    ("<select multiple><option>one<option>two</select>", "one two"),
+    ("<input value=typed> <input type=password value=secret><input type=hidden value=h>", "typed"),
+    ("<object data=x>instead</object>", "instead"),
+    ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes<b>too</b></p>no</div>", "yestoo"),
+    ("<div style='visibility:hidden'><span style='visibility:visible;display:none'>no</span></div>x", "x"),
+    ("<ul style='visibility:hidden'><li>no<li style='visibility:visible'>yes</ul>", "- yes"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tr><td>a<td rowspan=3 colspan=2>b<td>c<tr><td>d<td>e<tr><td>f</table>", "a  b    c\nd       e\nf"),
+    ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"),
+    ("<ol><li>a<li value=9>b<li>c</ol>", "1. a\n9. b\n10. c"),
+    ("<details><summary>head</summary>body</details>x", "head\nx"),
+    ("<details open><summary>head</summary>body</details>", "head\nbody"),
+    ("<ruby>k<rp>(</rp><rt>r</rt><rp>)</rp></ruby>", "kr"),
+])
+def test_visible_text_of_fields_cells_and_details(html, text):
+    assert render(html, fields=True) == text
