@@ -37,7 +37,8 @@ def table_context(tables: dict[str, DataFrame], titles: dict[str, str], sample:
             ).alias("columns"),
             F.max("n_rows").alias("n_rows"),
         )
-        rows = df.limit(sample).agg(F.to_json(F.collect_list(F.struct("*"))).alias("sample_rows"))
+        chosen = df.orderBy(F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))).limit(sample)  # the same rows each time
+        rows = chosen.agg(F.to_json(F.collect_list(F.struct("*"))).alias("sample_rows"))
         parts.append(
             columns.withColumn("sample_rows", rows.scalar()).select(
                 F.lit(name).alias("resource_id"), F.lit(titles.get(name, name)).alias("title"), "n_rows", "columns", "sample_rows"

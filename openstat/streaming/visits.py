@@ -21,7 +21,7 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: i
     schema = spark.read.parquet(path).schema
     return (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-        .parquet(f"{path}*")  # the glob meets the file as well as the folder
+        .parquet(f"{path[:-1]}[t]")  # a glob meets the file as well as the folder, and this one nothing else
     )
 
 
