@@ -1,3 +1,6 @@
+from collections import Counter
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +94,49 @@ def test_composite_key_wins_over_unsafe_single_keys(spark):
     assert joined.columns == ["country", "year", "v", "v_1"] and joined.count() == 10
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_all_candidates_are_scored_from_one_scan_per_table(spark, tmp_path, whole):
+    schema = "id int, code string, at timestamp, x double, ratio double"
+    stamp = [datetime(2024, 1, 1 + i % 5, i % 24) for i in range(60)]
+    l = [(i % 20, f"c{i % 7}" if i % 9 else None, stamp[i], -0.0 if i % 2 else 0.0, i / 4) for i in range(60)]
+    r = [(i, f"c{i}", stamp[i], 0.0, float(i % 3)) for i in range(30)] + [(None, None, None, None, None)] * 3
+    spark.createDataFrame(l, schema).write.parquet(f"{tmp_path}/l")
+    spark.createDataFrame(r, schema.replace("id int", "id bigint")).write.parquet(f"{tmp_path}/r")
+    left, right = spark.read.parquet(f"{tmp_path}/l"), spark.read.parquet(f"{tmp_path}/r")
+    names = ["id", "code", "at", "x", "ratio"]
+    if whole:
+        candidates = [[("at", "at")], [("id", "id")], [("id", "id"), ("at", "at")]]
+    else:
+        candidates = [[(n, n)] for n in names] + [
+            [("id", "ratio")], [("id", "id"), ("code", "code")], [("at", "at"), ("id", "id"), ("x", "x")],
+        ]
+    scored = joins.assess_joins(left, right, candidates)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2
+    got = {row.position: row for row in scored.collect()}
+    assert sorted(got) == list(range(len(candidates)))
+    for i, pairs in enumerate(candidates):
+        one = joins.assess_join(left, right, pairs).first().asDict()
+        assert {k: v for k, v in got[i].asDict().items() if k != "position"} == one, pairs
+        keys = [
+            Counter(tuple(row[names.index(p[side])] for p in pairs) for row in rows)
+            for side, rows in enumerate((l, r))
+        ]
+        whole = sum(n * keys[1][k] for k, n in keys[0].items() if None not in k)
+        repeats = max(keys[0].values()) > 1 and max(keys[1].values()) > 1
+        assert got[i].matched_rows == (0 if repeats else whole)
+
+
+def test_candidates_of_an_empty_table_have_no_rows(spark):
+    l = spark.createDataFrame([], "id int, code string")
+    r = spark.createDataFrame([(1, "a")], "id int, code string")
+    rows = joins.assess_joins(l, r, [[("id", "id")], [("code", "code")]]).collect()
+    assert [(x.position, x.ok, x.matched_rows, x.overlap_left, x.overlap_right) for x in rows] == [
+        (0, False, 0, 0.0, 0.0), (1, False, 0, 0.0, 0.0)
+    ]
+    assert joins.suggest_joins(l, r).where("ok").count() == 0
+
+
 def test_null_keys_count_but_never_match(spark):
     l = spark.createDataFrame([("a", 1), (None, 2)], "k string, v int")
     r = spark.createDataFrame([("a", 1), (None, 2), ("c", 3)], "k string, v int")
