@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from openstat.operators.blocks import distances, per_block_pair
-from openstat.operators.sampling import sample_rows
 from openstat.operators.space import distinct_points, in_cells, matrix, meet
 from openstat.session import cut_lineage, store
 
@@ -112,36 +111,91 @@ def squared_silhouette(labeled: DataFrame, features: str, label: str) -> float:
     return ClusteringEvaluator(featuresCol=features, predictionCol=label).evaluate(labeled)
 
 
-def _seed_centers(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++ on a bounded sample: each next center is drawn by squared distance."""
-    centers = [sample[rng.integers(len(sample))]]
+def _seed_centers(drawn: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ on weighted points: each next center is drawn by weight and squared distance."""
+    centers = [drawn[rng.choice(len(drawn), p=weight / weight.sum())]]
     for _ in range(k - 1):
-        gap = np.min([((sample - c) ** 2).sum(axis=1) for c in centers], axis=0)
+        gap = weight * np.min([((drawn - c) ** 2).sum(axis=1) for c in centers], axis=0)
         total = gap.sum()
-        pick = rng.choice(len(sample), p=gap / total) if total > 0 else rng.integers(len(sample))
-        centers.append(sample[pick])
+        pick = rng.choice(len(drawn), p=gap / total) if total > 0 else rng.integers(len(drawn))
+        centers.append(drawn[pick])
     return np.array(centers)
 
 
 def _assign(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    gap = ((x[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
-    label = gap.argmin(axis=1)
-    return label, gap[np.arange(len(x)), label]
+    """Nearest center and squared distance to it. The product only compares; the distance is exact."""
+    middle = centers.mean(axis=0)  # keeps the product's terms small far from the origin
+    near = centers - middle
+    label = ((near**2).sum(axis=1) - 2.0 * ((x - middle) @ near.T)).argmin(axis=1)
+    return label, ((x - centers[label]) ** 2).sum(axis=1)
+
+
+def draw_centers(packed: DataFrame, columns: list[str], seed: int, per_round: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points drawn from all rows by their distance to those drawn before, and the rows nearest to each.
+
+    A round is one pass: a row's key is an exponential variate from its hash divided by its squared
+    distance, and the `per_round` smallest keys are a draw without replacement weighted by
+    distance. A task returns at most `per_round` rows, so the driver holds at most
+    1 + per_round * rounds points at any table size. The draws repeat for the same rows and ids. Rows
+    that equal a drawn point are never drawn again; an empty table gives no points.
+    """
+    schema = "key double, " + ", ".join(f"x{i} double" for i in range(len(columns)))
+    names = [f"x{i}" for i in range(len(columns))]
+    hashed = [
+        packed.select(F.xxhash64(F.lit(seed), F.lit(r), "row_id").alias("hash"), *[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)])
+        for r in range(rounds + 1)
+    ]
+    first = hashed[0].orderBy("hash", *names).limit(1).toPandas()[names].to_numpy(dtype="float64")
+    if not len(first):
+        return first, np.zeros(0)
+    drawn = first
+    for one in hashed[1:]:
+
+        def keys(batches, drawn=drawn):
+            best = np.empty((0, len(names) + 1))
+            for batch in batches:
+                x = batch[names].to_numpy(dtype="float64")
+                gap = _assign(x, drawn)[1]
+                far = gap > 0
+                u = ((batch["hash"].to_numpy().astype("uint64") >> np.uint64(11)).astype("float64") + 0.5) / 2.0**53
+                key = -np.log(u[far]) / gap[far]
+                best = np.vstack([best, np.column_stack([key, x[far]])])
+                best = best[np.lexsort(best.T[::-1])][:per_round]
+            yield pd.DataFrame(best, columns=["key", *names])
+
+        more = one.mapInPandas(keys, schema).orderBy("key", *names).limit(per_round).toPandas()
+        if not len(more):
+            break
+        drawn = np.unique(np.vstack([drawn, more[names].to_numpy()]), axis=0)
+
+    def nearest(batches):
+        count = np.zeros(len(drawn), dtype="int64")
+        for batch in batches:
+            count += np.bincount(_assign(batch[names].to_numpy(dtype="float64"), drawn)[0], minlength=len(drawn))
+        yield pd.DataFrame({"point": np.arange(len(drawn)), "n": count})
+
+    weight = np.zeros(len(drawn))
+    counted = hashed[0].mapInPandas(nearest, "point int, n long").groupBy("point").agg(F.sum("n").alias("n"))
+    for r in counted.collect():  # a row per drawn point
+        weight[r["point"]] = r["n"]
+    return drawn, weight
 
 
 def fit_kmeans(points: DataFrame, columns: list[str], ks: range, restarts: int = 10, seed: int = 42,
-               max_rounds: int = 100, seed_rows: int = 2_000) -> dict[int, np.ndarray]:
+               max_rounds: int = 100, per_draw: int = 64, draws: int = 5) -> dict[int, np.ndarray]:
     """Centers per k: the restart with the least inertia.
 
     All k and all restarts move together: one pass over the data per round returns
     sums per (model, cluster), a few hundred rows in all, instead of one pass per
-    round and model. Models that stopped moving are left out. First centers are
-    drawn from seed_rows hashed rows, every further step takes all rows.
+    round and model. Models that stopped moving are left out. First centers are chosen among
+    points that `draw_centers` takes from all rows, so a small cluster far from the rest is seen.
     """
     packed = points.select("row_id", *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).persist()
-    chosen = sample_rows(packed, seed_rows, seed, ["row_id"]).orderBy("row_id").select(*[f"`{c}`" for c in columns])
-    sample = chosen.toPandas().to_numpy()  # at most seed_rows rows
-    models = {(k, r): _seed_centers(sample, k, np.random.default_rng([seed, k, r])) for k in ks for r in range(restarts)}
+    drawn, weight = draw_centers(packed, columns, seed, per_draw, draws)
+    models = {
+        (k, r): _seed_centers(drawn, weight, k, np.random.default_rng([seed, k, r]))
+        for k in ks for r in range(restarts)
+    }
     inertia = dict.fromkeys(models, float("inf"))
     moving = sorted(models)
     schema = "k int, restart int, cluster int, n long, cost double, total array<double>"
@@ -156,12 +210,14 @@ def fit_kmeans(points: DataFrame, columns: list[str], ks: range, restarts: int =
                 x = batch.to_numpy(dtype="float64")
                 for (k, r), centers in current.items():
                     label, cost = _assign(x, centers)
+                    mine = np.zeros((len(x), k))
+                    mine[np.arange(len(x)), label] = 1.0
+                    counts, costs, totals = mine.sum(axis=0), mine.T @ cost, mine.T @ x
                     for c in range(k):
-                        mine = label == c
                         part = out.setdefault((k, r, c), [0, 0.0, np.zeros(x.shape[1])])
-                        part[0] += int(mine.sum())
-                        part[1] += float(cost[mine].sum())
-                        part[2] += x[mine].sum(axis=0)
+                        part[0] += int(counts[c])
+                        part[1] += float(costs[c])
+                        part[2] += totals[c]
             yield pd.DataFrame(
                 [(*key, n, cost, total.tolist()) for key, (n, cost, total) in out.items()],
                 columns=["k", "restart", "cluster", "n", "cost", "total"],

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from openstat.operators import clusters, models, outliers
@@ -32,10 +33,38 @@ def test_kmeans_settles_on_the_means_of_its_clusters(blobs):
     assert np.allclose([x[label == c].mean(axis=0) for c in range(3)], centers, atol=1e-2)
 
 
-def test_kmeans_fits_alike_with_few_and_with_all_rows_as_seeds(blobs):
-    few = clusters.fit_kmeans(blobs, COLUMNS, range(3, 4), seed_rows=60)[3]
-    every = clusters.fit_kmeans(blobs, COLUMNS, range(3, 4))[3]
-    assert np.allclose(np.sort(few, axis=0), np.sort(every, axis=0), atol=1e-6)
+def test_kmeans_fits_alike_with_few_and_many_draws(blobs):
+    few = clusters.fit_kmeans(blobs, COLUMNS, range(3, 4), per_draw=8, draws=2)[3]
+    many = clusters.fit_kmeans(blobs, COLUMNS, range(3, 4))[3]
+    assert np.allclose(few[np.argsort(few[:, 0])], many[np.argsort(many[:, 0])], atol=1e-6)
+
+
+def test_first_centers_see_a_cluster_of_one_row_in_twenty_thousand(spark):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(0, 1, (20_000, 2)), rng.normal(40, 1, (19_998, 2)), [[300.0, -300.0], [301.0, -300.0]]])
+    table = spark.createDataFrame(pd.DataFrame(x, columns=["x", "y"]).rename_axis("row_id").reset_index()).repartition(7)
+    drawn, weight = clusters.draw_centers(table, ["x", "y"], 42, 16, 3)
+    assert len(drawn) <= 1 + 16 * 3 and weight.sum() == len(x)
+    nearest = ((x[:, None] - drawn[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert np.array_equal(np.bincount(nearest, minlength=len(drawn)), weight)
+    again, _ = clusters.draw_centers(table.repartition(3), ["x", "y"], 42, 16, 3)
+    assert np.array_equal(drawn, again)
+    centers = clusters.fit_kmeans(table, ["x", "y"], range(3, 4), restarts=2)[3]
+    assert np.allclose(sorted(centers[:, 0]), [0, 40, 300.5], atol=0.1)
+
+
+def test_draws_stop_when_every_row_is_drawn(spark):
+    same = spark.createDataFrame([(i, 1.0 + i % 2) for i in range(50)], "row_id long, x double")
+    drawn, weight = clusters.draw_centers(same, ["x"], 1, 8, 5)
+    assert drawn.tolist() == [[1.0], [2.0]] and weight.tolist() == [25, 25]
+    none, _ = clusters.draw_centers(same.where("x > 9"), ["x"], 1, 8, 5)
+    assert len(none) == 0
+
+
+def test_nearest_centers_far_from_the_origin():
+    x = np.array([[1e8], [1e8 + 1], [1e8 + 3]])
+    label, gap = clusters._assign(x, np.array([[1e8], [1e8 + 3]]))
+    assert label.tolist() == [0, 0, 1] and gap.tolist() == [0, 1, 0]
 
 
 def test_silhouette_over_several_blocks(blobs, monkeypatch):
