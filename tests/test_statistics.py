@@ -1,11 +1,14 @@
+import json
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from openstat.functions import text
 from openstat.functions.pvalues import chi2_upper, t_two_sided
-from openstat.operators import association, correlation, groups, ranks, trend
+from openstat.operators import association, correlation, groups, narrative, ranks, trend
 from openstat.operators.profile import TableProfile
 from openstat.plans.selection import PlanLimits, left_out, plan_tests
 
@@ -152,3 +155,61 @@ def test_group_moments_rank_only_the_largest_levels(spark):
     got = moments.orderBy("size_rank").collect()
     assert len(got) == 12 and got[0].level == "hot" and {r.n_all for r in got} == {3000}
     assert [r.level for r in got[1:]] == sorted(f"l{i}" for i in range(400))[:11]
+
+
+def _finding(kind, columns=("price", "kind"), value=None, n=40, title="Some title (of it)", **details):
+    return (kind, list(columns), value, n, json.dumps(details), title)
+
+
+def test_sentences_follow_type_and_case(spark):
+    means = {"a": 1234.0, "b": 0.5}
+    findings = [
+        _finding("group_comparison", highest_group="a", lowest_group="b", group_means=means),
+        _finding("group_comparison"),
+        _finding("group_comparison", columns=("price",)),
+        _finding("spearman_correlation", value=-0.8, direction="negative"),
+        _finding("spearman_correlation", direction="negative"),
+        _finding("time_trend", columns=("size",), direction="downward"),
+        _finding("descriptive", columns=(), top_values="x"),
+        _finding("unheard_of", columns=(), median="3"),
+    ]
+    schema = "type string, columns array<string>, value double, n long, details string, title string"
+    rows = narrative.with_parts(spark.createDataFrame(findings, schema).coalesce(1)).select(
+        narrative.headline(), narrative.impact(), narrative.plain_line()
+    ).collect()
+    assert [tuple(r) for r in rows[:1]] == [(
+        "Price differs across Kind",
+        "Average Price is highest for a ($1,234) and lowest for b ($0.5) across kinds in this sample.",
+        "Price is not the same everywhere — a stands out as higher and b as lower when grouped by kind.",
+    )]
+    assert rows[1][1].startswith("Price is not uniform across kinds") and rows[1][2] == "Price varies noticeably depending on kind."
+    assert tuple(rows[2]) == ("Some title", None, "Some title (of it)")
+    assert rows[3][0] == "Strong negative association: Price and Kind (Spearman r = -0.8, n = 40)"
+    assert rows[3][1] == "When Price rises, Kind tends to fall (Spearman r = -0.8) across 40 paired observations."
+    assert rows[4][0] == "Price and Kind move in opposite directions"
+    assert rows[5][1] == "Size generally decreased over the time period covered by this data."
+    assert rows[6][1] == "Overview of the most common values in this dataset."
+    assert tuple(rows[7]) == ("Some title", None, "Some title (of it)")
+
+
+def test_grounded_numbers_against_the_plain_rule(spark):
+    rng = random.Random(5)
+    cases = []
+    for _ in range(600):
+        allowed = [rng.choice([rng.uniform(-2, 2), rng.uniform(-400, 400), float(rng.randint(-90, 90))]) for _ in range(2)]
+        near = rng.choice(allowed) * rng.choice([1, 100]) * rng.uniform(0.985, 1.015) + rng.choice([0, rng.uniform(-0.6, 0.6)])
+        cases.append((f"about {near:.3f} of it", allowed, float(f"{near:.3f}")))
+
+    def close(x, y):
+        return abs(x - y) <= 0.01 * max(abs(x), abs(y), 1) or (abs(round(x) - x) < 0.01 and abs(round(x) - y) < 0.5)
+
+    def grounded(allowed, y):
+        given = [*allowed, *map(float, range(1, 26))]
+        shares = [round(100 * v, 4) for v in given if 0 < abs(v) <= 1.01]
+        return any(close(x, y) for x in [*given, *shares, *map(abs, shares)])
+
+    df = spark.createDataFrame([c[:2] for c in cases], "s string, a array<double>").coalesce(1)
+    got = [r[0] for r in df.select(text.numbers_grounded(F.col("s"), F.col("a"))).collect()]
+    read = [r[0] for r in df.select(text.numbers_in(F.col("s"))).collect()]
+    expected = [all(grounded(c[1], y) for y in numbers) for c, numbers in zip(cases, read)]
+    assert got == expected and 0 < sum(got) < len(got)
