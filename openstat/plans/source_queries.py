@@ -444,7 +444,15 @@ def sanitize_summaries(spark, d):
 
 @query(
     "number_grounding",
-    """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN TRUE WHEN 1 THEN TRUE ELSE FALSE END AS grounded FROM orders""",
+    """WITH said AS (
+         SELECT o_orderkey, o_totalprice AS price,
+                round(o_totalprice * CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1.005 ELSE 1.5 END, 2) AS quoted FROM orders),
+       allowed AS (SELECT unnest(range(1, 26))::DOUBLE AS x UNION ALL SELECT 100.0)
+       SELECT o_orderkey,
+              abs(price - quoted) <= 0.01 * greatest(abs(price), abs(quoted), 1)
+              OR (abs(round(price) - price) < 0.01 AND abs(round(price) - quoted) < 0.5)
+              OR EXISTS (SELECT 1 FROM allowed WHERE abs(x - quoted) <= 0.01 * greatest(x, abs(quoted), 1) OR abs(x - quoted) < 0.5)
+              AS grounded FROM said""",
 )
 def number_grounding(spark, d):
     """A summary that quotes the order value exactly, nearly, or half as much again."""

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from openstat.operators.ranks import rows_before
-
 
 def assemble_chunks(rows: DataFrame, chunks: DataFrame, row_target: int | None = None) -> DataFrame:
     """Rows of the contiguous good prefix of chunks, trimmed to the target if one is given.
@@ -57,13 +55,57 @@ def row_bytes(columns: list[str]) -> Column:
     return (F.octet_length(F.to_json(F.struct(*columns))) + 1).cast("bigint")
 
 
-def trim_to_bytes(df: DataFrame, order: str, byte_cap: int) -> DataFrame:
-    """The longest prefix in `order` whose JSON list fits the cap.
+def _crossing(sized: DataFrame, limit: int, ranges: int, few: int) -> tuple | None:
+    """(low, high, before): where the sum of n in the order of `value` first exceeds the limit.
+
+    `before` is the sum below low; None if all rows together stay within the limit. A pass sums n
+    per range of values and goes on inside the one that exceeds the limit, until that one has at
+    most `few` rows. A range always holds less than the one before it, as its lowest and its highest
+    value are parted; values too close to part end the search.
+    """
+    value = F.col("value")
+    low, high = sized.agg(F.min(value), F.max(value)).first()
+    if low is None:
+        return None
+    before = 0
+    while True:
+        step = (float(high) - float(low)) / ranges
+        place = F.floor((value.cast("double") - float(low)) / step) if step > 0 else (value == high).cast("int")
+        parts = (
+            sized.where(value.between(F.lit(low), F.lit(high))).groupBy(place.alias("part"))
+            .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min(value).alias("low"), F.max(value).alias("high"))
+            .orderBy("part").collect()
+        )  # a row per range
+        for part in parts:
+            if before + part["n"] > limit:
+                break
+            before += part["n"]
+        else:
+            return None
+        if part["rows"] <= few or (part["low"], part["high"]) == (low, high):
+            return part["low"], part["high"], before
+        low, high = part["low"], part["high"]
+
+
+def trim_to_bytes(df: DataFrame, order: str, byte_cap: int, ranges: int = 1_024, few: int = 10_000) -> DataFrame:
+    """The longest prefix in `order` whose JSON list fits the cap, as a filter on `order`.
 
-    The running size is a distributed prefix sum over (order, bytes); `order` must
-    be unique and numeric.
+    `order` must be unique and numeric; rows where it is null are in no prefix. A row takes at
+    least three bytes, so counts of `order` alone first bound the values that can fit, and only
+    rows up to there are measured. Only the rows of the range where the cap falls, at most `few`, are
+    ordered. The rows themselves are neither moved nor joined.
     """
-    sized = df.select(F.col(order).alias("value"), row_bytes(df.columns).alias("n"))
-    placed = rows_before(sized, [])
-    fits = placed.where(F.col("before") + F.col("n") + 1 <= byte_cap).select(F.col("value").alias(order))
-    return df.join(fits, order, "left_semi")
+    key = F.col(f"`{order}`")
+    roof = _crossing(df.select(key.alias("value"), F.lit(1).alias("n")), byte_cap // 3, ranges, few)
+    kept = df.where(key.isNotNull()) if roof is None else df.where(key <= F.lit(roof[1]))
+    sized = kept.select(key.alias("value"), row_bytes([f"`{c}`" for c in df.columns]).alias("n"))
+    edge = _crossing(sized, byte_cap - 1, ranges, few)
+    if edge is None:
+        return kept
+    low, high, before = edge
+    running = F.sum("n").over(W.orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow))
+    last = (
+        sized.where(F.col("value").between(F.lit(low), F.lit(high))).withColumn("upto", running + before)
+        .where(F.col("upto") < byte_cap).agg(F.max("value")).first()[0]
+    )
+    return df.where(key < F.lit(low)) if last is None else df.where(key <= F.lit(last))

@@ -195,3 +195,33 @@ def test_unfinished_pass_prunes_nothing(spark):
     seen = spark.createDataFrame([("a",)], "id string")
     assert catalog_sync.prune_stale(catalog, seen, "p").count() == 1
     assert catalog_sync.prune_stale(catalog, seen, "p", hit_cap=True).count() == 2
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double"])
+def test_byte_cap_cuts_where_a_running_sum_does(spark, kind):
+    def near(i):  # many close values, some far off
+        return -(2**40) + i if i < 300 else 3**(i - 290) - 7
+
+    whole = [(near(i), "x" * (i * 37 % 90), None if i % 5 else "é") for i in range(320)]
+    df = spark.createDataFrame(whole, "at bigint, s string, `a.b` string").withColumn("at", F.col("at").cast(kind))
+    df = df.unionByName(df.limit(1).withColumn("at", F.lit(None).cast(kind))).repartition(3).cache()
+    sizes = {r[0]: r[1] for r in df.select("at", paging.row_bytes(["at", "s", "`a.b`"])).collect()}
+    ordered = sorted(v for v in sizes if v is not None)
+    for cap in (0, 1, sizes[ordered[0]], sizes[ordered[0]] + 1, 5_000, 19_000, 10**6):
+        expected, spent = [], 1
+        for value in ordered:
+            spent += sizes[value]
+            if spent > cap:
+                break
+            expected.append(value)
+        got = paging.trim_to_bytes(df, "at", cap, ranges=4, few=5)
+        assert sorted(r["at"] for r in got.collect()) == expected
+    assert paging.trim_to_bytes(df.where("at > 1e300"), "at", 100).count() == 0
+
+
+def test_byte_cap_is_a_pushed_filter(spark, tmp_path):
+    spark.range(5000).withColumn("s", F.repeat(F.lit("y"), 30)).write.parquet(f"{tmp_path}/t")
+    cut = paging.trim_to_bytes(spark.read.parquet(f"{tmp_path}/t"), "id", 2_000)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan" in plan and "Window" not in plan and "Join" not in plan and "Exchange" not in plan
+    assert 0 < cut.count() < 100
