@@ -207,21 +207,25 @@ def validate_table(df: DataFrame, min_rows: int = rules.MIN_TABLE_ROWS) -> DataF
     )
 
 
-def constant_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(name, constant): the single trimmed non-empty value of a column, else null. One aggregate."""
+def constant_values(df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """(name, constant), or that per group of `by`: the single trimmed non-empty value of a column, else null.
+
+    One aggregate for all columns and groups; rows whose group key is null are a group.
+    """
+    by = by or []
     names = [c for c in (columns or df.columns) if c in df.columns]
     if not names:
-        return df.sparkSession.createDataFrame([], "name string, constant string")
-    aggs = []
+        return df.select(*[_ref(c) for c in by]).limit(0).withColumns(
+            {"name": F.lit(None).cast("string"), "constant": F.lit(None).cast("string")}
+        )
+    found = []
     for i, c in enumerate(names):
         text = F.nullif(F.trim(_ref(c).cast("string")), F.lit(""))
-        aggs.append(
-            F.struct(
-                F.lit(c).alias("name"),
-                F.when(F.min(text) == F.max(text), F.min(text)).alias("constant"),
-            ).alias(f"c{i}")
-        )
-    return df.agg(*aggs).select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(names))])))
+        constant = F.when(F.min(text) == F.max(text), F.min(text))
+        found.append(F.struct(F.lit(c).alias("name"), constant.alias("constant")).alias(f"__c{i}"))
+    grouped = df.groupBy(*[_ref(c) for c in by]) if by else df
+    rows = F.array(*[F.col(f"__c{i}") for i in range(len(names))])
+    return grouped.agg(*found).select(*[_ref(c) for c in by], F.inline(rows))
 
 
 def first_constant(names: tuple[str, ...]) -> Column:

@@ -243,19 +243,12 @@ def validate_tables(spark, d):
        FROM events GROUP BY event_type""",
 )
 def constant_columns(spark, d):
-    e = t(spark, d, "events")
-    parts = [
-        pr.constant_values(e.where(F.col("event_type") == k).select("event_type", "props")).agg(
-            F.lit(k).alias("event_type"),
-            F.max(F.when(F.col("name") == "event_type", F.col("constant"))).alias("type_constant"),
-            F.max(F.when(F.col("name") == "props", F.col("constant"))).alias("props_constant"),
-        )
-        for k in [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    found = pr.constant_values(t(spark, d, "events"), ["event_type", "props"], by=["event_type"])
+
+    def of(name):
+        return F.max(F.when(F.col("name") == name, F.col("constant")))
+
+    return found.groupBy("event_type").agg(of("event_type").alias("type_constant"), of("props").alias("props_constant"))
 
 
 @query(

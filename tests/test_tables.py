@@ -198,3 +198,12 @@ def test_whole_analysis_of_two_panels(spark):
 def test_too_small_a_table_is_refused(spark):
     with pytest.raises(ValueError, match="only 3 row"):
         analyze([spark.createDataFrame([(1, "a")] * 3, "x int, y string")])
+
+
+def test_constants_per_group_and_over_all_rows(spark):
+    rows = [("a", " x ", 1), ("a", "x", 2), ("b", "x", 3), ("b", "", 3), ("b", None, 3), (None, "y", 4), (None, "z", 4)]
+    df = spark.createDataFrame(rows, "g string, s string, n int")
+    got = {(r.g, r["name"]): r.constant for r in profile.constant_values(df, ["s", "n"], by=["g"]).collect()}
+    assert got == {("a", "s"): "x", ("a", "n"): None, ("b", "s"): "x", ("b", "n"): "3", (None, "s"): None, (None, "n"): "4"}
+    assert {r["name"]: r.constant for r in profile.constant_values(df).collect()} == {"g": None, "s": None, "n": None}
+    assert profile.constant_values(df, ["none"], by=["g"]).count() == 0
