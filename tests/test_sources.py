@@ -225,3 +225,10 @@ def test_byte_cap_is_a_pushed_filter(spark, tmp_path):
     plan = cut._jdf.queryExecution().executedPlan().toString()
     assert "LessThan" in plan and "Window" not in plan and "Join" not in plan and "Exchange" not in plan
     assert 0 < cut.count() < 100
+
+
+def test_probe_parses_a_payload_once_for_each_part(spark):
+    rows = spark.range(40).select(F.concat(F.lit('{"a": '), F.col("id"), F.lit("}")).alias("p"), F.lit("https://example.org/x").alias("u"))
+    plan = probe.probe_payloads(rows, "p", "u").groupBy("reason", "ingestible", "detected_format").count()._jdf.queryExecution().optimizedPlan().toString()
+    counts = {name: plan.count(f"{name}(") for name in ("parseJson", "jsonObjectKeys", "from_json", "regexp_extract_all")}
+    assert set(counts.values()) == {1} and plan.count("get_json_object(") == 4, plan
