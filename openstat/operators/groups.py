@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,11 +11,12 @@ from pyspark.sql import functions as F
 from openstat import rules
 from openstat.functions.pvalues import chi2_pvalue, t_pvalue
 from openstat.functions.text import column_label
-from openstat.operators.ranks import average_ranks
 from openstat.operators.scoring import as_findings, empty_findings, evidence_score
 from openstat.session import cut_lineage
 
 PLAN = ["measure", "factor"]
+#: rows planned for a range of values, most ranges of a plan
+RANGE_ROWS, _MAX_RANGES = 250_000, 4_096
 
 
 def long_form(df: DataFrame, plans: list[tuple[str, str]]) -> DataFrame:
@@ -92,31 +95,70 @@ def welch(moments: DataFrame) -> DataFrame:
     )
 
 
+def _in_ranges(cells: DataFrame, n_rows: int) -> DataFrame:
+    """Adds `range`, the number of the value's range within its plan; the ranges hold about RANGE_ROWS rows.
+
+    Bounds come from a sample of the rows. They only share out the work: any bounds give the same ranks.
+    """
+    cuts = min(_MAX_RANGES, -(-n_rows // RANGE_ROWS))
+    if cuts <= 1:
+        return cells.withColumn("range", F.lit(0))
+    sampled = cells.sample(min(1.0, 200 * cuts / n_rows), 42)
+    shares = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
+    bounds = sampled.groupBy("plan").agg(F.percentile_approx("value", shares, F.lit(4 * max(cuts, 2_500))).alias("__bounds"))
+    step = math.isqrt(cuts) + 1  # every step-th bound first, then the bounds behind it
+    bounds = bounds.withColumn("__coarse", F.filter("__bounds", lambda b, i: i % step == step - 1))
+    block = F.size(F.filter("__coarse", lambda b: b < F.col("value"))) * step
+    fine = F.size(F.filter(F.slice("__bounds", F.col("__block") + 1, F.lit(step)), lambda b: b < F.col("value")))
+    return (
+        cells.join(F.broadcast(bounds), "plan", "left")  # one row per plan
+        .withColumn("__block", F.coalesce(F.when(F.col("__bounds").isNotNull(), block), F.lit(0)))
+        .withColumn("range", F.coalesce(F.when(F.col("__bounds").isNotNull(), F.col("__block") + fine), F.lit(0)))
+        .drop("__bounds", "__coarse", "__block")
+    )
+
+
 def kruskal(rows: DataFrame, moments: DataFrame) -> DataFrame:
     """Tie-corrected H for plans with 3 to 12 tested levels.
 
-    The kept-level table (at most 12 rows per plan) is broadcast; rows are counted
-    per (level, value) before anything is ranked.
+    Plans and levels go by number (at most 12 per plan, held by the driver). Rows are counted per
+    (level, value), cut into ranges of values and ranked within a range; a range returns a rank sum per
+    level, to which the rows of the ranges before it are added.
     """
-    levels = (
-        moments.withColumn("groups", F.count_if(F.col("tested")).over(W.partitionBy(*PLAN)))
-        .where("tested and groups >= 3").select(*PLAN, "level", "groups")
+    tested: dict[tuple[str, str], list] = {}
+    for r in moments.where("tested").select(*PLAN, "level", "n").orderBy(*PLAN, "level").collect():
+        tested.setdefault((r["measure"], r["factor"]), []).append((r["level"], r["n"]))
+    plans = [(p, levels) for p, levels in tested.items() if len(levels) >= 3]
+    spark, schema = rows.sparkSession, "measure string, factor string, level string, plan int, at int"
+    numbers = spark.createDataFrame(
+        [(*p, level, i, j) for i, (p, levels) in enumerate(plans) for j, (level, _) in enumerate(levels)], schema
+    )
+    named = spark.createDataFrame([(i, *p, len(levels)) for i, (p, levels) in enumerate(plans)], "plan int, measure string, factor string, groups int")
+    cells = rows.join(F.broadcast(numbers), [*PLAN, "level"]).select("plan", "at", "value")
+    placed = _in_ranges(cells, max((sum(n for _, n in levels) for _, levels in plans), default=0))
+    counted = placed.groupBy("plan", "range", "at", "value").agg(F.count(F.lit(1)).alias("c"))
+    by_value = W.partitionBy("plan", "range").orderBy("value")
+    tied = F.sum("c").over(by_value.rangeBetween(W.currentRow, W.currentRow))
+    upto = F.sum("c").over(by_value.rangeBetween(W.unboundedPreceding, W.currentRow))
+    c, tie = F.col("c"), F.col("tied").cast("double")
+    ranges = cut_lineage(
+        counted.select("plan", "range", "at", "c", tied.alias("tied"), upto.alias("upto")).groupBy("plan", "range", "at").agg(
+            F.sum("c").alias("c"), F.sum(c * (F.col("upto") - (F.col("tied") - 1) / 2.0)).alias("s"), F.sum(c * (tie * tie - 1.0)).alias("tie")
+        )
+    )  # at most twelve rows per range
+    earlier = W.partitionBy("plan").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = ranges.groupBy("plan", "range").agg(F.sum("c").alias("rows")).select(
+        "plan", "range", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before")
     )
-    cells = cut_lineage(
-        rows.join(F.broadcast(levels), [*PLAN, "level"])
-        .groupBy(*PLAN, "level", "value", "groups").agg(F.count(F.lit(1)).alias("c"))
+    sums = ranges.join(F.broadcast(offsets), ["plan", "range"]).groupBy("plan", "at").agg(
+        F.sum("c").alias("c"), F.sum(F.col("s") + F.col("before") * F.col("c")).alias("s"), F.sum("tie").alias("tie")
     )
-    ties = cells.groupBy(*PLAN, "value").agg(F.sum("c").alias("n"))
-    ranks = average_ranks(ties, PLAN)
-    sums = (
-        cells.join(ranks.select(*PLAN, "value", "rank"), [*PLAN, "value"])
-        .groupBy(*PLAN, "level", "groups").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("rank")).alias("s"))
+    h = sums.groupBy("plan").agg(
+        F.sum("c").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("c")).alias("q"), F.sum("tie").alias("tie")
     )
-    h = sums.groupBy(*PLAN, "groups").agg(F.sum("c").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("c")).alias("q"))
-    tie = ties.groupBy(*PLAN).agg(F.sum(F.col("n").cast("double") ** 3 - F.col("n")).alias("tie"))
     n = F.col("n").cast("double")
     raw = 12.0 / (n * (n + 1)) * F.col("q") - 3.0 * (n + 1)
-    return h.join(F.broadcast(tie), PLAN).select(  # one row per plan
+    return h.join(F.broadcast(named), "plan").select(  # one row per plan
         *PLAN, F.lit("kruskal").alias("method"),
         F.try_divide(raw, 1.0 - F.col("tie") / (n * n * n - n)).alias("statistic"),
         (F.col("groups") - 1).cast("double").alias("df"),

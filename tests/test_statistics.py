@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +214,23 @@ def test_grounded_numbers_against_the_plain_rule(spark):
     read = [r[0] for r in df.select(text.numbers_in(F.col("s"))).collect()]
     expected = [all(grounded(c[1], y) for y in numbers) for c, numbers in zip(cases, read)]
     assert got == expected and 0 < sum(got) < len(got)
+
+
+def test_kruskal_is_the_same_over_many_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    kind, value = rng.integers(0, 4, 600), np.where(rng.random(600) < 0.4, 5.0, rng.normal(5, 2, 600).round(1))
+    df = spark.createDataFrame([("abcd"[k], float(v + k / 4)) for k, v in zip(kind, value)], "kind string, value double")
+    rows = groups.long_form(df, [("value", "kind")])
+    one = groups.kruskal(rows, groups.group_moments(rows)).first()
+    seen = []
+    place = groups._in_ranges
+    monkeypatch.setattr(groups, "RANGE_ROWS", 40)
+    monkeypatch.setattr(groups, "_in_ranges", lambda *a: seen.append(place(*a)) or seen[-1])
+    many = groups.kruskal(rows, groups.group_moments(rows)).first()
+    assert seen[0].select("range").distinct().count() > 5
+    values = pd.Series([v + k / 4 for k, v in zip(kind, value)])
+    rank, n = values.rank(), len(values)
+    ties = values.value_counts().astype(float)
+    raw = 12 / (n * (n + 1)) * sum(rank[kind == k].sum() ** 2 / (kind == k).sum() for k in range(4)) - 3 * (n + 1)
+    want = raw / (1 - (ties**3 - ties).sum() / (n**3 - n))
+    assert one["statistic"] == pytest.approx(want) and many["statistic"] == pytest.approx(want) and many["df"] == 3.0
