@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from openstat.operators.clusters import _array, _matrix
 from openstat.operators.ranks import quantiles
@@ -75,37 +76,56 @@ def train_forest(points: DataFrame, columns: list[str], trees: int = 100, rows_p
     return chosen.groupBy("tree").applyInPandas(build, NODE)
 
 
-def isolation_scores(points: DataFrame, columns: list[str], forest: DataFrame, rows_per_tree: int = 256) -> DataFrame:
-    """(row_id, score): lower is more unusual, -1 to 0. The forest is a few thousand bounded rows."""
+def _levels(tree: pd.DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """A tree with all leaves at one depth: features and cuts per level, path lengths of the leaves.
+
+    What lies below a leaf has the leaf's length, whichever way a row goes there.
+    """
+    feature, cut, low, high = (tree[c].to_numpy() for c in ("feature", "threshold", "low", "high"))
+    length = tree["depth"].to_numpy() + _average_path(tree["size"].to_numpy())
+    at, levels = np.zeros(1, "int64"), []
+    while (feature[at] >= 0).any():
+        inner = feature[at] >= 0
+        levels.append((np.where(inner, feature[at], 0), np.where(inner, cut[at], np.inf)))
+        at = np.column_stack([np.where(inner, low[at], at), np.where(inner, high[at], at)]).ravel()
+    return levels, length[at]
+
+
+def _path_total(x: np.ndarray, trees: list) -> np.ndarray:
+    """Sum of the path lengths of each row over all trees; a value that is not at most the cut goes high."""
+    n, values = len(x), np.ascontiguousarray(x.T).ravel()
+    rows, total = np.arange(n), np.zeros(n)
+    for levels, length in trees:
+        at = np.zeros(n, "int64")
+        for feature, cut in levels:
+            low = values.take((feature * n).take(at) + rows) <= cut.take(at)
+            at += at
+            at += ~low
+        total += length.take(at)
+    return total
+
+
+def isolation_scores(points: DataFrame, columns: list[str], forest: DataFrame, rows_per_tree: int = 256,
+                     keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row_id, score, kept columns): lower is more unusual, -1 to 0. The forest is a few thousand bounded rows."""
     nodes = forest.toPandas()
     shared = points.sparkSession.sparkContext.broadcast(
-        [t.sort_values("node").reset_index(drop=True) for _, t in nodes.groupby("tree")]
+        [_levels(t.sort_values("node").reset_index(drop=True)) for _, t in nodes.groupby("tree")]
     )
     norm = float(_average_path(int(nodes[nodes["node"] == 0]["size"].max())))
 
-    def score(batches):
-        trees = [
-            (t["feature"].to_numpy(), t["threshold"].to_numpy(), t["low"].to_numpy(), t["high"].to_numpy(),
-             t["depth"].to_numpy() + _average_path(t["size"].to_numpy()))
-            for t in shared.value
-        ]
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = shared.value
         for batch in batches:
-            if not len(batch):
-                continue
-            x = _matrix(batch)
-            total = np.zeros(len(x))
-            for feature, cut, low, high, length in trees:
-                at = np.zeros(len(x), dtype="int64")
-                inner = feature[at] >= 0
-                while inner.any():
-                    i = np.flatnonzero(inner)
-                    f = feature[at[i]]
-                    at[i] = np.where(x[i, f] <= cut[at[i]], low[at[i]], high[at[i]])
-                    inner = feature[at] >= 0
-                total += length[at]
-            yield pd.DataFrame({"row_id": batch["row_id"], "score": -(2.0 ** (-(total / len(trees)) / norm))})
-
-    return points.select("row_id", _array(columns).alias("x")).mapInPandas(score, "row_id long, score double")
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype("float64") for c in batch.columns[1 : 1 + width]])
+            total = np.concatenate([_path_total(x[at : at + 8_192], trees) for at in range(0, max(len(x), 1), 8_192)])
+            scores = pa.array(-(2.0 ** (-(total / len(trees)) / norm)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), scores, *batch.columns[1 + width :]], ["row_id", "score", *keep])
+
+    width, held = len(columns), points.schema
+    values = [F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)]
+    schema = T.StructType([held["row_id"], T.StructField("score", T.DoubleType()), *[held[c] for c in keep]])
+    return points.select("row_id", *values, *keep).mapInArrow(score, schema)
 
 
 def flag_lowest(scored: DataFrame, share: float = 0.02) -> DataFrame:

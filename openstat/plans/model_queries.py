@@ -114,9 +114,8 @@ def isolation_forest(spark, d):
     lines = t(spark, d, "lineitem").select("l_returnflag", *_MEASURES)
     points = clusters.with_row_id(clusters.standardize(lines, _MEASURES))
     forest = outliers.train_forest(points, _MEASURES)
-    scored = cut_lineage(outliers.isolation_scores(points, _MEASURES, forest))
-    flagged = outliers.flag_lowest(scored).join(points.select("row_id", "l_returnflag"), "row_id")
-    return flagged.groupBy("l_returnflag").agg(
+    scored = cut_lineage(outliers.isolation_scores(points, _MEASURES, forest, keep=("l_returnflag",)))
+    return outliers.flag_lowest(scored).groupBy("l_returnflag").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("unusual").alias("unusual"), F.min("score").alias("lowest")
     )
 
