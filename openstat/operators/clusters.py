@@ -14,13 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from openstat.operators.blocks import distances, per_block_pair
+from openstat.operators.blocks import distances, label_sums
 from openstat.operators.space import distinct_points, in_cells, matrix, meet
 from openstat.session import cut_lineage, store
 
 
 #: squared movement of all centers of a model below which it has settled
 _TOLERANCE = 1e-4
+#: scores of points under centers that are held at once
+_SCORES = 1 << 16
 
 
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -53,8 +55,8 @@ def _matrix(block: pd.DataFrame) -> np.ndarray:
 def silhouettes(points: DataFrame, columns: list[str], label_columns: list[str], n_rows: int) -> DataFrame:
     """Per point and labeling: Euclidean silhouette. `points` carries row_id and label columns.
 
-    Each block pair returns, per point, the distance sum to every cluster of every
-    labeling; a point alone in its cluster scores 0.
+    A block of points and a strip of others return, per point, the distance sum to every cluster
+    of every labeling; a point alone in its cluster scores 0.
     """
     sizes = {
         c: {r[c]: r["count"] for r in points.groupBy(c).count().collect()} for c in label_columns
@@ -62,18 +64,12 @@ def silhouettes(points: DataFrame, columns: list[str], label_columns: list[str],
     clusters = [(c, k) for c in label_columns for k in sorted(sizes[c])]
     names = [f"s{i}" for i in range(len(clusters))]
 
-    def sums(pa: pd.DataFrame, pb: pd.DataFrame) -> pd.DataFrame:
-        d = distances(_matrix(pa), _matrix(pb))
-        out = {"row_id": pa["row_id"].to_numpy()}
-        for name, (c, k) in zip(names, clusters):
-            out[name] = d[:, (pb[c] == k).to_numpy()].sum(axis=1)
-        return pd.DataFrame(out)
-
-    sums.empty = pd.DataFrame({"row_id": pd.Series(dtype="int64"), **{n: pd.Series(dtype="float64") for n in names}})
-    packed = points.select("row_id", _array(columns).alias("x"), *label_columns)
-    schema = "row_id long, " + ", ".join(f"{n} double" for n in names)
+    codes = [
+        F.coalesce(*[F.when(F.col(c) == k, i) for i, (cc, k) in enumerate(clusters) if cc == c], F.lit(-1)) for c in label_columns
+    ]
+    coded = points.select("row_id", _array(columns).alias("x"), F.array(*codes).alias("codes"))
     totals = cut_lineage(
-        per_block_pair(packed, packed, n_rows, sums, schema).groupBy("row_id").agg(*[F.sum(n).alias(n) for n in names])
+        label_sums(coded, n_rows, len(columns), len(clusters)).groupBy("row_id").agg(*[F.sum(n).alias(n) for n in names])
     )
     joined = totals.join(points.select("row_id", *label_columns), "row_id")
     out = []
@@ -126,7 +122,9 @@ def _assign(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Nearest center and squared distance to it. The product only compares; the distance is exact."""
     middle = centers.mean(axis=0)  # keeps the product's terms small far from the origin
     near = centers - middle
-    label = ((near**2).sum(axis=1) - 2.0 * ((x - middle) @ near.T)).argmin(axis=1)
+    square, label, step = (near**2).sum(axis=1), np.empty(len(x), "int64"), max(1, _SCORES // len(centers))
+    for at in range(0, len(x), step):
+        label[at : at + step] = (square - 2.0 * ((x[at : at + step] - middle) @ near.T)).argmin(axis=1)
     return label, ((x - centers[label]) ** 2).sum(axis=1)
 
 
@@ -187,7 +185,8 @@ def fit_kmeans(points: DataFrame, columns: list[str], ks: range, restarts: int =
 
     All k and all restarts move together: one pass over the data per round returns
     sums per (model, cluster), a few hundred rows in all, instead of one pass per
-    round and model. Models that stopped moving are left out. First centers are chosen among
+    round and model. The rows are packed once and their inertia is taken in one last
+    pass. Models that stopped moving are left out. First centers are chosen among
     points that `draw_centers` takes from all rows, so a small cluster far from the rest is seen.
     """
     packed = points.select("row_id", *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).persist()
@@ -196,57 +195,94 @@ def fit_kmeans(points: DataFrame, columns: list[str], ks: range, restarts: int =
         (k, r): _seed_centers(drawn, weight, k, np.random.default_rng([seed, k, r]))
         for k in ks for r in range(restarts)
     }
-    inertia = dict.fromkeys(models, float("inf"))
+    width = len(columns)
+    origin = drawn.mean(axis=0) if len(drawn) else np.zeros(width)  # keeps the products' terms small
+    pieces = _pieces(packed.drop("row_id"), origin).persist()
+    rated = dict(models)  # the centers whose cost counts: those before the last move
     moving = sorted(models)
-    schema = "k int, restart int, cluster int, n long, cost double, total array<double>"
-    for _ in range(max_rounds):
-        current = {m: models[m] for m in moving}
-
-        def sums(batches, current=current):
-            out: dict[tuple, list] = {}
-            for batch in batches:
-                if not len(batch):
-                    continue
-                x = batch.to_numpy(dtype="float64")
-                for (k, r), centers in current.items():
-                    label, cost = _assign(x, centers)
-                    mine = np.zeros((len(x), k))
-                    mine[np.arange(len(x)), label] = 1.0
-                    counts, costs, totals = mine.sum(axis=0), mine.T @ cost, mine.T @ x
-                    for c in range(k):
-                        part = out.setdefault((k, r, c), [0, 0.0, np.zeros(x.shape[1])])
-                        part[0] += int(counts[c])
-                        part[1] += float(costs[c])
-                        part[2] += totals[c]
-            yield pd.DataFrame(
-                [(*key, n, cost, total.tolist()) for key, (n, cost, total) in out.items()],
-                columns=["k", "restart", "cluster", "n", "cost", "total"],
-            )
-
-        width = range(1, len(columns) + 1)
-        rows = packed.drop("row_id").mapInPandas(sums, schema).groupBy("k", "restart", "cluster").agg(
-            F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.array(*[F.sum(F.element_at("total", i)) for i in width]).alias("total")
-        ).collect()
+    for done in range(max_rounds):
+        current = {m: models[m] - origin for m in moving}
+        rows = _sum_pieces(pieces, width, lambda x, current=current: _moves(x, current), width + 1)
+        if not done:
+            packed.unpersist()
         fresh = {m: models[m].copy() for m in moving}
-        cost = dict.fromkeys(moving, 0.0)
-        for r in rows:
-            m = (r["k"], r["restart"])
-            cost[m] += r["cost"]
-            if r["n"]:
-                fresh[m][r["cluster"]] = np.array(r["total"]) / r["n"]
+        for (k, r, c), total in rows.items():
+            if total[-1]:
+                fresh[k, r][c] = origin + total[:-1] / total[-1]
         still = []
         for m in moving:
-            inertia[m] = cost[m]
+            rated[m] = models[m]
             if ((fresh[m] - models[m]) ** 2).sum() > _TOLERANCE:
                 still.append(m)
             models[m] = fresh[m]
         moving = still
         if not moving:
             break
-    packed.unpersist()
+    current = {m: c - origin for m, c in rated.items()}
+    costs = _sum_pieces(pieces, width, lambda x: {(*m, 0): _assign(x, c)[1].sum(keepdims=True) for m, c in current.items()}, 1)
+    inertia = {m: costs[*m, 0][0] if (*m, 0) in costs else 0.0 for m in models}
+    pieces.unpersist()
     return {k: models[min((m for m in models if m[0] == k), key=lambda m: (inertia[m], m))] for k in ks}
 
 
+#: rows of a piece: its scores under some thirty centers stay in a core's cache
+_PIECE_ROWS = 4_096
+
+
+def _pieces(rows: DataFrame, origin: np.ndarray) -> DataFrame:
+    """The rows less `origin` as pieces of doubles, so that a round reads them without converting a value."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype("float64") for c in batch.columns]) - origin
+            held = [x[at : at + _PIECE_ROWS].tobytes() for at in range(0, len(x), _PIECE_ROWS)]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["x"])
+
+    return rows.mapInArrow(pack, "x binary")
+
+
+def _sum_pieces(pieces: DataFrame, dims: int, sums, width: int) -> dict[tuple[int, int, int], np.ndarray]:
+    """`sums` of a piece gives arrays by (k, restart, cluster); they are added up over all pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for piece in batch.column(0):
+                x = np.frombuffer(piece.as_buffer(), "float64").reshape(-1, dims)
+                for key, part in sums(x).items():
+                    out[key] = out[key] + part if key in out else part
+        keys = [pa.array([key[i] for key in out], pa.int32()) for i in range(3)]
+        total = pa.array([part.tolist() for part in out.values()], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([*keys, total], ["k", "restart", "cluster", "total"])
+
+    added = pieces.mapInArrow(run, "k int, restart int, cluster int, total array<double>").groupBy("k", "restart", "cluster").agg(
+        F.array(*[F.sum(F.element_at("total", i)) for i in range(1, width + 1)]).alias("total")
+    )
+    return {(r["k"], r["restart"], r["cluster"]): np.array(r["total"]) for r in added.collect()}  # a row per center
+
+
+def _moves(x: np.ndarray, models: dict[tuple[int, int], np.ndarray]) -> dict[tuple[int, int, int], np.ndarray]:
+    """Per (k, restart, cluster): sums of the coordinates of the points nearest to the center, and their number.
+
+    All models with the same k are scored by one product, a row of scores per center.
+    """
+    out = {}
+    ones = np.column_stack([x, np.ones(len(x))])
+    for k in {k for k, _ in models}:
+        names = [m for m in models if m[0] == k]
+        centers = np.concatenate([models[m] for m in names])
+        scores = np.column_stack([-2.0 * centers, (centers**2).sum(axis=1)]) @ ones.T
+        scores = scores.reshape(len(names), k, len(x))
+        best, label = scores[:, 0].copy(), np.zeros((len(names), len(x)), "int8" if k < 128 else "int32")
+        for c in range(1, k):
+            np.putmask(label, scores[:, c] < best, c)
+            np.minimum(best, scores[:, c], out=best)
+        for c in range(k):
+            total = (label == c).astype("float64") @ ones
+            out |= {(*m, c): total[i] for i, m in enumerate(names)}
+    return out
+
+
 def kmeans_labels(points: DataFrame, columns: list[str], ks: range, restarts: int = 10, seed: int = 42) -> DataFrame:
     """Adds one label column k2, k3, ... per k."""
     best = fit_kmeans(points, columns, ks, restarts, seed)

@@ -2,7 +2,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from openstat.operators import clusters, models, outliers
+from pyspark.sql import functions as F
+
+from openstat.operators import blocks, clusters, models, outliers
 from openstat.operators.profile import TableProfile
 
 
@@ -83,6 +85,34 @@ def test_silhouette_over_several_blocks(blobs, monkeypatch):
         assert got[name] == pytest.approx(np.mean(s))
 
 
+def test_distance_sums_of_near_far_and_missing_points():
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(40, 3)) + 1e6, rng.normal(size=(60, 3)) + 1e6
+    b[:20], b[20] = a[:20], 1e9
+    codes = np.column_stack([rng.integers(-1, 2, 60), rng.integers(2, 5, 60)]).astype("int32")
+
+    def want():
+        d = blocks.distances(a, b)
+        return np.column_stack([d[:, (codes == c).any(axis=1)].sum(axis=1) for c in range(5)])
+
+    assert np.allclose(blocks.distance_sums(a, b, codes, 5), want(), rtol=1e-12)
+    assert (blocks.distance_sums(np.ones((9, 2)), np.ones((7, 2)), np.zeros((7, 1), "int32"), 1) == 0).all()
+    b[30], codes[30] = np.nan, (-1, 3)
+    got = blocks.distance_sums(a, b, codes, 5)
+    assert np.isnan(got[:, 3]).all() and np.allclose(got, want(), rtol=1e-12, equal_nan=True)
+
+
+def test_a_block_is_moved_as_one_row(spark, monkeypatch):
+    moved = []
+    monkeypatch.setattr(blocks, "cut_lineage", lambda df: moved.append(df.localCheckpoint()) or moved[-1])
+    points = spark.range(5000).select(
+        F.col("id").alias("row_id"), F.array(F.col("id").cast("double")).alias("x"), F.array(F.lit(0)).alias("codes")
+    )
+    sums = {r["row_id"]: r["t"] for r in blocks.label_sums(points, 5000, 1, 1).groupBy("row_id").agg(F.sum("s0").alias("t")).collect()}
+    assert moved[0].count() == 5 and len(sums) == 5000
+    assert sums[0] == 4999 * 5000 / 2 and sums[4999] == sums[0] and sums[2500] == 2500 * 2501 / 2 + 2499 * 2500 / 2
+
+
 def test_density_clusters_over_several_blocks(blobs, monkeypatch):
     monkeypatch.setattr("openstat.operators.blocks.BLOCK_ROWS", 70)
     rows = clusters.density_clusters(blobs, COLUMNS, 300, eps=0.3).collect()
@@ -104,6 +134,40 @@ def test_local_outliers_against_brute_force(blobs, monkeypatch):
     assert np.allclose(got, want)
 
 
+def test_forest_paths_with_missing_values():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 2))
+    tree = outliers._grow(0, x[:256], 1)
+    nodes = {n["node"]: n for n in tree.to_dict("records")}
+    x[5, 0], x[6] = np.nan, np.nan
+    want = []
+    for row in x:
+        n = nodes[0]
+        while n["feature"] >= 0:
+            n = nodes[n["low"] if row[n["feature"]] <= n["threshold"] else n["high"]]
+        want.append(n["depth"] + outliers._average_path(n["size"]))
+    levels = outliers._levels(tree.sort_values("node").reset_index(drop=True))
+    assert len(levels[0]) == 8 and outliers._path_total(x, [levels, levels]).tolist() == [2 * w for w in want]
+
+
+def test_kept_columns_need_no_join(spark):
+    df = spark.createDataFrame([(i, float(i % 7), "ab"[i % 2]) for i in range(400)], "row_id long, x double, kind string")
+    forest = outliers.train_forest(df, ["x"])
+    rows = outliers.isolation_scores(df, ["x"], forest, keep=("kind",)).collect()
+    assert len(rows) == 400 and all(r["kind"] == "ab"[r["row_id"] % 2] for r in rows)
+
+
+def test_moves_of_all_models_at_once():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 3))
+    models = {(k, r): rng.normal(size=(k, 3)) for k in (2, 4) for r in range(3)}
+    got = clusters._moves(x, models)
+    for (k, r), centers in models.items():
+        label = clusters._assign(x, centers)[0]
+        for c in range(k):
+            assert np.allclose(got[k, r, c], [*x[label == c].sum(axis=0), (label == c).sum()])
+
+
 def test_planted_outliers_are_isolated(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(2000, 3))
