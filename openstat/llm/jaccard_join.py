@@ -61,6 +61,8 @@ SKETCH_BITS = 16
 STARS = 2
 #: Likeliest partners of a node that are verified in each round; the last takes all.
 ROUNDS = (8, None)
+#: Bits of the filter of text ids, as words of 64 bits; it is broadcast and never larger.
+FILTER_WORDS = 1 << 18
 
 
 class Threshold:
@@ -533,11 +535,24 @@ class Join:
             F.max("sketch").alias("sketch"),
         ).select("node", "row.*", "n_shingles", "sketch")
         self.nodes = store(nodes.join(self.members.select("node").distinct(), "node", "left_semi"))
-        texts = docs.join(self.nodes.select("doc_id", "text_id", "node"), ["doc_id", "text_id"]).select("node", "text")
+        texts = self.drawn(docs).join(
+            self.nodes.select("doc_id", "text_id", "node"), ["doc_id", "text_id"]
+        ).select("node", "text")
         self.texts = bucketed(texts, "node")
         if self.texts.count() > self.nodes.count():  # rows that repeat both id and text
             self.texts = bucketed(self.texts.groupBy("node").agg(F.min("text").alias("text")), "node")
 
+    def drawn(self, docs: DataFrame) -> DataFrame:
+        """The rows whose text may be a node's: all that are, and few others.
+
+        Each text id of a node sets a bit of a table of fixed size. Rows that meet no bit go
+        where they are read, so the join with the nodes moves no text that no entry holds.
+        """
+        word, bit = F.pmod(F.shiftright("text_id", 6), F.lit(FILTER_WORDS)), F.pmod("text_id", F.lit(64)).cast("int")
+        bits = self.nodes.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+        rows = docs.withColumn("word", word).join(F.broadcast(bits), "word")
+        return rows.filter(F.getbit("bits", bit) == 1).select(docs.columns)
+
     @staticmethod
     def entries(keys: DataFrame) -> DataFrame:
         """The same as _entries, from sums per key: no entry is brought together."""

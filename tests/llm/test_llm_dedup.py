@@ -238,6 +238,19 @@ def test_jaccard_join(spark, monkeypatch, k, top, cost, frequent, rounds):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_components(rows, k, top, 100)
 
 
+@pytest.mark.parametrize("filter_words", [1, jj.FILTER_WORDS])
+def test_texts_of_no_entry_stay_where_they_are_read(spark, monkeypatch, filter_words):
+    monkeypatch.setattr(jj, "FILTER_WORDS", filter_words)
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(40))) for i in range(300)]
+    rows += [(i, rows[i - 300][1] + " end") for i in range(300, 303)] + [(303, None), (304, ""), (None, rows[5][1])]
+    docs = table(spark, rows).select("doc_id", "text", F.xxhash64("text").alias("text_id"))
+    drawn = [r["doc_id"] for r in jj.Join(docs, 3, Threshold(90, 100)).drawn(docs).collect()]
+    assert {0, 1, 2, 300, 301, 302} <= set(drawn)
+    assert len(drawn) < (20 if filter_words > 1 else 100)
+    got = jaccard_join(table(spark, rows), k=3, top=90)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_components(rows, 3, 90, 100)
+
+
 def test_blocks_of_comparisons_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(jj, "BLOCK", 3)
     rng = random.Random(3)
