@@ -21,8 +21,18 @@ from openstat.session import cut_lineage
 
 
 def _overlaps(numeric: DataFrame) -> np.ndarray:
-    """Rows in which both of two columns are filled, for all pairs, by one pass."""
-    k = len(numeric.columns)
+    """Rows in which both of two columns are filled, for all pairs.
+
+    A column without nulls leaves to another all rows that this has; only columns with
+    nulls are compared row by row, in a second pass.
+    """
+    filled = numeric.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in numeric.columns]).first()
+    own = np.array([filled[c] for c in numeric.columns], np.int64)
+    out = np.minimum.outer(own, own)
+    gaps = np.flatnonzero(own < filled["n"])
+    k = len(gaps)
+    if k < 2:
+        return out
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((k, k))
@@ -32,10 +42,10 @@ def _overlaps(numeric: DataFrame) -> np.ndarray:
         i, j = np.indices((k, k)).reshape(2, -1)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel().astype(np.int64))], ["i", "j", "n"])
 
-    out = np.zeros((k, k), np.int64)
-    sums = numeric.mapInArrow(count, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    some = numeric.select(*[numeric.columns[i] for i in gaps])
+    sums = some.mapInArrow(count, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
     for r in sums.collect():  # a number per pair of columns
-        out[r["i"], r["j"]] = r["n"]
+        out[gaps[r["i"]], gaps[r["j"]]] = r["n"]
     return out
 
 

@@ -10,7 +10,7 @@ from openstat.operators import association, charts, correlation, groups, narrati
 from openstat.plans import analysis, selection
 from openstat.plans.registry import query
 from openstat.plans.table_queries import MERGED_SQL, merged_panel
-from openstat.session import cut_lineage, read_table as t
+from openstat.session import cut_lineage, read_table as t, store
 
 
 def _rank(x, over=""):
@@ -473,9 +473,9 @@ def analyze_one_table(spark, d):
 
 @query("analyze_two_tables")
 def analyze_two_tables(spark, d):
-    lines = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
+    lines = store(t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
         F.count(F.lit(1)).alias("n_lines"), F.round(F.sum("l_extendedprice"), 2).alias("amount")
-    )
+    ))  # the analysis reads its tables several times
     orders = t(spark, d, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"), "o_orderpriority"
     )

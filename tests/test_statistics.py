@@ -11,6 +11,7 @@ from openstat.functions import text
 from openstat.functions.pvalues import chi2_upper, t_two_sided
 from openstat.operators import association, correlation, groups, narrative, ranks, trend
 from openstat.operators.profile import TableProfile
+from openstat.plans import analysis, test_queries
 from openstat.plans.selection import PlanLimits, left_out, plan_tests
 
 
@@ -234,3 +235,26 @@ def test_kruskal_is_the_same_over_many_ranges(spark, monkeypatch):
     raw = 12 / (n * (n + 1)) * sum(rank[kind == k].sum() ** 2 / (kind == k).sum() for k in range(4)) - 3 * (n + 1)
     want = raw / (1 - (ties**3 - ties).sum() / (n**3 - n))
     assert one["statistic"] == pytest.approx(want) and many["statistic"] == pytest.approx(want) and many["df"] == 3.0
+
+
+def test_overlaps_compare_rows_only_where_columns_have_nulls(spark, monkeypatch):
+    rows = [(float(i), float(i % 3), None if i % 4 == 0 else float("nan"), float(i) if i % 5 else None, None) for i in range(40)]
+    df = spark.createDataFrame(rows, "x0 double, x1 double, x2 double, x3 double, x4 double").repartition(3)
+    want = [[sum(r[i] is not None and r[j] is not None for r in rows) for j in range(5)] for i in range(5)]
+    assert correlation._overlaps(df).tolist() == want
+    assert correlation._overlaps(df.limit(0)).tolist() == [[0] * 5] * 5
+    monkeypatch.setattr(type(df), "mapInArrow", None)  # no pass over the rows in Python
+    assert correlation._overlaps(df.select("x0", "x1", "x2")).tolist() == [r[:3] for r in want[:3]]
+
+
+def test_two_table_analysis_sums_the_lines_of_orders_once(spark, tmp_path, monkeypatch):
+    spark.range(60).selectExpr("id % 20 AS l_orderkey", "id * 1.5D AS l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(20).selectExpr(
+        "id AS o_orderkey", "id * 2.0D AS o_totalprice", "concat(id % 3, '-X') AS o_orderpriority"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    seen = []
+    monkeypatch.setattr(test_queries.analysis, "analyze", lambda tables, *a, whole=analysis.analyze, **b: seen.extend(tables) or whole(tables, *a, **b))
+    test_queries.analyze_two_tables(spark, str(tmp_path))
+    lines = seen[0]
+    assert not any("lineitem" in f for f in lines.inputFiles())  # each reading would sum them up again
+    assert sorted(map(tuple, lines.collect())) == [(i, 3, round(1.5 * (3 * i + 60), 2)) for i in range(20)]
