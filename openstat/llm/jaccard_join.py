@@ -597,7 +597,7 @@ class Join:
             "key", "all", F.col("most.component").alias("main"),
             (F.col("all") * (F.col("all") - F.col("most.n"))).alias("cost"),
         )
-        return rows.join(entries, "key")
+        return store(rows.join(entries, "key"), members.count())
 
     @staticmethod
     def star(placed: DataFrame, turn: int) -> DataFrame:
@@ -639,36 +639,38 @@ class Join:
             F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")
         ).distinct()
         tried = store(self.sized(first))
-        links = self.linked(tried)
-        labels, members = components(links), self.members
+        labels, members = components(self.linked(tried)), self.members
         for turn in range(STARS):
-            placed = store(self.placed(members, labels))
+            placed = self.placed(members, labels)
             members = placed.select("key", "kind", "node")
-            pairs = store(self.sized(self.star(placed, turn).join(tried, ["a", "b"], "left_anti")))
+            fresh = store(self.star(placed, turn).join(tried, ["a", "b"], "left_anti"), placed.count())
+            pairs = store(self.sized(fresh))
             if pairs.isEmpty():
                 break
-            tried, links = tried.unionByName(pairs), links.unionByName(self.linked(pairs))
-            labels = components(links)
-        placed = store(self.placed(members, labels))
+            tried = tried.unionByName(pairs)
+            labels = components(self.linked(pairs), labels)
+        placed = self.placed(members, labels)
         costly = placed.filter(F.col("cost") > cost).select("key", "node")
-        members = placed.filter(F.col("cost") <= cost).select("key", "kind", "node")
         if not costly.isEmpty():
             skip = costly.groupBy("node").agg(F.collect_set("key").alias("costly"))
             keys = self.texts.join(skip, "node").select("node", "text", "costly").mapInArrow(
                 _reallocated(self.k, self.limit), KEYS_SQL
             )
+            members = placed.filter(F.col("cost") <= cost).select("key", "kind", "node")
             members = store(members.unionByName(self.entries(keys).select("key", "kind", "node")))
+            placed = self.placed(members, labels)
         for most in ROUNDS:
-            found = self.across(store(self.placed(members, labels)), most)
+            found = self.across(placed, most)
             pairs = store(
-                found.filter("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+                found.filter("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"),
+                found.count(),
             )
-            tried, links = tried.unionByName(pairs), links.unionByName(self.linked(pairs))
-            labels = components(links)
+            tried = tried.unionByName(pairs)
+            labels = components(self.linked(pairs), labels)
             more = found.filter("open is not null").select(F.col("open").alias("key")).distinct()
             if more.isEmpty():
                 break
-            members = store(members.join(more, "key", "left_semi"))
+            placed = self.placed(store(placed.join(more, "key", "left_semi"), placed.count()), labels)
         return labels
 
 

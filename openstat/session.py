@@ -47,11 +47,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def store(df: DataFrame) -> DataFrame:
+#: Rows that a task of a counted table gets, where there are more than cores times as many.
+TASK_ROWS = 1 << 16
+
+
+def store(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write a wide table once to the shared folder and read it back as columns.
 
-    Later passes then read only the columns they use, and Spark knows its size.
+    Later passes then read only the columns they use, and Spark knows its size. Where the
+    caller knows how many rows there are at most, the tasks follow from that: a short table
+    is not written as one file for each partition of a shuffle.
     """
+    if rows is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -284,6 +284,42 @@ def test_components_of_a_long_chain(spark):
     assert {(r["node"], r["component"]) for r in got} == {(i, 0) for i in range(61)} | {(100, 100), (200, 100)}
 
 
+def test_components_go_on_from_earlier_labels(spark):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(230)]
+    pairs += [(999, i) for i in range(400, 430)] + [(5, 5), (700, 700), (None, 3), pairs[0], pairs[0][::-1]]
+    labels, parent = None, {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for part in (pairs[:150], [], pairs[150:], [(999, 0), (800, 801)]):
+        labels = components(spark.createDataFrame(part, "a long, b long"), labels)
+        for a, b in part:
+            if a is not None and a != b:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+        assert sorted((r["node"], r["component"]) for r in labels.collect()) == sorted((x, find(x)) for x in list(parent))
+
+
+def test_few_links_are_not_written_as_a_file_per_partition(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("openstat.session.shared_dir", lambda _: str(tmp_path))
+    held = {"spark.sql.shuffle.partitions": "150", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    links = spark.range(400).select(F.col("id").alias("a"), (F.col("id") - F.col("id") % 4).alias("b")).cache()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        labels = components(links)
+        assert labels.filter("component <> node - node % 4").isEmpty() and labels.count() == 400
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(list(tmp_path.rglob("*.parquet"))) < 100
+
+
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact_dedup(spark, weak):
     rows = corpus(n=25)
